@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from factloom.llm.common import table
+from factloom.llm.packing import pack_documents
 from factloom.llm.sharding import assign_shards
 
 
@@ -10,8 +13,15 @@ def op3_sharding(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries():
-    return {"op3_sharding": op3_sharding}
+    return {
+        "op3_sharding": op3_sharding,
+        "op9_packing": op9_packing,
+    }
 
 
 def oracle_sql():
