@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from factloom.llm.common import table
+from factloom.llm.decontamination import contamination_digest
 from factloom.llm.packing import pack_documents
 from factloom.llm.sharding import assign_shards
 
@@ -13,6 +14,10 @@ def op3_sharding(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark, sf_dir):
+    return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -20,9 +25,34 @@ def op9_packing(spark, sf_dir):
 def queries():
     return {
         "op3_sharding": op3_sharding,
+        "op7_decontamination": op7_decontamination,
         "op9_packing": op9_packing,
     }
 
 
+OP7_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL
+), item_at AS (
+    SELECT item_id, w, least(13, len(w)) AS m, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM items WHERE len(w) > 0
+), item_windows AS (
+    SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS span FROM item_at
+), doc_at AS (
+    SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (SELECT DISTINCT m FROM item_windows) WHERE len(w) >= m
+), hits AS (
+    SELECT doc_id, i, m, item_id FROM (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS span FROM doc_at) JOIN item_windows USING (m, span)
+), covered AS (
+    SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, i, m, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id
+), named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def oracle_sql():
-    return {}
+    return {"op7_decontamination": OP7_SQL}
