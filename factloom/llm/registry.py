@@ -6,10 +6,15 @@ import public_tokenizers
 
 from factloom.llm.common import table
 from factloom.llm.decontamination import contamination_digest
+from factloom.llm.language_id import identify_languages
 from factloom.llm.packing import pack_documents
 from factloom.llm.sharding import assign_shards
 
 
+def op2_language_id(spark, sf_dir):
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,7 @@ def op9_packing(spark, sf_dir):
 
 def queries():
     return {
+        "op2_language_id": op2_language_id,
         "op3_sharding": op3_sharding,
         "op7_decontamination": op7_decontamination,
         "op9_packing": op9_packing,
