@@ -8,6 +8,7 @@ from factloom.llm.common import table
 from factloom.llm.decontamination import contamination_digest
 from factloom.llm.language_id import identify_languages
 from factloom.llm.packing import pack_documents
+from factloom.llm.simhash import near_duplicates
 from factloom.llm.sharding import assign_shards
 
 
@@ -19,6 +20,10 @@ def op3_sharding(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark, sf_dir):
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +36,7 @@ def queries():
     return {
         "op2_language_id": op2_language_id,
         "op3_sharding": op3_sharding,
+        "op4_simhash": op4_simhash,
         "op7_decontamination": op7_decontamination,
         "op9_packing": op9_packing,
     }
