@@ -12,12 +12,13 @@ a short table of runs (length, ordinals -> windows, offset) that the pieces join
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -29,73 +30,118 @@ WINDOW = 2048
 END_ID = 1
 #: Parts that the pieces of one length are dealt into for numbering.
 SPREAD = 128
-#: Entries of a task's cache of tokenized words; UTF-8 bytes tokenized at once.
-CACHE, SLICE_BYTES = 200_000, 4_000_000
+#: UTF-8 bytes tokenized at once.
+SLICE_BYTES = 8_000_000
 
-#: A space that another white space or the end follows doesn't start a word.
-_LOOSE_SPACE = re.compile(r" (?!\S)")
+#: The characters that the vocabulary's splitting rule takes as white space.
+_SPACES = "[\\t-\\r \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+#: A space inside or at the end of a run of white space doesn't start a word.
+_LOOSE_SPACE = f"{_SPACES} ({_SPACES}|\\z)"
 
 
-class WordTokenizer:
-    """Ids of whole texts, with each distinct word tokenized once.
+def _byte_letters() -> dict[str, int]:
+    """The vocabulary file's letter for each byte: printable bytes stand for
+    themselves, the others for the letters from 256 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
 
-    The vocabulary's own splitting rule always starts a new word at a space that
-    something else than white space follows, so cutting there first changes no
-    id; a repeated word then comes from the cache.
+class WordTokenizer:
+    """Ids of whole texts, with each distinct word tokenized once for many texts.
+
+    The vocabulary's splitting rule starts a new word at every space, unless it
+    is inside or at the end of a run of white space. So other texts are cut at
+    spaces, the distinct words are tokenized as one text, and every text's ids
+    are put together from theirs. A vocabulary whose ids follow its merges gives
+    the same ids as ranks, which a faster library takes; texts that hold one of
+    the special tokens are left to the library that the file is made for.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.room = cache
-        self.cache: dict[str, np.ndarray] = {}
-
-    def _look_up(self, words: list[str]) -> list[np.ndarray]:
-        cache = self.cache
-        missing = [w for w in words if w not in cache]
-        if missing:
-            if len(cache) + len(missing) > self.room:
-                cache.clear()
-                missing = words
-            found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            cache.update(zip(missing, (np.array(e.ids, dtype="<u4") for e in found), strict=True))
-        return [cache[w] for w in words]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = []
-        for text in texts:
-            words = text.split(" ")
-            if _LOOSE_SPACE.search(text):
-                words = re.split(r" (?=\S)", text)
-            parts.append([words[0], *(" " + w for w in words[1:])] if words[0] or len(words) == 1 else [" " + w for w in words[1:]])
-        flat = pa.array([w for p in parts for w in p], pa.string()).dictionary_encode()
-        words = flat.dictionary.to_pylist()
-        ids = self._look_up(words)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        table = np.concatenate([*ids, np.empty(0, "<u4")]).astype("<u4")
-        which = flat.indices.to_numpy()
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.special = [t["content"] for t in file["added_tokens"]]
+        letters = _byte_letters()
+        ranks = {bytes(letters[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in self.special}
+        self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.bytes_of[i] = len(token)
+
+    def _whole(self, text: str) -> np.ndarray:
+        if any(t in text for t in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.fast.encode_ordinary(text), "<u4")
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that stand after a space, end to end, and the number of each."""
+        odd = np.asarray(pc.or_(pc.equal(pc.binary_length(words), 0), pc.match_substring_regex(words, f"^{_SPACES}")))
+        found: list[np.ndarray] = []
+        sizes = np.zeros(len(words), np.int64)
+        usual = np.flatnonzero(~odd)
+        named = words.take(pa.array(usual))
+        ids = np.array(self.fast.encode_ordinary(" " + " ".join(named.to_pylist())) if len(named) else [], "<u4")
+        ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(np.asarray(pc.binary_length(named)).astype(np.int64) + 1)) + 1
+        sizes[usual] = np.diff(ends, prepend=0)
+        if not odd.any():
+            return ids, sizes
+        strange = {int(i): self._whole(" " + words[int(i)].as_py()) for i in np.flatnonzero(odd)}
+        at = 0
+        for i in range(len(words)):
+            if i in strange:
+                found.append(strange[i])
+                sizes[i] = len(strange[i])
+            else:
+                found.append(ids[at : at + sizes[i]])
+                at += sizes[i]
+        return np.concatenate(found), sizes
+
+    def __call__(self, texts: pa.Array) -> list[np.ndarray]:
+        texts = texts.cast(pa.large_string()).fill_null("")
+        whole = pc.match_substring_regex(texts, _LOOSE_SPACE)
+        for t in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, t))
+        whole = np.asarray(whole)
+        docs: list[np.ndarray] = [np.empty(0, "<u4")] * len(texts)
+        for i in np.flatnonzero(whole):
+            docs[i] = self._whole(texts[int(i)].as_py())
+        cut = np.flatnonzero(~whole)
+        if not len(cut):
+            return docs
+        lists = pc.split_pattern(texts.take(pa.array(cut)), " ")
+        words, bounds = lists.flatten(), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        heads = bounds[:-1]
+        coded = words.dictionary_encode()
+        which = np.asarray(coded.indices).astype(np.int64)
+        # a text's first word has no space before it
+        firsts = [self._whole(w) for w in words.take(pa.array(heads)).to_pylist()]
+        ids, sizes = self._words(coded.dictionary)
+        which[heads] = len(sizes) + np.arange(len(firsts))
+        table = np.concatenate([ids, *firsts])
+        sizes = np.concatenate([sizes, [len(f) for f in firsts]]).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
         n = sizes[which]
         ends = np.cumsum(n)
-        at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(starts[which], n)
-        out, first, done = table[at], 0, np.concatenate([[0], ends])
-        docs = []
-        for p in parts:
-            docs.append(out[done[first] : done[first + len(p)]])
-            first += len(p)
+        out = table[np.arange(ends[-1]) - np.repeat(ends - n - starts[which], n)].astype("<u4")
+        done = np.concatenate([[0], ends])[bounds]
+        for k, i in enumerate(cut):
+            docs[i] = out[done[k] : done[k + 1]]
         return docs
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
     """Ids and texts, a few megabytes of text at a time."""
-    ids, column = batch.column(0).to_pylist(), batch.column(1)
-    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0))
-    ends, start = np.cumsum(sizes), 0
-    while start < len(ids):
+    column = batch.column(1)
+    ends, start = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0))), 0
+    while start < len(column):
         limit = (ends[start - 1] if start else 0) + SLICE_BYTES
         stop = max(start + 1, int(np.searchsorted(ends, limit, "right")))
-        yield ids[start:stop], [t or "" for t in column[start:stop].to_pylist()]
+        yield batch.column(0)[start:stop].to_pylist(), column[start:stop]
         start = stop
 
 

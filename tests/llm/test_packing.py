@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -54,9 +55,10 @@ def test_words_give_the_ids_of_whole_texts():
     plain = Tokenizer.from_file(PATH)
     rng = random.Random(1)
     more = ["".join(rng.choice(" \n\tab1,.é '") for _ in range(rng.randint(0, 60))) for _ in range(300)]
-    for cache in (3, 100_000):
-        got = WordTokenizer(PATH, cache)(TEXTS + more)
-        want = [e.ids for e in plain.encode_batch(TEXTS + more, add_special_tokens=False)]
+    odd = ["".join(rng.choice(" \u00a0\u2003\x1c\x85\nab") for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    for texts in (TEXTS + more, odd, TEXTS[:1]):
+        got = WordTokenizer(PATH)(pa.array(texts))
+        want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
         assert [g.tolist() for g in got] == want
 
 
