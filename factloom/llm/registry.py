@@ -6,10 +6,12 @@ import public_tokenizers
 
 from factloom.llm.common import table
 from factloom.llm.decontamination import contamination_digest
+from factloom.llm.embedding_dedup import near_duplicate_embeddings
 from factloom.llm.language_id import identify_languages
 from factloom.llm.packing import pack_documents
-from factloom.llm.simhash import near_duplicates
+from factloom.llm.pii import pseudonymize
 from factloom.llm.sharding import assign_shards
+from factloom.llm.simhash import near_duplicates
 
 
 def op2_language_id(spark, sf_dir):
@@ -28,17 +30,27 @@ def op7_decontamination(spark, sf_dir):
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_embedding_dedup(spark, sf_dir):
+    return near_duplicate_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_pii(spark, sf_dir):
+    return pseudonymize(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op2_language_id": op2_language_id,
         "op3_sharding": op3_sharding,
         "op4_simhash": op4_simhash,
         "op7_decontamination": op7_decontamination,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op9_packing": op9_packing,
+        "op10_pii": op10_pii,
     }
 
 
