@@ -12,6 +12,7 @@ from factloom.llm.packing import pack_documents
 from factloom.llm.pii import pseudonymize
 from factloom.llm.sharding import assign_shards
 from factloom.llm.simhash import near_duplicates
+from factloom.llm.warc import archive_round_trip
 
 
 def op2_language_id(spark, sf_dir):
@@ -26,6 +27,11 @@ def op4_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark, sf_dir):
+    found = archive_round_trip(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontamination(spark, sf_dir):
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +53,7 @@ def queries():
         "op2_language_id": op2_language_id,
         "op3_sharding": op3_sharding,
         "op4_simhash": op4_simhash,
+        "op5_warc": op5_warc,
         "op7_decontamination": op7_decontamination,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_packing": op9_packing,
@@ -78,5 +85,40 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+OP5_SQL = """
+WITH page AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), grouped AS (
+    SELECT *, min(page_id) OVER (PARTITION BY h) AS lowest FROM page
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (k // 4) AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN lowest IS NULL OR page_id = lowest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> lowest THEN lowest END AS refers_to
+FROM grouped
+"""
+
+OP8_SQL = """
+WITH RECURSIVE links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.93
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION
+    SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), found AS (
+    SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a
+), counted AS (
+    SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM found LEFT JOIN counted USING (vec_id)
+"""
+
+
 def oracle_sql():
-    return {"op7_decontamination": OP7_SQL}
+    return {
+        "op5_warc": OP5_SQL,
+        "op7_decontamination": OP7_SQL,
+        "op8_embedding_dedup": OP8_SQL,
+    }
