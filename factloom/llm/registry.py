@@ -12,6 +12,7 @@ from factloom.llm.packing import pack_documents
 from factloom.llm.pii import pseudonymize
 from factloom.llm.sharding import assign_shards
 from factloom.llm.simhash import near_duplicates
+from factloom.llm.toxicity import score_toxicity
 from factloom.llm.warc import archive_round_trip
 
 
@@ -32,6 +33,10 @@ def op5_warc(spark, sf_dir):
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_decontamination(spark, sf_dir):
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +59,7 @@ def queries():
         "op3_sharding": op3_sharding,
         "op4_simhash": op4_simhash,
         "op5_warc": op5_warc,
+        "op6_toxicity": op6_toxicity,
         "op7_decontamination": op7_decontamination,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_packing": op9_packing,
