@@ -10,12 +10,17 @@ from factloom.llm.embedding_dedup import near_duplicate_embeddings
 from factloom.llm.language_id import identify_languages
 from factloom.llm.packing import pack_documents
 from factloom.llm.pii import pseudonymize
+from factloom.llm.secrets import find_secrets
 from factloom.llm.sharding import assign_shards
 from factloom.llm.simhash import near_duplicates
 from factloom.llm.toxicity import score_toxicity
 from factloom.llm.warc import archive_round_trip
 
 
+def op1_secrets(spark, sf_dir):
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark, sf_dir):
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -55,6 +60,7 @@ def op10_pii(spark, sf_dir):
 
 def queries():
     return {
+        "op1_secrets": op1_secrets,
         "op2_language_id": op2_language_id,
         "op3_sharding": op3_sharding,
         "op4_simhash": op4_simhash,
