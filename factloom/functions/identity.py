@@ -7,11 +7,12 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from factloom.config import SETTINGS, STATES, STOP_WORDS, Settings
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decomposed(s: pd.Series) -> pd.Series:
     """NFKD, which Spark has no function for."""
     return s.map(lambda x: unicodedata.normalize("NFKD", x) if isinstance(x, str) else x)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from factloom.plans.catalogue import QUERIES, SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best fact per entity and field, and what becomes of it."""
+    return QUERIES["fact_resolution"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
