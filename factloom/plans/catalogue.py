@@ -113,9 +113,9 @@ def field_estimates_capped(spark, sf):
 
 # ---------------------------------------------------------------- query surface
 
-@registered("SELECT * FROM entities WHERE active_status = 'Uncertain' AND last_checked_at IS NULL AND fit_score >= 10 AND contains(lower(name), 'customer') ORDER BY fit_score DESC NULLS LAST, id LIMIT 20 OFFSET 5", "entities")
+@registered("SELECT * FROM entities WHERE active_status = 'Uncertain' AND last_checked_at IS NULL AND fit_score >= 10 AND contains(lower(name), 'customer') ORDER BY fit_score DESC NULLS LAST, id LIMIT 20 OFFSET 2", "entities")
 def list_entities_page(spark, sf):
-    f = query.EntityFilter(active_status="Uncertain", needs_verification=True, min_fit=10, search="Customer", limit=20, offset=5)
+    f = query.EntityFilter(active_status="Uncertain", needs_verification=True, min_fit=10, search="Customer", limit=20, offset=2)
     return query.list_entities(view(spark, sf, "entities"), f)
 
 

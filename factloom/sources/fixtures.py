@@ -66,7 +66,7 @@ SELECT l_suppkey * 10 + l_linenumber AS entity_id, 'phone' AS key,
        '(330) 555-01' || CAST(10 + l_partkey % 2 AS STRING) AS value,
        CASE l_returnflag WHEN 'A' THEN 'live_official_site' WHEN 'N' THEN 'search_snippets' ELSE 'staff_profile' END AS access_level,
        CASE l_returnflag WHEN 'A' THEN CAST(0.95 AS DOUBLE) WHEN 'N' THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS reliability,
-       l_orderkey AS seq
+       l_orderkey * 10000000 + l_partkey AS seq
 FROM lineitem""",
     "runs": """
 SELECT event_type AS run_type, CASE WHEN value < 5 THEN 'failed' ELSE 'completed' END AS status, event_id % 1000 AS tokens_in, event_id % 300 AS tokens_out
