@@ -18,8 +18,10 @@ def decomposed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKD", x) if isinstance(x, str) else x)
 
 
-def tokens(name: Column) -> Column:
-    """Lower-case words of two letters or more, without stop words."""
+def tokens(name: Column, decompose: bool = False) -> Column:
+    """Lower-case words of two letters or more, without stop words. With
+    ``decompose`` accents are split off first, which takes a Python function."""
+    name = decomposed(name) if decompose else name
     words = F.split(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+")
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
 

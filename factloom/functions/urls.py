@@ -83,3 +83,27 @@ def classify_result(url: Column, official_host: Column) -> Column:
     own = F.coalesce((official_host != "") & (host == official_host), F.lit(False))
     kind, weight = F.when(own, F.lit("official_site")).otherwise(kind), F.when(own, F.lit(0.62)).otherwise(weight)
     return F.struct(kind.alias("source_type"), F.when(kind == "vendor_reference", "vendor_reference").otherwise("search_snippets").alias("access_level"), weight.alias("reliability"))
+
+
+def decode_redirect(href: Column) -> Column:
+    """Target of a search engine's redirect; a link without a scheme gets one."""
+    target = F.regexp_extract(href, r"[?&]uddg=([^&]+)", 1)
+    return F.when(target != "", F.try_url_decode(target)).when(F.startswith(href, F.lit("//")), F.concat(F.lit("https:"), href)).otherwise(href)
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """Absolute URL of a link on a page, without its fragment."""
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    folder = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/(?:[^?#]*/)?)", 1)
+    target = F.regexp_replace(href, r"#.*$", "")
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(F.startswith(target, F.lit("//")), F.concat(scheme, target))
+        .when(F.startswith(target, F.lit("/")), F.concat(origin, target))
+        .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), target))
+    )
+
+
+def same_origin(url: Column, base: Column) -> Column:
+    return (origin_of(url) != "") & (origin_of(url) == origin_of(base))

@@ -11,7 +11,7 @@ from factloom.functions import html as H
 from factloom.functions import identity as I
 from factloom.functions import scoring as S
 from factloom.functions import urls as U
-from factloom.operators import calibrate, coverage, facts, ingest, jsonfix, merge, query, report, search, staff
+from factloom.operators import calibrate, collect, coverage, discover, facts, ingest, jsonfix, merge, query, report, search, staff
 from factloom.operators.ranking import first_per, top_per
 from factloom.sources.fixtures import view, with_views
 from factloom.streaming import evidence_log
@@ -363,8 +363,7 @@ def link_categories_first(spark, sf):
 def mailto_tel(spark, sf):
     found = view(spark, sf, "site_pages").withColumn("l", H.links(F.col("html"))).where(F.size("l") > 0)
     one = lambda scheme: F.nullif(F.array_join(H.addresses(F.col("l"), scheme), ","), F.lit(""))
-    # a plus sign in a number is a blank once it is decoded
-    return found.select("page_id", one("mailto").alias("mails"), F.regexp_replace(F.array_join(F.transform(F.filter("l", lambda p: F.startswith(F.lower(p["href"]), F.lit("tel:"))), lambda p: F.substring(p["href"], 5, 1000)), ","), "^$", "").alias("p")).select("page_id", "mails", F.nullif("p", F.lit("")).alias("phones"))
+    return found.select("page_id", one("mailto").alias("mails"), one("tel").alias("phones"))
 
 
 _SIGNAL_WORDS = "(^|[^a-z0-9_])(staff|team|leadership|elders?|pastors?|contact|connect|about|visit|ministr|campus|locations?|sermons?)([^a-z0-9_]|$)"
@@ -839,3 +838,100 @@ def evidence_source_types(spark, sf):
     p = view(spark, sf, "site_pages")
     official = F.when(F.col("page_id") % 2 == 0, U.origin_of(F.col("url")))
     return p.select("page_id", U.source_type(F.col("url"), official).alias("source_type"))
+
+
+# ---------------------------------------------------------------- collection and discovery
+
+_ENT = f"replace(replace(replace(replace(replace(replace({{x}}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&')"
+
+
+def _body_sql() -> str:
+    x = "regexp_replace(regexp_replace(html, '(?is)^.*?<body[^>]*>', ''), '(?is)</body>.*$', '')"
+    for tag in H.HIDDEN:
+        x = f"regexp_replace({x}, '(?is)<{tag}.*?</{tag}>', ' ', 'g')"
+    return _spaced_sql(_ENT.format(x=f"regexp_replace(regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"))
+
+
+@registered(f"SELECT page_id, {_body_sql()} AS body FROM site_pages", "site_pages")
+def html_body_text(spark, sf):
+    return view(spark, sf, "site_pages").select("page_id", H.extract_text(F.col("html")).alias("body"))
+
+
+_ORIGIN = "lower(regexp_extract({x}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1))"
+_TARGET = "regexp_replace(href, '#.*$', '')"
+_ABSOLUTE = (
+    f"CASE WHEN regexp_matches({_TARGET}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {_TARGET} WHEN starts_with({_TARGET}, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || {_TARGET} "
+    f"WHEN starts_with({_TARGET}, '/') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || {_TARGET} "
+    f"ELSE regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1) || coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/(?:[^?#]*/)?)', 1), ''), '/') || {_TARGET} END"
+)
+
+
+@registered(LINKS_SQL + f"SELECT page_id, link_seq, target, {_ORIGIN.format(x='target')} <> '' AND {_ORIGIN.format(x='target')} = {_ORIGIN.format(x='url')} AS internal FROM (SELECT *, {_ABSOLUTE} AS target FROM kept)", "site_pages")
+def links_resolved(spark, sf):
+    out = _links(spark, sf).withColumn("target", U.resolve(F.col("href"), F.col("url")))
+    return out.select("page_id", "link_seq", "target", U.same_origin(F.col("target"), F.col("url")).alias("internal"))
+
+
+_HOSTS_SQL = "CASE doc_id % 11 " + " ".join(f"WHEN {i} THEN '{u}'" for i, u in enumerate([
+    "https://www.facebook.com/x", "https://youtu.be/1", "https://indeed.com/j", "https://www.google.com/maps/p", "https://yelp.com/b", "https://x.org/directory/1", "https://ohdistrict.org/", "https://bigbuilders.com/p", "https://www.tribune.com/a", "https://own.org/about",
+])) + " ELSE 'https://plain.example.org/' END"
+_CLASSES = " ".join(f"WHEN regexp_matches({ {'host': 'host', 'path': 'path', 'both': 'host || path'}[w]}, '{p}') THEN '{k}|{r}'" for w, p, k, r in U.RESULT_CLASSES)
+
+
+@registered(f"SELECT doc_id, split_part(k, '|', 1) AS source_type, CASE WHEN split_part(k, '|', 1) = 'vendor_reference' THEN 'vendor_reference' ELSE 'search_snippets' END AS access_level, CAST(split_part(k, '|', 2) AS DOUBLE) AS reliability FROM (SELECT doc_id, CASE WHEN host = 'own.org' THEN 'official_site|0.62' {_CLASSES} ELSE 'search|0.5' END AS k FROM (SELECT doc_id, {_HOST} AS host, lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)) AS path FROM (SELECT doc_id, {_HOSTS_SQL} AS url FROM documents)))")
+def result_classes(spark, sf):
+    urls = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.expr(_HOSTS_SQL).alias("url"))
+    return urls.select("doc_id", U.classify_result(F.col("url"), F.lit("own.org")).alias("k")).select("doc_id", "k.*")
+
+
+@registered(f"SELECT doc_id, regexp_matches(text, '{X.EMAIL}') OR regexp_matches(text, '{X.PHONE}') OR regexp_matches(text, '(?i)\\b(lead|senior|associate|executive|founding)\\s+pastor\\b') AS signal FROM texts", "texts")
+def contact_signals(spark, sf):
+    return _texts(spark, sf).select("doc_id", H.has_contact_signal(F.col("text")).alias("signal"))
+
+
+def _findings(spark, sf):
+    pages = view(spark, sf, "site_pages").select(
+        (F.col("page_id") % 25).alias("entity_id"), F.col("page_id").alias("seq"), "url", F.when(F.col("page_id") % 9 == 0, 404).otherwise(200).alias("status"),
+        F.get(F.array(*(F.lit(x) for x in ("home", "staff", "contact", "about", "sermons"))), (F.col("page_id") % 5).cast("int")).alias("category"), "html",
+    )
+    results = _texts(spark, sf).select((F.col("doc_id") % 25).alias("entity_id"), (F.col("doc_id") + 1_000_000).alias("seq"), F.expr(_HOSTS_SQL).alias("url"), F.lit("Result").alias("title"), F.substring("text", 1, 300).alias("snippet"), F.lit("own.org").alias("official_host"))
+    return collect.website_findings(pages).unionByName(collect.snippet_findings(results))
+
+
+@registered()
+def findings_collected(spark, sf):
+    """Findings of pages and snippets with the number of their fields."""
+    return _findings(spark, sf).select("entity_id", "seq", "source_type", "access_level", "fetched", F.size("fields").alias("n_fields"))
+
+
+@registered()
+def dossiers(spark, sf):
+    """The research result of each entity, from findings to confidence."""
+    return collect.dossiers(_findings(spark, sf)).drop("lead_pastor")
+
+
+def _targets(spark, sf):
+    name = F.concat(F.lit("Harbor Qx"), (F.translate(F.col("s_suppkey").cast("string"), "0123456789", "abcdefghij")), F.lit(" Church"))
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    slug = F.concat(F.lit("harborqx"), F.translate(F.col("s_suppkey").cast("string"), "0123456789", "abcdefghij"))
+    return s.select(
+        F.col("s_suppkey").alias("entity_id"), name.alias("name"), F.lit("Lima").alias("city"), F.lit("OH").alias("state"),
+        F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("www."), slug, F.lit(".org"))).alias("website"), F.lit(None).cast("string").alias("alternative"), slug.alias("slug"),
+    )
+
+
+@registered("""
+WITH t AS (SELECT s_suppkey, s_suppkey % 4 AS k, 'harborqx' || translate(CAST(s_suppkey AS STRING), '0123456789', 'abcdefghij') || '.org' AS host FROM supplier)
+SELECT s_suppkey AS entity_id, CASE WHEN k <> 0 THEN host END AS official_host FROM t
+""")
+def discover_sites(spark, sf):
+    """The chosen site of each target: its own where a page bears its name."""
+    targets = _targets(spark, sf)
+    k = F.col("entity_id") % 4
+    words = F.repeat(F.concat(F.lit("sunday worship service times "), F.col("name"), F.lit(" ")), 20)
+    html = F.concat(F.lit("<title>"), F.when(k == 3, F.lit("Other Place")).otherwise(F.col("name")), F.lit("</title><p>Lima "), F.when(k == 3, F.repeat(F.lit("worship and more words "), 20)).otherwise(words), F.lit("</p>"))
+    sites = discover.inspect(targets.select(F.concat("slug", F.lit(".org")).alias("host"), F.when(k == 0, 404).otherwise(200).alias("status"), html.alias("html")))
+    results = targets.select("entity_id", F.lit(1).alias("rank"), F.concat(F.lit("https://yelp.com/biz/"), "slug").alias("url"))
+    every = discover.candidates(targets, discover.seeds(targets, results), sites)
+    out = discover.official_sites(targets, every)
+    return out.select("entity_id", F.nullif(U.host_of(F.col("official_site")), F.lit("")).alias("official_host"))

@@ -139,3 +139,77 @@ def test_streams(spark, tmp_path):
     got = {tuple(r) for r in spark.table("counts").select("window_start", "event_type", "n").collect()}
     want = {(r.window_start, r.event_type, 2 * r.n) for r in evidence_log.windowed_counts(events).collect()}
     assert got == want
+
+
+def test_discovery_scenarios(spark):
+    from factloom.operators import discover
+
+    words = " sunday worship service times what to expect" * 12
+    own = lambda name, more="": f"<title>{name}</title><a href='/g'>Give</a><a href='/s'>Sermons</a><p>{name}{words} {more}</p>"
+    cases = {  # name, city, state, website, alternative, search results, pages by host
+        1: ("Oak Hill Church", "Lima", "OH", "oakhill.org", None, [], {"oakhill.org": own("Oak Hill Church", "Lima")}),
+        2: ("26:16:00", "Lima", "OH", None, None, ["https://some.org/"], {"some.org": own("Some Church")}),
+        3: ("Elm Street Church", "Lima", "OH", None, None, ["https://bigbuilders.com/portfolio/elm"], {"bigbuilders.com": own("Elm Street Church portfolio")}),
+        4: ("Pine Grove Church", "Lima", "OH", None, None, ["https://pines.org/"], {"pines.org": own("Pine Grove Church, TX")}),
+        5: ("Grace Church", "Lima", "OH", None, None, ["https://gracehub.net/"], {"gracehub.net": own("Grace news") .replace("Give", "x").replace("Sermons", "y")}),
+        6: ("Fair View Church", "Lima", "OH", None, None, ["https://www.yelp.com/biz/fv", "https://fairview.org/"], {"yelp.com": own("Fair View Church Lima"), "fairview.org": own("Fair View Church", "Lima")}),
+        7: ("Low Valley Church", "Lima", "OH", None, None, ["https://www.manta.com/biz/lv"], {"manta.com": own("Low Valley Church Lima")}),
+    }
+    targets = spark.createDataFrame([(k, *v[:5]) for k, v in cases.items()], "entity_id int, name string, city string, state string, website string, alternative string")
+    results = spark.createDataFrame([(k, i, u) for k, v in cases.items() for i, u in enumerate(v[5])], "entity_id int, rank int, url string")
+    pages = [(h, 200, p) for v in cases.values() for h, p in v[6].items()]
+    sites = discover.inspect(spark.createDataFrame(pages, "host string, status int, html string"))
+    every = discover.candidates(targets, discover.seeds(targets, results), sites).cache()
+    chosen = {k: (None, {}) for k in cases}
+    for r in every.collect():
+        chosen[r.entity_id][1][r.host] = r
+    for r in discover.official_sites(targets, every).collect():
+        chosen[r.entity_id] = (r.official_site, chosen[r.entity_id][1])
+    assert chosen[1][0] == "https://oakhill.org/" and chosen[1][1]["oakhill.org"].identity >= 65
+    assert chosen[2][0] is None and chosen[2][1]["some.org"].identity == 0
+    assert chosen[3][0] is None and chosen[3][1]["bigbuilders.com"].kind == "vendor_reference"
+    assert chosen[4][1]["pines.org"].place == "conflict" and chosen[4][0] is None
+    assert not chosen[5][1]["gracehub.net"].name_strong and chosen[5][0] is None
+    assert chosen[6][0] == "https://fairview.org/" and chosen[6][1]["yelp.com"].kind == "general_directory"
+    assert chosen[7][0] is None and chosen[7][1]["manta.com"].identity <= 44
+
+
+def test_contact_recovery(spark):
+    from factloom.operators import collect
+
+    page = "<title>C</title><p>Call (330) 555-0100</p><a href='mailto:office@x.org'>m</a><a href='tel:+13305550111'>t</a>"
+    pages = spark.createDataFrame([(1, 1, "https://x.org/c", 200, "contact", page), (1, 2, "https://x.org/z", 404, "home", page)], "entity_id int, seq int, url string, status int, category string, html string")
+    (f,) = collect.website_findings(pages).collect()
+    assert [(x.field_name, x.value, x.confidence) for x in f.fields] == [("phone", "(330) 555-0100", 80), ("email", "office@x.org", 88), ("phone", "+13305550111", 85)]
+    snippets = spark.createDataFrame([(1, 9, "https://facebook.com/x", "X", "info@y.org has 1.2k followers", None)], "entity_id int, seq int, url string, title string, snippet string, official_host string")
+    every = collect.website_findings(pages).unionByName(collect.snippet_findings(snippets))
+    best = {r.field_name: r.value for r in __import__("factloom.operators.facts", fromlist=["x"]).best_facts(collect.fact_candidates(every)).collect()}
+    assert best["office_email"] == "office@x.org" and best["office_phone"] == "+13305550111"
+    (d,) = collect.dossiers(every).collect()
+    assert d.access_level == "live_official_site" and d.official_crawled and d.n_conflicts == 1 and d.source_types == 2
+
+
+def test_stores(spark, tmp_path):
+    from factloom.sources import stores
+
+    (tmp_path / "db.json").write_text('{"churches": [{"id": "1", "name": "Oak"}], "runs": []}')
+    assert [r.name for r in stores.read_store(spark, str(tmp_path / "db.json"), "entities", "id: string, name: string").collect()] == ["Oak"]
+    assert stores.read_store(spark, str(tmp_path / "db.json"), "runs", "id: string").count() == 0
+    (tmp_path / "maps").mkdir()
+    (tmp_path / "maps" / "e1.json").write_text('{"_note": "x", "city": "Lima", "staff_count": {"value": 12, "confidence": 60}}')
+    got = {(r.entity_id, r.key, r.value, r.confidence) for r in stores.read_field_maps(spark, str(tmp_path / "maps")).collect()}
+    assert got == {("e1", "city", "Lima", None), ("e1", "staff_count", "12", 60.0)}
+
+
+def test_links_and_redirects(spark):
+    from factloom.functions import html as H
+    from factloom.functions import urls as U
+
+    rows = [("/a#x", "https://H.org/b/c?d", "https://H.org/a"), ("e", "https://h.org/b/c", "https://h.org/b/e"), ("//k.org/z", "https://h.org", "https://k.org/z"), ("mailto:x@y", "https://h.org", "mailto:x@y"), ("e", "https://h.org", "https://h.org/e")]
+    df = spark.createDataFrame(rows, "href string, base string, want string")
+    assert df.where(U.resolve(F.col("href"), F.col("base")) != F.col("want")).count() == 0
+    r = spark.createDataFrame([("/l/?uddg=https%3A%2F%2Fa.org%2F&x=1",), ("//b.org",), ("https://c.org",)], "h string")
+    assert [x[0] for x in r.select(U.decode_redirect(F.col("h"))).collect()] == ["https://a.org/", "https://b.org", "https://c.org"]
+    one = spark.createDataFrame([("<b>A</b>&amp;lt; &NBSP;x", "see https://www.facebook.com/p?x, and youtu.be/1")], "s string, t string")
+    got = one.select(H.strip_tags(F.col("s")).alias("a"), H.social_links(F.col("t")).alias("b"), H.has_contact_signal(F.col("t")).alias("c")).first()
+    assert got.a == "A&lt; x" and got.b == ["https://facebook.com/p?x,", "https://youtu.be/1"] and not got.c
