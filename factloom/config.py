@@ -100,7 +100,7 @@ STRUCTURED_FACTS = {
 # Fields with numbers in the master table.
 NUMERIC_FIELDS = [
     "staff_count", "campus_count", "weekend_services_count", "attendance_estimate", "attendance_min", "attendance_max",
-    "attendance_confidence", "influence_score", "mmc_fit_score", "multiplication_score", "church_planting_activity",
+    "attendance_confidence", "influence_score", "fit_score", "multiplication_score", "church_planting_activity",
     "leadership_development_score", "digital_reach_score", "verification_score",
 ]
 # Calibration fields with type, relative tolerance and whether they describe the run.
