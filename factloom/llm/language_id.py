@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.common import text_parts
+
 BLOCK = 256
 #: Bounds of the labelled sample: documents of each language, characters of each
 #: document, symbols of each automaton, languages in all.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, MAX_LANGUAGES = 64, 4096, 40_000, 256
-SLICE_CHARS = 2_000_000
+#: UTF-8 bytes parsed at once.
+SLICE_BYTES = 2_000_000
 UNKNOWN = "und"
 BOUNDARY, OTHER = 0, 1
 #: How many symbols' worth of evidence the score may rest on.
@@ -199,25 +202,12 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return Model(samples)
 
 
-def _text_groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t or "") > SLICE_CHARS:
-            yield start, i
-            start, size = i, 0
-        size += len(t or "")
-    if len(texts) > start:
-        yield start, len(texts)
-
-
 def _predictor(model, text_name: str, keep_columns: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text_name))
-            texts = column.to_pylist()
-            for a, b in _text_groups(texts):
-                found = model.value.predict([t or "" for t in texts[a:b]])
-                part = batch.slice(a, b - a)
+            for part in text_parts(batch, text_name, SLICE_BYTES):
+                texts = part.column(part.schema.get_field_index(text_name)).to_pylist()
+                found = model.value.predict([t or "" for t in texts])
                 if keep_columns:
                     yield part.filter(pa.array([lang != UNKNOWN for lang, _ in found]))
                 else:

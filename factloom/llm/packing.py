@@ -24,14 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialize
+from factloom.llm.common import materialize, text_parts
 
 WINDOW = 2048
 END_ID = 1
 #: Parts that the pieces of one length are dealt into for numbering.
 SPREAD = 128
 #: UTF-8 bytes tokenized at once.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 #: The characters that the vocabulary's splitting rule takes as white space.
 _SPACES = "[\\t-\\r \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -134,25 +134,14 @@ class WordTokenizer:
         return docs
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, pa.Array]]:
-    """Ids and texts, a few megabytes of text at a time."""
-    column = batch.column(1)
-    ends, start = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0))), 0
-    while start < len(column):
-        limit = (ends[start - 1] if start else 0) + SLICE_BYTES
-        stop = max(start + 1, int(np.searchsorted(ends, limit, "right")))
-        yield batch.column(0)[start:stop].to_pylist(), column[start:stop]
-        start = stop
-
-
 def _cutter(path: str, window: int, end_id: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
         for batch in batches:
             encode = encode or WordTokenizer(path)
-            for doc_ids, texts in _slices(batch):
+            for part in text_parts(batch, batch.schema.names[1], SLICE_BYTES):
                 rows = []
-                for doc_id, found in zip(doc_ids, encode(texts), strict=True):
+                for doc_id, found in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):
                     tokens = np.append(found, np.array([end_id], "<u4")).astype("<u4")
                     for start in range(0, len(tokens), window):
                         piece = tokens[start : start + window]

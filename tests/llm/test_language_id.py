@@ -53,7 +53,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(lid, "SLICE_CHARS", 100)
+    monkeypatch.setattr(lid, "SLICE_BYTES", 100)
     data = [(i, "the and of " * 9, "en", "x") for i in range(40)] + [(100 + i, "der die und " * 9, "de", "y") for i in range(40)]
     odd = [(1000, None, "en", ""), (1001, "", None, ""), (1002, "12 ... %", "en", ""), (None, "the of the and", None, ""), (1003, "и", "en", ""), (1004, "die der " * 50_000, None, ""), (1004, "the", None, "")]
     df = spark.createDataFrame(data + odd, "doc_id long, text string, lang string, score string")
