@@ -110,7 +110,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     records = page.select(url_key(F.col("url")).alias("key"), captured.alias("at"), "page_id", "digest", F.concat(header, F.lit(BLANK), block).alias("value"))
     total = (size["b"] or 0) + 700 * size["n"]
     archives = max(1, -(-total // archive_bytes))
-    runs = records.repartition(int(archives), "page_id", "digest").sortWithinPartitions("key", "at", "page_id").select("value")
+    # pages stay in the partitions that they come in: a run needs to be sorted only in itself
+    runs = records.sortWithinPartitions("key", "at", "page_id").select("value")
     runs.write.option("lineSep", BLANK).option("maxRecordsPerFile", max(1, 2 * size["n"] // archives)).text(path)
 
 
