@@ -100,7 +100,8 @@ def role_name(text: Column, title: str) -> Column:
     """Name next to a title: before it, after it, or in a list. Case is ignored
     throughout, so small-letter words can pass for names."""
     shapes = [rf"(?i){NAME}\s+(?:is\s+(?:the|our)\s+|serves as\s+(?:the|our)\s+)?{title}", rf"(?i){title}[\s:,\-–|]+{NAME}", rf"(?i){NAME}[\s,\-–|]+(?:{title})"]
-    return F.trim(F.coalesce(*(found(text, s) for s in shapes)))
+    # without the title none of them can match, which most texts show at once
+    return F.when(text.rlike(f"(?i){title}"), F.trim(F.coalesce(*(found(text, s) for s in shapes))))
 
 
 def office_email(text: Column) -> tuple[Column, Column]:

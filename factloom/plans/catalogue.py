@@ -14,6 +14,7 @@ from factloom.functions import urls as U
 from factloom.operators import calibrate, collect, coverage, discover, facts, ingest, jsonfix, merge, query, report, search, staff
 from factloom.operators.ranking import first_per, top_per
 from factloom.sources.fixtures import view, with_views
+from factloom.sources.staging import staged
 from factloom.streaming import evidence_log
 
 QUERIES = {}
@@ -907,7 +908,7 @@ def findings_collected(spark, sf):
 @registered()
 def dossiers(spark, sf):
     """The research result of each entity, from findings to confidence."""
-    return collect.dossiers(_findings(spark, sf)).drop("lead_pastor")
+    return collect.dossiers(staged(_findings(spark, sf), "findings")).drop("lead_pastor")
 
 
 def _targets(spark, sf):
@@ -932,6 +933,6 @@ def discover_sites(spark, sf):
     html = F.concat(F.lit("<title>"), F.when(k == 3, F.lit("Other Place")).otherwise(F.col("name")), F.lit("</title><p>Lima "), F.when(k == 3, F.repeat(F.lit("worship and more words "), 20)).otherwise(words), F.lit("</p>"))
     sites = discover.inspect(targets.select(F.concat("slug", F.lit(".org")).alias("host"), F.when(k == 0, 404).otherwise(200).alias("status"), html.alias("html")))
     results = targets.select("entity_id", F.lit(1).alias("rank"), F.concat(F.lit("https://yelp.com/biz/"), "slug").alias("url"))
-    every = discover.candidates(targets, discover.seeds(targets, results), sites)
+    every = staged(discover.candidates(targets, staged(discover.seeds(targets, results), "seeds"), staged(sites, "sites")), "candidates")
     out = discover.official_sites(targets, every)
     return out.select("entity_id", F.nullif(U.host_of(F.col("official_site")), F.lit("")).alias("official_host"))
