@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.config import SETTINGS
@@ -34,6 +34,15 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def where_any(text: Column, words: list[str], value: Column) -> Column:
+    """The value where the text has one of the words, in any case, else null. For
+    expressions that can't match without: finding a word is far cheaper."""
+    low, hit = F.lower(text), F.lit(False)
+    for w in words:
+        hit = hit | low.contains(w)
+    return F.when(hit, value)
+
+
 def first_of(hay: Column, choices: list[tuple[str, str]]) -> Column:
     out = F.lit(None).cast("string")
     for pattern, name in reversed(choices):
@@ -50,8 +59,10 @@ def founded_year(text: Column, as_of: int = SETTINGS.as_of_year) -> tuple[Column
     """Year and confidence: a stated year, else a year less an anniversary."""
     stated = found(text, r"(?i)\b(?:began|founded|established|planted|started|est\.?|since)\s+(?:in\s+)?((?:18|19|20)\d{2})\b").try_cast("int")
     stated = F.when((stated > 1800) & (stated <= as_of), stated)
-    age = F.coalesce(found(text, r"(?i)celebrat\w*\s+(\d{1,3})\s+years"), found(text, r"(?i)(\d{1,3})(?:th|st|nd|rd)?\s+anniversary")).try_cast("int")
+    stated_age = F.coalesce(found(text, r"(?i)celebrat\w*\s+(\d{1,3})\s+years"), found(text, r"(?i)(\d{1,3})(?:th|st|nd|rd)?\s+anniversary"))
+    age = where_any(text, ["celebrat", "anniversary"], stated_age).try_cast("int")
     at = F.coalesce(found(text, r"(?i)\bin\s+((?:19|20)\d{2})\b"), found(text, r"\b((?:19|20)\d{2})\b")).try_cast("int")
+    at = F.when(age.isNotNull(), at)
     counted = F.when((age > 1) & (age < 200) & (at - age > 1800) & (at - age <= as_of), at - age)
     return F.coalesce(stated, counted), F.when(stated.isNotNull(), 70.0).when(counted.isNotNull(), 64.0)
 
@@ -66,16 +77,19 @@ def number(token: Column) -> Column:
 
 def campuses(text: Column) -> tuple[Column, Column, Column]:
     """Number of campuses, whether there are several, and confidence."""
-    told = number(found(text, rf"(?i)\b(\d+|{'|'.join(NUMBER_WORDS)})\s+(?:campuses|locations|sites)\b"))
-    single = text.rlike(r"(?i)\b(?:one|single)\s+(?:location|campus|site)\b")
-    several = text.rlike(r"(?i)\bmulti-?site\b|\ball (?:our )?(?:campuses|locations)\b|\bother locations\b|\bcampus pastor\b")
+    places = ["campus", "location", "site"]
+    told = number(where_any(text, places, found(text, rf"(?i)\b(\d+|{'|'.join(NUMBER_WORDS)})\s+(?:campuses|locations|sites)\b")))
+    either = lambda c: F.coalesce(where_any(text, places, c), F.lit(False))
+    single = either(text.rlike(r"(?i)\b(?:one|single)\s+(?:location|campus|site)\b"))
+    several = either(text.rlike(r"(?i)\bmulti-?site\b|\ball (?:our )?(?:campuses|locations)\b|\bother locations\b|\bcampus pastor\b"))
     count = F.coalesce(told, F.when(single, 1))
     multi = F.when(told.isNotNull(), told > 1).when(single, False).when(several, True)
     return count, multi, F.when(told.isNotNull(), 65.0).when(single | several, 55.0)
 
 
 def staff_count(text: Column) -> Column:
-    n = F.coalesce(found(text, r"(?i)\bteam of\s+(\d+)\b"), found(text, r"(?i)\b(\d+)\s+(?:full-?time\s+)?(?:staff|team members|employees)\b")).try_cast("int")
+    told = F.coalesce(found(text, r"(?i)\bteam of\s+(\d+)\b"), found(text, r"(?i)\b(\d+)\s+(?:full-?time\s+)?(?:staff|team members|employees)\b"))
+    n = where_any(text, ["team", "staff", "employees"], told).try_cast("int")
     return F.when((n > 0) & (n < 2000), n)
 
 
@@ -106,7 +120,7 @@ def role_name(text: Column, title: str) -> Column:
 
 def office_email(text: Column) -> tuple[Column, Column]:
     """First office address, else the first address, and confidence."""
-    every = F.regexp_extract_all(text, F.lit(EMAIL), 0)
+    every = F.when(text.contains("@"), F.regexp_extract_all(text, F.lit(EMAIL), 0))
     office = F.get(F.filter(every, lambda e: e.rlike(r"(?i)^(info|connect|hello|office|contact|admin|church|welcome)@")), F.lit(0))
     first = F.get(every, F.lit(0))
     return F.coalesce(office, first), F.when(office.isNotNull(), 60.0).when(first.isNotNull(), 45.0)
@@ -116,28 +130,45 @@ def phone(text: Column) -> Column:
     return found(text, f"({PHONE})")
 
 
-def text_facts(text: Column, url: Column, as_of: int = SETTINGS.as_of_year) -> Column:
-    """All candidates of a text, as an array of (field_name, value, confidence)."""
+def fact_pieces(text: Column, url: Column, as_of: int = SETTINGS.as_of_year) -> dict[str, Column]:
+    """What a text tells, piece by piece. As columns of their own the pieces share
+    their work; ``facts_of_pieces`` makes candidates of them."""
     year, year_conf = founded_year(text, as_of)
     count, multi, campus_conf = campuses(text)
     gives, provider = giving(text, url)
     status, app_provider, app_conf = app(text, url)
     email, email_conf = office_email(text)
+    return {
+        "_year": year, "_year_conf": year_conf, "_count": count, "_multi": multi, "_campus_conf": campus_conf, "_staff": staff_count(text), "_gives": gives, "_giving_by": provider,
+        "_app": status, "_app_by": app_provider, "_app_conf": app_conf, "_email": email, "_email_conf": email_conf, "_phone": phone(text),
+    } | {f"_{field}": role_name(text, title) for field, title in ROLES}
+
+
+def facts_of_pieces(as_of: int = SETTINGS.as_of_year) -> Column:
+    """Candidates, as an array of (field_name, value, confidence), from the pieces."""
+    c = F.col
     made = [
-        candidate("founded_year", year, year_conf),
-        candidate("years_active", F.lit(as_of) - year, year_conf),
-        candidate("campus_count", count, campus_conf),
-        candidate("multi_site", multi, campus_conf),
-        candidate("staff_count", staff_count(text), 58),
-        candidate("online_giving_present", F.when(gives, F.lit(True)), 60),
-        candidate("giving_provider", provider, 55),
-        candidate("app_status", status, app_conf),
-        candidate("app_provider", app_provider, app_conf),
-        *(candidate(field, role_name(text, title), 55) for field, title in ROLES),
-        candidate("office_email", email, email_conf),
-        candidate("office_phone", phone(text), 55),
+        candidate("founded_year", c("_year"), c("_year_conf")),
+        candidate("years_active", F.lit(as_of) - c("_year"), c("_year_conf")),
+        candidate("campus_count", c("_count"), c("_campus_conf")),
+        candidate("multi_site", c("_multi"), c("_campus_conf")),
+        candidate("staff_count", c("_staff"), 58),
+        candidate("online_giving_present", F.when(c("_gives"), F.lit(True)), 60),
+        candidate("giving_provider", c("_giving_by"), 55),
+        candidate("app_status", c("_app"), c("_app_conf")),
+        candidate("app_provider", c("_app_by"), c("_app_conf")),
+        *(candidate(field, c(f"_{field}"), 55) for field, _ in ROLES),
+        candidate("office_email", c("_email"), c("_email_conf")),
+        candidate("office_phone", c("_phone"), 55),
     ]
-    return F.filter(F.array(*made), lambda c: c["value"].isNotNull() & (c["value"] != ""))
+    return F.filter(F.array(*made), lambda x: x["value"].isNotNull() & (x["value"] != ""))
+
+
+def text_facts(df: DataFrame, keys: list[str], text: Column, url: Column, as_of: int = SETTINGS.as_of_year) -> DataFrame:
+    """The keys of each row with every candidate of its text."""
+    pieces = df.select(*keys, text.alias("_text"), url.alias("_url"))
+    pieces = pieces.select(*keys, *(c.alias(k) for k, c in fact_pieces(F.col("_text"), F.col("_url"), as_of).items()))
+    return pieces.select(*keys, F.inline(facts_of_pieces(as_of)))
 
 
 def snippet_facts(kind: Column, text: Column) -> Column:

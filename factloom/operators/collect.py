@@ -57,7 +57,7 @@ def fact_candidates(findings: DataFrame, as_of: int = 2024) -> DataFrame:
     """Candidates of all findings, from their text and from their fields."""
     text = F.trim(F.regexp_replace(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit(""))), r"\s+", " "))
     common = ["entity_id", "url", "access_level", "reliability"]
-    read = findings.where(text != "").select(*common, (F.col("seq") * 2).alias("seq"), F.inline(X.text_facts(text, F.col("url"), as_of)))
+    read = X.text_facts(findings.where(text != "").withColumn("seq", F.col("seq") * 2), [*common, "seq"], text, F.col("url"), as_of)
     told = facts.structured_candidates(findings.where(text != "").select(*common, (F.col("seq") * 2 + 1).alias("seq"), F.inline("fields")))
     return read.unionByName(told)
 

@@ -580,7 +580,7 @@ def snippet_fields(spark, sf):
 @registered()
 def text_facts(spark, sf):
     """All candidates of each text in one projection, and the best per field."""
-    rows = _texts(spark, sf).select(F.col("doc_id").alias("entity_id"), F.inline(X.text_facts(F.col("text"), F.col("url"))))
+    rows = X.text_facts(_texts(spark, sf).withColumnRenamed("doc_id", "entity_id"), ["entity_id"], F.col("text"), F.col("url"))
     return facts.best_facts(rows.withColumns({"reliability": F.lit(0.5), "seq": F.lit(0)})).select("entity_id", "field_name", "value", "confidence")
 
 

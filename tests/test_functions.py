@@ -89,7 +89,8 @@ def test_founded_year(spark, text, year, conf):
 
 def test_text_facts(spark):
     text = "Three campuses, a team of 12. Lead Pastor: John Adams. Ways to give with Pushpay. Mail bob@x.org or info@x.org, (330) 555-0100."
-    got = {r.field_name: (r.value, r.confidence) for r in ask(spark, X.text_facts(F.lit(text), F.lit("https://x.org")))}
+    rows = X.text_facts(spark.createDataFrame([(1, text)], "k int, text string"), ["k"], F.col("text"), F.lit("https://x.org")).collect()
+    got = {r.field_name: (r.value, r.confidence) for r in rows}
     assert got["campus_count"] == ("3", 65) and got["multi_site"] == ("true", 65) and got["staff_count"] == ("12", 58)
     assert got["giving_provider"] == ("Pushpay", 55) and got["office_email"] == ("info@x.org", 60) and got["office_phone"] == ("(330) 555-0100", 55)
     assert got["lead_pastor"][0] == "John Adams"
