@@ -5,7 +5,8 @@ calendar, address range) are replaced by a value of the same format, chosen by a
 keyed Feistel permutation of that format's values. A value always gets the same
 pseudonym and two values never share one, so records stay linked across
 documents, while the values themselves can't be had back without the key.
-Whatever fails its check is left alone.
+Of a candidate that fails its check the shorter beginnings are tried, and what is
+behind the value found is read again; whatever fails them all is left alone.
 
 Integers are permuted on a grid a x b by adding, in turn, a keyed hash of one
 side to the other; where the grid has cells to spare the permutation walks its
@@ -38,6 +39,22 @@ PATTERNS = {
     "card": r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Candidates lie in runs of such words with one space between.
+_WORD = r"(?:[^\s\d@]*+[\d@]\S*+|[A-Z]++(?![a-z])\S*+)"
+ISLAND = rf"(?<!\S){_WORD}(?: {_WORD})*+"
+#: Kinds of variable length, of which a shorter beginning can be the value, and what they look like.
+VARIABLE = ("iban", "phone_e164", "card")
+CUTTABLE = r"^(?:[A-Z]{2}\d\d|\+?\d)"
+# Lengths of account numbers by country, and of phone numbers (with the country code) where a plan has just one.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20,
+    "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30,
+    "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22,
+    "VG": 24, "XK": 20,
+}
+PHONE_LENGTHS = {"1": 11, "7": 11, "30": 12, "31": 11, "33": 11, "34": 11, "41": 11, "44": 12, "45": 10, "47": 10, "48": 11, "61": 11, "351": 12, "420": 12}
+PHONE_CODES = "^(?:" + "|".join(PHONE_LENGTHS) + ")"
 #: Every candidate has one of these; most texts have none and are left at that.
 HINT = r"@|\d[\d ./()-]{4}|[A-Z]{2}\d\d"
 
@@ -256,24 +273,76 @@ def _email(m: Column, key: str) -> tuple[Column, Column]:
 _KINDS = {"email": _email, "iban": _iban, "ip": _ip, "iso_date": _iso_date, "date": _date, "ssn": _ssn, "phone": _phone, "phone_e164": _phone_e164, "card": _card}
 
 
-def _replaced(m: Column, key: str) -> Column:
+def _replaced(m: Column, key: str, kinds: tuple[str, ...] = tuple(_KINDS)) -> Column:
     """kind and pseudonym of a candidate; null kind and the text itself if no check holds."""
     found, text = F.lit(None).cast("string"), m
-    for kind, how in reversed(_KINDS.items()):
-        valid, new = how(m, key)
+    for kind in reversed(kinds):
+        valid, new = _KINDS[kind](m, key)
         fits = m.rlike(f"^(?:{PATTERNS[kind]})$") & F.coalesce(valid, F.lit(False))
         found = F.when(fits, F.lit(kind)).otherwise(found)
         text = F.when(fits, new).otherwise(text)
     return F.struct(found.alias("kind"), text.alias("value"))
 
 
+def _planned(p: Column) -> Column:
+    """Whether a string has the very length that its country's accounts or phones have."""
+    lengths = lambda known: F.create_map(*(F.lit(x) for pair in known.items() for x in pair))
+    account = p.rlike(r"^[A-Z]{2}\d\d") & (F.try_element_at(lengths(IBAN_LENGTHS), F.substring(p, 1, 2)) == F.length(F.regexp_replace(p, " ", "")))
+    code = F.regexp_extract(_digits(p), PHONE_CODES, 0)
+    return F.coalesce(account | (p.startswith("+") & (F.try_element_at(lengths(PHONE_LENGTHS), code) == F.length(_digits(p)))), F.lit(False))
+
+
+def _longest(m: Column, key: str) -> Column:
+    """kind and pseudonym of the longest beginning of a candidate that holds its
+    check, and the tail behind it; one of its country's length goes first. If none
+    holds, the first run of letters and digits is text and the rest is the tail."""
+    ends = F.filter(F.sequence(F.length(m) - 1, F.lit(1), F.lit(-1)), lambda i: F.substring(m, i, F.lit(2)).rlike(r"^[A-Za-z0-9)][^A-Za-z0-9)]"))
+    # the check and the pattern's end both hold before what is neither letter nor digit
+    shorter = F.when(m.rlike(CUTTABLE), F.transform(ends, lambda i: F.substring(m, F.lit(1), i))).otherwise(F.array().cast("array<string>"))
+    none = F.struct(F.lit(None).cast("string").alias("kind"), F.lit("").alias("value"), F.lit("").alias("tail"))
+
+    def tried(best: Column, p: Column, kinds: tuple[str, ...]) -> Column:
+        one = F.get(F.transform(F.array(_replaced(p, key, kinds)), lambda r: F.struct(r["kind"].alias("kind"), r["value"].alias("value"), F.substring(m, F.length(p) + 1, F.length(m)).alias("tail"))), F.lit(0))
+        return F.when(best["kind"].isNotNull(), best).otherwise(one)
+
+    first = F.aggregate(F.filter(shorter, _planned), none, lambda best, p: tried(best, p, VARIABLE))
+    whole = F.aggregate(F.array(m), first, lambda best, p: tried(best, p, tuple(_KINDS)))
+    any_ = F.aggregate(shorter, whole, lambda best, p: tried(best, p, VARIABLE))
+    head = F.regexp_extract(m, r"^[^A-Za-z0-9]*[A-Za-z0-9]*", 0)
+    failed = F.struct(F.lit(None).cast("string").alias("kind"), head.alias("value"), F.substring(m, F.length(head) + 1, F.length(m)).alias("tail"))
+    return F.get(F.transform(F.array(any_), lambda x: F.when(x["kind"].isNotNull(), x).otherwise(failed)), F.lit(0))
+
+
+def _scanned(island: Column, key: str) -> Column:
+    """An island as pieces with their kinds, from left to right; tails are read again."""
+    start = F.struct(F.array().cast("array<struct<kind: string, value: string>>").alias("out"), island.alias("rest"))
+    piece = lambda kind, value: F.struct(kind.cast("string").alias("kind"), value.alias("value"))
+
+    def step(s: Column, _: Column) -> Column:
+        parts = F.split(s["rest"], ANY, 2)
+        now = F.struct(F.get(parts, F.lit(0)).alias("gap"), F.get(parts, F.lit(1)).alias("behind"), _longest(F.regexp_extract(s["rest"], ANY, 0), key).alias("at"))
+        moved = F.transform(
+            F.array(now),
+            lambda x: F.struct(
+                F.concat(s["out"], F.array(piece(F.lit(None), x["gap"]), piece(x["at"]["kind"], x["at"]["value"]))).alias("out"),
+                F.concat(x["at"]["tail"], x["behind"]).alias("rest"),
+            ),
+        )
+        last = F.struct(F.concat(s["out"], F.array(piece(F.lit(None), s["rest"]))).alias("out"), F.lit("").alias("rest"))
+        return F.when(s["rest"] == "", s).when(s["rest"].rlike(ANY), F.get(moved, F.lit(0))).otherwise(last)
+
+    # a step uses up a run of letters and digits at least, and the last one the end
+    steps = F.sequence(F.lit(0), F.size(F.split(island, "[^A-Za-z0-9]+")))
+    return F.when(island.rlike(ANY), F.aggregate(steps, start, step, lambda s: s["out"])).otherwise(F.array(piece(F.lit(None), island)))
+
+
 def _pieces(text: Column, key: str) -> tuple[Column, Column]:
-    """Text between candidates, and the candidates with their replacements."""
-    return F.split(text, ANY, -1), F.transform(F.regexp_extract_all(text, F.lit(ANY), 0), lambda m: _replaced(m, key))
+    """Text between islands, and the islands as pieces."""
+    return F.split(text, ISLAND, -1), F.transform(F.regexp_extract_all(text, F.lit(ISLAND), 0), lambda m: _scanned(m, key))
 
 
 def _joined(gaps: Column, found: Column) -> Column:
-    ends = F.concat(F.transform(found, lambda x: x["value"]), F.array(F.lit("")))
+    ends = F.concat(F.transform(found, lambda x: F.array_join(F.transform(x, lambda p: p["value"]), "")), F.array(F.lit("")))
     return F.array_join(F.zip_with(gaps, ends, lambda g, v: F.concat(g, v)), "")
 
 
@@ -285,15 +354,15 @@ def pseudonymize(documents: DataFrame, key: str = KEY, id_col: str = "doc_id", t
     two columns are read; null and repeated ids are kept as they are.
     """
     text = F.col("text")
-    none = F.from_json(F.lit("[]"), "array<struct<kind: string, value: string>>")
+    none = F.from_json(F.lit("[]"), "array<array<struct<kind: string, value: string>>>")
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     found = _pieces(text, key)[1]
     # in two steps, so that the replacements are made once
     cut = rows.select("doc_id", "text", F.when(text.rlike(HINT), found).otherwise(none).alias("found"))
-    done = F.filter("found", lambda x: x["kind"].isNotNull())
+    done = F.filter(F.flatten("found"), lambda x: x["kind"].isNotNull())
     return cut.select(
         "doc_id",
-        F.when(F.size(done) > 0, _joined(F.split(text, ANY, -1), F.col("found"))).otherwise(text).alias("text"),
+        F.when(F.size(done) > 0, _joined(F.split(text, ISLAND, -1), F.col("found"))).otherwise(text).alias("text"),
         F.coalesce(F.size(done), F.lit(0)).alias("n_replaced"),
         F.coalesce(F.transform(done, lambda x: x["kind"]), F.array().cast("array<string>")).alias("kinds"),
     )

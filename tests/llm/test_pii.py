@@ -63,6 +63,22 @@ def test_what_fails_its_check_stays(spark):
     assert {r.n_replaced for r in rows} == {0}
 
 
+def test_what_stands_behind_a_value_does_not_hide_it(spark):
+    card, iban, phone = "4111 1111 1111 1111", "BE68 5390 0754 7034", "+44 20 7946 0958"
+    cases = [
+        ("", card, " 12/27", ["card"]), ("", card, " 123", ["card"]), ("12 ", card, " 12/27", ["card"]), ("", card.replace(" ", "-"), " 12 27", ["card"]),
+        ("", iban, " BIC", ["iban"]), ("", iban, " 1332 EUR", ["iban"]), ("", iban.replace(" ", ""), " EUR", ["iban"]), ("x ", "AT61 1904 3002 3457 3201", " EUR 12", ["iban"]),
+        ("", phone, " 2024", ["phone_e164"]), ("", phone, " 10", ["phone_e164"]), ("call ", phone, " 1234 5678", ["phone_e164"]), ("", "408-555-7800", "", ["phone"]),
+        ("13 34 56 ", "408-555-7800", "", ["phone"]),
+    ]
+    rows = one(spark, [a + v + b for a, v, b, _ in cases])
+    alone = one(spark, [v for _, v, _, _ in cases])
+    for (a, v, b, kinds), r, lone in zip(cases, rows, alone):
+        assert (r.text, r.kinds) == (a + lone.text + b, kinds) and lone.text != v, (v, r)
+    both, = one(spark, [f"{card} 43.179.73.104 and {iban} BIC {card} 12/27 1984-02-29"])
+    assert both.kinds == ["card", "ip", "iban", "card", "iso_date"] and card not in both.text and "43.179" not in both.text
+
+
 def test_permutations(spark):
     df = spark.range(1000)
     got = df.select(pii.permute_below(F.col("id"), 1000, "k", "t").alias("x"), pii.permute_number(F.col("id"), 25, 40, "k", "t").alias("y")).collect()
