@@ -189,6 +189,27 @@ def test_contact_recovery(spark):
     assert d.access_level == "live_official_site" and d.official_crawled and d.n_conflicts == 1 and d.source_types == 2
 
 
+def test_findings_read_whole_texts(spark, tmp_path):
+    import re
+
+    from factloom.plans import registry
+    from factloom.sources.fixtures import view
+
+    # a tail behind the 300th character for every second document
+    tail = " ask the Senior Pastor at 408-555-78{:02d} or 12 Mill Road; 1,2{:02d} followers"
+    docs = [(i, "plain words " * 40 + (tail.format(i, i) if i % 2 else ""), "en", "s", 1) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "https://a.org/", "<p>none</p>")], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    patterns = [r"(?i)[\d][\d,.]*\s*[KkMm]?\s+(followers|subscribers|likes)", r"(?i)\b(lead|senior|associate|executive|founding)\s+pastor\b", r"\(?\b\d{3}\)?[ .-]\d{3}[ .-]\d{4}\b", r"\b\d{2,6}\s+[A-Z][A-Za-z0-9 .]+\b(?:Rd|Road|St|Street|Ave|Avenue|Blvd|Dr|Drive|Lane|Ln|Way|Hwy|Pkwy)\b"]
+    texts = {r.doc_id: r.text for r in view(spark, str(tmp_path), "texts").collect()}
+    want = {i + 1_000_000: sum(bool(re.search(p, t)) for p in patterns) for i, t in texts.items()}
+    got = {r.seq: r.n_fields for r in registry.queries()["findings_collected"](spark, str(tmp_path)).collect() if r.seq >= 1_000_000}
+    assert got and got == {k: want[k] for k in got} and max(got.values()) == 4
+    found = registry.queries()["dossiers"](spark, str(tmp_path)).where("office_phone is not null").collect()
+    # what a snippet starts with has phones too, all of them others
+    assert {r.office_phone[:10] for r in found} >= {"408-555-78"}
+
+
 def test_stores(spark, tmp_path):
     from factloom.sources import stores
 
