@@ -221,11 +221,16 @@ SIGNALS = [
 ]
 
 
-def digital_signals(hay: Column) -> dict[str, Column]:
-    """Each signal, the platforms named, and how many signals there are in all."""
+def signal_flags(hay: Column) -> dict[str, Column]:
+    """Whether each platform (p0, p1, ...) and each signal (s0, ...) is named in a text."""
     low = F.lower(hay)
-    platforms = F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(n)) for n, p in PLATFORMS)))
-    made = {name: low.rlike(p) for name, p in SIGNALS}
+    return {f"p{i}": low.rlike(p) for i, (_, p) in enumerate(PLATFORMS)} | {f"s{i}": low.rlike(p) for i, (_, p) in enumerate(SIGNALS)}
+
+
+def signals_of_flags() -> dict[str, Column]:
+    """Each signal, the platforms named, and how many signals there are in all."""
+    platforms = F.array_compact(F.array(*(F.when(F.col(f"p{i}"), F.lit(n)) for i, (n, _) in enumerate(PLATFORMS))))
+    made = {name: F.coalesce(F.col(f"s{i}"), F.lit(False)) for i, (name, _) in enumerate(SIGNALS)}
     made["church_app"] = made["church_app"] | F.arrays_overlap(platforms, F.array(F.lit("Subsplash"), F.lit("Church Center")))
     count = F.when(F.size(platforms) > 0, 1).otherwise(0)
     for c in made.values():

@@ -2,27 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.extract import digital_signals, signal_summary
+from factloom.functions.extract import signal_flags, signal_summary, signals_of_flags
 from factloom.functions.urls import host_of
 
 ROLE_FACTS = ["lead_pastor", "executive_pastor", "operations_leader", "communications_leader"]
 TIER_CONFIDENCE = {"Low": 38, "Medium": 55, "High": 76}
 
 
+#: A pattern that blanks may divide has so many words at most; a word that no pattern crosses.
+SPAN, BREAK = 4, "\x01"
+
+
+def _joined_ends(pieces: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """entity_id and the end of each piece with what follows it, as far as a pattern goes."""
+    at = Window.partitionBy(*by).orderBy(*order)
+    following = [F.lead("short", k).over(at) for k in range(1, SPAN)]
+    return pieces.select("entity_id", F.concat_ws(" \n ", "last", *following).alias("hay"))
+
+
 def signals_by_entity(findings: DataFrame) -> DataFrame:
     """Digital signals over all of an entity's findings, in order.
 
-    Patterns may run over the ends of findings, so their texts are joined; an
-    entity's findings are the pages of one site and some snippets.
+    Patterns are matched per finding and combined. They may also run over the ends
+    of findings, so the last words of each are read with the first of those that
+    follow it, in ranges of (entity, seq) and then over the ends of ranges; no
+    entity's findings meet in one row or task.
     Needs entity_id, seq, title, body, url.
     """
     text = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")), "url")
-    hay = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", text.alias("t")))), lambda x: x["t"]), " \n ")
-    made = digital_signals(F.col("hay"))
-    out = findings.groupBy("entity_id").agg(hay.alias("hay")).select("entity_id", *(c.alias(k) for k, c in made.items()))
+    own = findings.select("entity_id", "seq", text.alias("hay"))
+    # ends are cut at words; a finding of few words is kept whole
+    first = F.regexp_extract("hay", rf"^\s*(\S+(?:\s+\S+){{0,{SPAN - 1}}})", 1)
+    last = F.regexp_extract("hay", rf"(?<!\S)(\S+(?:\s+\S+){{0,{SPAN - 1}}})\s*$", 1)
+    few = F.trim(F.regexp_replace("hay", r"\s+", " "))
+    whole = ~F.col("hay").rlike(rf"^\s*(?:\S+\s+){{{2 * SPAN}}}\S")
+    ends = own.where(F.col("hay").rlike(r"\S")).select("entity_id", "seq", F.when(whole, few).otherwise(last).alias("last"), F.when(whole, few).otherwise(F.concat_ws(f" {BREAK} ", first, last)).alias("short"))
+    n = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = ends.repartitionByRange(n, "entity_id", "seq", "short").withColumn("range", F.spark_partition_id())
+    near = _joined_ends(ranged, ["entity_id", "range"], ["seq", "short"])
+    up = Window.partitionBy("entity_id", "range").orderBy("seq", "short")
+    down = Window.partitionBy("entity_id", "range").orderBy(F.desc("seq"), F.desc("short"))
+    placed = ranged.withColumns({"up": F.row_number().over(up), "down": F.row_number().over(down)}).where((F.col("up") < SPAN) | (F.col("down") < SPAN))
+    # what is between the first and the last of a range is left out here
+    gap = (F.col("up") == SPAN - 1) & (F.col("down") > SPAN)
+    closed = placed.withColumns({c: F.when(gap, F.concat_ws(" ", c, F.lit(BREAK))).otherwise(F.col(c)) for c in ("last", "short")})
+    far = _joined_ends(closed, ["entity_id"], ["range", "seq", "short"])
+    hays = own.select("entity_id", "hay").unionByName(near).unionByName(far)
+    flags = signal_flags(F.col("hay"))
+    named = hays.select("entity_id", *(c.alias(k) for k, c in flags.items())).groupBy("entity_id").agg(*(F.bool_or(k).alias(k) for k in flags))
+    made = signals_of_flags()
+    out = named.select("entity_id", *(c.alias(k) for k, c in made.items()))
     return out.withColumn("evidence_summary", signal_summary({k: F.col(k) for k in made}))
 
 

@@ -891,11 +891,12 @@ def contact_signals(spark, sf):
 
 
 def _findings(spark, sf):
+    # 25 pages and 25 results to an entity, however many there are
     pages = view(spark, sf, "site_pages").select(
-        (F.col("page_id") % 25).alias("entity_id"), F.col("page_id").alias("seq"), "url", F.when(F.col("page_id") % 9 == 0, 404).otherwise(200).alias("status"),
+        F.floor(F.col("page_id") / 25).alias("entity_id"), F.col("page_id").alias("seq"), "url", F.when(F.col("page_id") % 9 == 0, 404).otherwise(200).alias("status"),
         F.get(F.array(*(F.lit(x) for x in ("home", "staff", "contact", "about", "sermons"))), (F.col("page_id") % 5).cast("int")).alias("category"), "html",
     )
-    results = _texts(spark, sf).select((F.col("doc_id") % 25).alias("entity_id"), (F.col("doc_id") + 1_000_000).alias("seq"), F.expr(_HOSTS_SQL).alias("url"), F.lit("Result").alias("title"), F.col("text").alias("snippet"), F.lit("own.org").alias("official_host"))
+    results = _texts(spark, sf).select(F.floor(F.col("doc_id") / 25).alias("entity_id"), (F.col("doc_id") + 1_000_000).alias("seq"), F.expr(_HOSTS_SQL).alias("url"), F.lit("Result").alias("title"), F.col("text").alias("snippet"), F.lit("own.org").alias("official_host"))
     return collect.website_findings(pages).unionByName(collect.snippet_findings(results))
 
 

@@ -117,6 +117,31 @@ def test_signals(spark):
     assert got[2].evidence_summary == "giving: none detected · platforms: none detected · media: none detected"
 
 
+def test_signals_over_ends_and_of_many_findings(spark):
+    import random
+    import re
+
+    from factloom.functions import extract as X
+
+    rng = random.Random(3)
+    words = ["text", "give", "to", "12345", "church", "center", "apple", "pay", "gifts", "of", "stock", "word", "planning", "more words of a long text here and on", "rock", "rms", " ", ""]
+    rows = [(0 if i % 3 else i % 60, i, rng.choice([None, rng.choice(words)]), rng.choice(words), rng.choice([None, None, "https://a.org/text"])) for i in range(900)]
+    for e, chain in enumerate([["text", "give", "to", "12345"], ["apple", " ", "pay now"], ["text to", "x", "12345"], ["apple a b c d e f g h", "pay"], ["text", "give of", "to 12345"], ["a b c d e f g h i church", "", "center b c d e f g h i j"]]):
+        rows += [(1000 + e, k, None, t, None) for k, t in enumerate(chain)]
+    df = spark.createDataFrame(rows, "entity_id int, seq int, title string, body string, url string").repartition(5)
+    hays = {}
+    for e, _, *parts in sorted(rows, key=lambda r: r[:2]):
+        hays.setdefault(e, []).append(" ".join([parts[0] or "", parts[1] or "", *([parts[2]] if parts[2] else [])]))
+    got = coverage.signals_by_entity(df)
+    for r in got.collect():
+        low = " \n ".join(hays[r.entity_id]).lower()
+        assert r.platforms == [n for n, p in X.PLATFORMS if re.search(p, low)], r
+        assert {n: r[n] for n, _ in X.SIGNALS[:-1]} == {n: bool(re.search(p, low)) for n, p in X.SIGNALS[:-1]}, r
+    assert got.count() == len(hays)
+    # no list of an entity's texts is made
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+
+
 def test_export_and_updates(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", None), (2, "b", "x")], "id int, name string, note string")
     assert report.export(df, str(tmp_path / "o.json")) == "json" and spark.read.json(str(tmp_path / "o.json")).count() == 2
