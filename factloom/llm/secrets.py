@@ -30,12 +30,12 @@ CONTEXT = 60
 NAMES = r"passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential"
 # What to look for, in order of precedence; group 1, if any, is the candidate.
 RULES = {
-    "private_key": (("PRIVATE KEY",), r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    "private_key": (("PRIVATE KEY",), r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----)[\s\S])*+-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----|(?:\s*+[A-Za-z0-9+/=]{16,}+)*+)"),
     "aws_key": (("AKIA", "ASIA"), r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    "provider_token": (("gh", "xox", "sk_live_", "AIza", "glpat-"), r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,200}|sk_live_[A-Za-z0-9]{16,64}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20})(?![A-Za-z0-9])"),
+    "provider_token": (("gh", "xox", "sk_live_", "AIza", "glpat-"), r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20})(?![A-Za-z0-9])"),
     "jwt": (("eyJ",), r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    "url_password": (("://",), r"(?i)[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:([^\s@/]{3,100})@"),
-    "assigned": (("=", ":"), rf"(?i)(?:{NAMES})[\w.-]{{0,20}}[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"']?([^\s\"',;<>]{{6,200}})"),
+    "url_password": (("://",), r"(?i)[a-z][a-z0-9+.-]{1,20}://[^\s:/@]++:([^\s@/]{3,}+)@"),
+    "assigned": (("=", ":"), rf"(?i)(?<![\w.-])(?=[\w.-]*?(?:{NAMES}))[\w.-]++[\"']?\s{{0,3}}[ \t]*+(?:=>|:=|=|:)\s{{0,3}}[ \t]*+[\"']?([^\s\"',;<>]{{6,}}+)"),
     "random": ((), r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]*+\d[A-Za-z0-9+/_=-]*+"),
 }
 _COMPILED = {k: (hints, re.compile(p)) for k, (hints, p) in RULES.items()}
@@ -166,6 +166,20 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding
             lead = {"assigned": pick(names) + pick(["=", " = ", ": "]) + pick(["", '"']), "url_password": "mysql://root:"}.get(rule, pick(["", "", "", "commit ", "sha1 ", "checksum: ", "id=", "revision ", "see ", '"']))
             before, after = prose() + lead, pick([" ", "\n", '"', ", "]) + prose()
         out.append(((rule, value, before[-CONTEXT:], after[:CONTEXT], path), int(real)))
+    base64 = mixed + "+/"
+    for i in range(n // 10):
+        # keys from BEGIN to END, long values, and what stands for a key in manuals
+        kind, real = pick(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]) + "PRIVATE KEY", i % 3 < 2
+        lines = [chars(base64, 64) for _ in range(int(rng.integers(2, 28)))] if real else [pick(["...", "your key here", "<" + pick(words) + ">", "x" * int(rng.integers(6, 64)), "\n".join([pick(words) + " " + pick(words)] * 3), ""])]
+        pem = f"-----BEGIN {kind}-----\n" + "\n".join(lines) + f"\n-----END {kind}-----"
+        if real and i % 6 == 0:
+            pem = pem[: pem.rindex("\n-----END")]  # cut off in the text
+        elif not real and i % 6 == 2:
+            pem = f"-----BEGIN {kind}-----"
+        out.append((("private_key", pem, prose()[-CONTEXT:], prose(), pick(paths)), int(real)))
+        name = pick(names) + pick(["=", " = ", ": "]) + pick(["", '"'])
+        value = chars(base64, int(rng.integers(64, 3000))) if real else pick(["x", "*", "0", pick(words) + "_"]) * int(rng.integers(30, 300))
+        out.append((("assigned", value, (prose() + name)[-CONTEXT:], pick([" ", "\n"]) + prose()[: CONTEXT - 1], pick(paths)), int(real)))
     return out
 
 
