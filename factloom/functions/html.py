@@ -26,6 +26,15 @@ def visible_text(html: Column) -> Column:
     return _spaced(_plain(F.regexp_replace(out, r"(?s)<!--.*?-->", " ")))
 
 
+def inner_text(html: Column) -> Column:
+    """Visible text with a line for each block, as a browser shows it."""
+    out = html
+    for tag in HIDDEN:
+        out = F.regexp_replace(out, rf"(?is)<{tag}.*?</{tag}>", " ")
+    flat = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"\s+", " ")
+    return _plain(F.regexp_replace(flat, r"(?i)<br\b[^>]*>|</?(?:p|div|li|ul|ol|h[1-6]|tr|td|th|table|section|article|header|footer|title|figcaption|dt|dd)\b[^>]*>", "\n"))
+
+
 def title(html: Column) -> Column:
     return _spaced(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
 

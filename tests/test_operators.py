@@ -214,6 +214,19 @@ def test_contact_recovery(spark):
     assert d.access_level == "live_official_site" and d.official_crawled and d.n_conflicts == 1 and d.source_types == 2
 
 
+def test_staff_cards_and_repeated_urls(spark):
+    from factloom.operators import collect
+
+    page = "<title>Team</title><div><h3>Ann Lee</h3><p>Lead Pastor</p></div><div><h3>Bob Ray</h3><p>Director of Operations</p></div><p>Cy Fox - Kids Coordinator</p>"
+    pages = spark.createDataFrame([(1, 1, "https://x.org/s", 200, "staff", page), (1, 2, "https://x.org/h", 200, "home", page)], "entity_id int, seq int, url string, status int, category string, html string")
+    staff, home = sorted(collect.website_findings(pages).collect(), key=lambda r: r.seq)
+    got = {(f.field_name, f.value, f.confidence) for f in staff.fields}
+    assert got >= {("lead_pastor", "Ann Lee", 80.0), ("operations_leader", "Bob Ray", 78.0), ("staff_count", "3", 70.0)}
+    assert "STAFF CARDS: Ann Lee — Lead Pastor • Bob Ray — Director of Operations" in staff.body and not home.fields
+    results = spark.createDataFrame([(1, 9, "https://a.org", "B", "later", None), (1, 8, "https://a.org", "A", "first", None), (2, 7, "https://a.org", "C", "own", None)], "entity_id int, seq int, url string, title string, snippet string, official_host string")
+    assert sorted((r.entity_id, r.body) for r in collect.snippet_findings(results).collect()) == [(1, "first"), (2, "own")]
+
+
 def test_findings_read_whole_texts(spark, tmp_path):
     import re
 
