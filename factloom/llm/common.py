@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,25 +15,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests on one machine, a folder of
-    this process is used.
+    A local session that names none, as in tests, gets a folder of this process,
+    which is deleted at its end; a session on a cluster has to name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
     return _own_dirs[app]
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -43,6 +51,54 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no plan reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    known = _written.get(spark.sparkContext.applicationId, [])
+    if path in known:
+        known.remove(path)
+
+
+def clear_intermediates(spark: SparkSession) -> int:
+    """Delete all that the operators of this application have written to the shared
+    folder and return the number of folders. Results that were not yet read or
+    stored elsewhere are lost with them."""
+    paths = list(_written.get(spark.sparkContext.applicationId, []))
+    for path in paths:
+        remove(spark, path)
+    return len(paths)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called like it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key is hot from this many rows on, and if its rows are one of so many parts of all.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """Inner join of ``left`` with the unique ``keys`` of ``right``, whose column
+    ``count`` tells how many rows of ``left`` have each key.
+
+    Keys of more than ``total / HOT_KEYS`` rows (and HOT_ROWS) are broadcast, which
+    are HOT_KEYS at most whatever the size, so their rows stay where they are; the
+    rows of no other key are more than that share in one task. Both sides should
+    be tables, as they are read twice if there is a hot key.
+    """
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    hot = right.where(F.col(count) > bound).drop(count)
+    if not hot.take(1):
+        return left.join(right.drop(count), keys)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(count) <= bound).drop(count), keys)
+    return left.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def text_crc32(text: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes; a null text has no bytes."""
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))

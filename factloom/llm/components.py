@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialize
+from factloom.llm.common import materialize, remove
 
 
 def connected_components(edges: DataFrame, low: str, high: str) -> DataFrame:
@@ -16,9 +16,10 @@ def connected_components(edges: DataFrame, low: str, high: str) -> DataFrame:
     Loops and repeated pairs do no harm; null ends are left out. Every step is a
     grouped minimum and a join, so a node with many edges is combined before the
     shuffle and split by the adaptive join. Each round is written to the shared
-    folder; the number of rounds grows with the logarithm of the longest chain.
+    folder and the one before deleted; the number of rounds grows with the logarithm of the longest chain.
     """
     a, b = F.col(low).cast("long"), F.col(high).cast("long")
+    spark = edges.sparkSession
     now = materialize(edges.where(a != b).select(F.greatest(a, b).alias("v"), F.least(a, b).alias("u")).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
@@ -29,8 +30,11 @@ def connected_components(edges: DataFrame, low: str, high: str) -> DataFrame:
         # small star: smaller neighbours and the node itself do the same
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         moved = large.join(least, "v").where(F.col("u") != F.col("m")).select(F.col("u").alias("v"), F.col("m").alias("u"))
+        old = now.inputFiles()
         now = materialize(moved.union(least.select("v", F.col("m").alias("u"))).distinct(), "edges")
         before, mark = mark, _mark(now)
+        if old:
+            remove(spark, old[0].rpartition("/")[0])
         if mark == before:
             break
     roots = now.select("u").distinct()

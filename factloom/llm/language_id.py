@@ -6,16 +6,18 @@ of the same language needs few, long phrases. The phrase count times the bits of
 a pointer into the labelled text, per symbol, is the cross-entropy; the language
 with the least wins.
 
-Texts become symbols first: lower-cased letters, any run of other characters as
-one boundary, and letters that no labelled text has as one more symbol. A parse
-needs only the automaton's forward transitions and a restart at the root, so it
-runs as a table look-up over many blocks of text in step. Blocks hold ``BLOCK``
-symbols; a text of any length is the sum of its blocks.
+Texts become symbols first: every letter that any labelled text has is a symbol of
+its own, in small form; so are any run of other characters, as a boundary, and
+all letters that no labelled text has. A parse needs only the automaton's forward
+transitions and a restart at the root, so it runs as look-ups over many blocks of
+text in step. Most states have one transition, so the transitions of all states
+are laid over each other in one array (row displacement), each with the state
+that owns it: its size follows the labelled text, not the alphabet. Blocks hold
+``BLOCK`` symbols; a text of any length is the sum of its blocks.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,12 +30,16 @@ from factloom.llm.common import text_parts
 
 BLOCK = 256
 #: Bounds of the labelled sample: documents of each language, characters of each
-#: document, symbols of each automaton, languages in all.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS, MAX_LANGUAGES = 64, 4096, 40_000, 256
+#: document, symbols of each automaton, and documents and symbols of all languages
+#: together, which are shared out evenly where there are very many.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 64, 4096, 40_000
+ALL_DOCS, ALL_SYMBOLS = 16_384, 4_000_000
 #: UTF-8 bytes parsed at once.
 SLICE_BYTES = 2_000_000
 UNKNOWN = "und"
 BOUNDARY, OTHER = 0, 1
+#: Places that are tried at once for a state's transitions.
+SEARCH = 2048
 #: How many symbols' worth of evidence the score may rest on.
 SCORE_SYMBOLS = 60
 
@@ -47,8 +53,8 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``symbols`` (0: none), state 0 the root."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of ``symbols``, state 0 the root."""
     steps: list[dict[int, int]] = [{}]
     link, longest = [-1], [0]
     last = 0
@@ -75,48 +81,83 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    table = np.zeros((len(steps), width), np.int32)
-    for i, s in enumerate(steps):
-        for c, to in s.items():
-            table[i, c] = to
-    return table
-
-
-def parse_table(steps: np.ndarray) -> np.ndarray:
-    """Per state and symbol: (next state * row width) * 4 + phrases that end there.
-
-    The last symbol of the width is padding and changes nothing.
-    """
-    states, width = steps.shape
-    root = steps[0].copy()
-    table = np.where(steps > 0, steps, root)
-    ended = np.where(steps > 0, 0, 1 + (root == 0))
-    ended[0] = steps[0] == 0
-    table[:, width - 1] = np.arange(states)
-    ended[:, width - 1] = 0
-    return ((table.astype(np.int32) * width) << 2 | ended.astype(np.int32)).ravel()
+    return steps
+
+
+class Automaton:
+    """Transitions of all states in one array: that of state s by symbol c, if there
+    is one, is at ``base[s] + c``, with s as its owner."""
+
+    def __init__(self, symbols: list[int], width: int):
+        steps = automaton(symbols)
+        self.base = np.full(len(steps), width, np.int32)
+        size = sum(map(len, steps))
+        free = np.ones(4 * size + 8 * width + 2 * SEARCH, bool)
+        owner, to = np.full(len(free), -1, np.int32), np.zeros(len(free), np.int32)
+        # the widest rows first; where most of a stretch is taken the search moves on
+        low = width
+        for state in sorted((i for i, s in enumerate(steps) if len(s) > 1), key=lambda i: -len(steps[i])):
+            own = np.sort(np.fromiter(steps[state], np.int64))
+            start = low
+            while True:
+                if start + SEARCH + width > len(free):
+                    free, owner, to = np.append(free, free | True), np.append(owner, np.full_like(owner, -1)), np.append(to, np.zeros_like(to))
+                fits = free[start : start + SEARCH].copy()
+                for gap in (own[1:] - own[0]).tolist():
+                    fits &= free[start + gap : start + gap + SEARCH]
+                at = int(fits.argmax())
+                if fits[at]:
+                    break
+                start += SEARCH
+            if start + at > low + SEARCH // 2:
+                low += SEARCH // 4
+            at += start - int(own[0])
+            self.base[state] = at
+            free[at + own] = False
+            owner[at + own], to[at + own] = state, [steps[state][int(c)] for c in own]
+        single = [(i, *next(iter(s.items()))) for i, s in enumerate(steps) if len(s) == 1]
+        if single:
+            state, c, target = np.array(single, np.int64).T
+            place = width + np.flatnonzero(free[width:])[: len(single)]
+            self.base[state], owner[place], to[place] = place - c, state, target
+        used = int(np.flatnonzero(owner >= 0).max(initial=0)) + 1
+        cell = np.full(used + width + 1, np.int64(-1) << 32, np.int64)
+        cell[:used] = (owner[:used].astype(np.int64) << 32) | to[:used]
+        self.cell = cell
+        self.root = np.zeros(width, np.int32)
+        for c, target in steps[0].items():
+            self.root[c] = target
+        self.bits = float(np.log2(max(len(symbols), 2)))
+
+    def phrases(self, steps: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """Phrases of each lane of symbols; ``lanes``: how many go on at each step,
+        the longest ones first."""
+        state, total = np.zeros(steps.shape[1], np.int32), np.zeros(steps.shape[1], np.int32)
+        for column, k in zip(steps, lanes, strict=True):
+            c, now = column[:k], state[:k]
+            cell = self.cell[self.base[now] + c]
+            stays = (cell >> 32) == now
+            new = np.where(stays, cell.astype(np.int32), self.root[c])
+            # a phrase ends where the match can't go on, and at once if it can't begin
+            total[:k] += (~stays & (now > 0)) + (new == 0).view(np.int8)
+            state[:k] = new
+        return total + (state > 0)
 
 
 class Model:
-    """Parse tables by language, over one alphabet."""
+    """Automata by language, over one alphabet of all letters that the samples have."""
 
     def __init__(self, samples: dict[str, list[str]], symbols: int = SAMPLE_SYMBOLS):
         self.languages = sorted(samples)
-        common = Counter(c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha())
-        # a byte has room for these, the boundary, other letters and padding
-        self.alphabet = [c for c, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:120]]
-        self.width = len(self.alphabet) + 3
-        self.tables, self.bits = [], []
-        for name in self.languages:
-            sample = self.symbols("\n".join(samples[name]))[:symbols]
-            self.tables.append(parse_table(automaton(sample.tolist(), self.width)))
-            self.bits.append(np.log2(max(len(sample), 2)))
+        self.alphabet = sorted({c for texts in samples.values() for t in texts for c in t.lower() if c.isalpha()})
+        width = len(self.alphabet) + 2
+        symbols = max(1, min(symbols, ALL_SYMBOLS // max(len(samples), 1)))
+        self.automata = [Automaton(self.symbols("\n".join(samples[name]))[:symbols].tolist(), width) for name in self.languages]
 
     def _codes(self) -> np.ndarray:
         if not hasattr(self, "of_code"):
-            self.of_code = np.where(_letters(), OTHER, BOUNDARY).astype(np.uint8)
-            for i, c in enumerate(self.alphabet):
-                self.of_code[ord(c)] = i + 2
+            self.of_code = np.where(_letters(), OTHER, BOUNDARY).astype(np.int32)
+            self.of_code[[ord(c) for c in self.alphabet]] = np.arange(len(self.alphabet)) + 2
         return self.of_code
 
     def __getstate__(self):
@@ -136,26 +177,20 @@ class Model:
         rows = [r if (r != BOUNDARY).any() else r[:0] for r in rows]
         sizes = np.array([len(r) for r in rows], np.int64)
         blocks = -(-sizes // BLOCK)
-        lanes = int(blocks.sum())
         counts = np.zeros((len(texts), len(self.languages)))
-        if not lanes:
+        if not blocks.sum():
             return sizes, counts
-        grid = np.full((lanes, BLOCK), self.width - 1, np.uint8)
-        flat, first = grid.reshape(-1), 0
-        for r, n in zip(rows, blocks, strict=True):
-            flat[first * BLOCK : first * BLOCK + len(r)] = r
-            first += n
-        steps = np.ascontiguousarray(grid.T)
+        # one lane for each block, the longest first
         owner = np.repeat(np.arange(len(texts)), blocks)
-        for k, table in enumerate(self.tables):
-            state, total = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-            for column in steps:
-                state += column
-                state = table[state]
-                total += state & 3
-                state >>= 2
-            total += state > 0
-            counts[:, k] = np.bincount(owner, total, len(texts))
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        filled = np.minimum(sizes[owner] - BLOCK * place, BLOCK)
+        order = np.argsort(-filled, kind="stable")
+        grid = np.zeros((len(owner), BLOCK), np.int32)
+        grid[np.arange(BLOCK) < filled[:, None]] = np.concatenate(rows)
+        steps = np.ascontiguousarray(grid[order].T)
+        lanes = np.searchsorted(-filled[order], -np.arange(BLOCK), "left")
+        for k, one in enumerate(self.automata):
+            counts[:, k] = np.bincount(owner[order], one.phrases(steps, lanes), len(texts))
         return sizes, counts
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -163,7 +198,7 @@ class Model:
         if not self.languages:
             return [(UNKNOWN, 0.0)] * len(texts)
         sizes, counts = self.phrases(texts)
-        entropy = counts * np.array(self.bits) / np.maximum(sizes, 1)[:, None]
+        entropy = counts * np.array([a.bits for a in self.automata]) / np.maximum(sizes, 1)[:, None]
         best = entropy.argmin(axis=1)
         gap = (entropy - entropy.min(axis=1, keepdims=True)) * np.minimum(sizes, SCORE_SYMBOLS)[:, None]
         score = 1 / np.exp2(-np.minimum(gap, 500)).sum(axis=1)
@@ -178,26 +213,30 @@ def id_remainder(id_col: Column, by: int) -> Column:
 def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS) -> Model:
     """Automata from the labelled rows whose id's remainder by 3 is not 1.
 
-    The sample has ``docs`` documents of each language at most, those with the
-    least hash in each of as many hash buckets, and of each SAMPLE_CHARS
-    characters at most; both bounds hold whatever the input size.
+    The sample has ``docs`` documents of each language at most (fewer where there
+    are over ALL_DOCS / ``docs`` languages, one at least), those with the least
+    hash in each of as many hash buckets, and of each SAMPLE_CHARS characters at
+    most; the bounds hold whatever the input size.
     """
     id_, text, lang = F.col(id_col), F.col(text_col), F.col(lang_col)
     rows = documents.where(text.isNotNull() & lang.isNotNull() & (id_remainder(id_, 3) != 1)).select(
         lang.cast("string").alias("lang"), F.xxhash64(id_.cast("string"), F.lit("language")).alias("h"), text.alias("text")
     )
-    least = rows.groupBy("lang", F.pmod("h", F.lit(docs)).alias("part")).agg(F.min("h").alias("h")).limit(MAX_LANGUAGES * docs + 1).collect()
-    if len(least) > MAX_LANGUAGES * docs:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
+    least = rows.groupBy("lang", F.pmod("h", F.lit(docs)).alias("part")).agg(F.min("h").alias("h")).collect()
     samples: dict[str, list[str]] = {r["lang"]: [] for r in least}
     if least:
-        # a handful of literals: the scan filters by them, nothing is joined
-        wanted = {(r["lang"], r["h"]) for r in least}
+        most = max(1, min(docs, ALL_DOCS // len(samples)))
+        wanted, taken = set(), dict.fromkeys(samples, 0)
+        for r in sorted(least, key=lambda r: (r["lang"], r["part"])):
+            if taken[r["lang"]] < most:
+                wanted.add((r["lang"], r["h"]))
+                taken[r["lang"]] += 1
+        # literals, few enough to count: the scan filters by them, nothing is joined
         chosen = rows.where(F.col("h").isin([h for _, h in wanted])).select("lang", "h", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-        seen = set()
+        # of rows that repeat an id the least text counts
+        chosen = chosen.groupBy("lang", "h").agg(F.min("text").alias("text"))
         for r in sorted(chosen.collect(), key=lambda r: (r["h"], r["text"])):
-            if (r["lang"], r["h"]) in wanted and (r["lang"], r["h"]) not in seen:
-                seen.add((r["lang"], r["h"]))
+            if (r["lang"], r["h"]) in wanted:
                 samples[r["lang"]].append(r["text"])
     return Model(samples)
 
@@ -234,7 +273,13 @@ def identify_languages(documents: DataFrame, model: Model | None = None, id_col:
 
 
 def drop_unknown_language(documents: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that some language is found for, with their columns as they are."""
+    """The documents that some language is found for, with their columns as they are.
+
+    A text that is null, empty or has no letter goes, and so does every text where
+    no labelled row is there to learn from. Rows with null or repeated ids are
+    judged like any other; a long text is judged whole; other columns may have any
+    name. An empty table stays empty.
+    """
     model = model or fit(documents, id_col, text_col, lang_col)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     return documents.mapInArrow(_predictor(shared, text_col, True), documents.schema)

@@ -1,20 +1,22 @@
 """SimHash near-duplicates by a hierarchical index in Gray order.
 
-Fingerprints that differ in at most two of 64 bits agree on one of three parts
-of the bits, so each distinct fingerprint is sent to three groups, by part and
-value. In a group the fingerprints are sorted by Gray rank, which puts similar
-ones side by side, and a tree is built over runs of them: a node keeps the bits
-that all below it share, less those that its parent has already. A search adds
-up the differences on its way down and drops a whole subtree once they exceed
-the limit; at the leaves the sum is the exact distance. Groups above a size
-bound are split by one of three parts of the bits left, again and again, which
-loses no link and bounds every group.
+Few fingerprints are one group. More are dealt into groups of about ``TARGET``:
+fingerprints that differ in at most two of 64 bits agree on one of three parts of
+the bits, so each goes to three groups, by the value of the first bits of each
+part, as many as the number of fingerprints asks for. In a group the fingerprints
+are sorted by Gray rank, which puts similar ones side by side, and a tree is
+built over runs of them: a node keeps the bits that all below it share, less
+those that its parent has already. A search adds up the differences on its way
+down and drops a whole subtree once they exceed the limit; at the leaves the sum
+is the exact distance. Groups above ``GROUP`` are split by one of three parts of
+the bits left, again and again, which loses no link and bounds every group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import repeat
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialize
+from factloom.llm.common import fresh, join_counted, materialize
 from factloom.llm.components import connected_components, local_roots
 
 SHINGLE, LIMIT, SEED = 3, 2, 42
-#: Most fingerprints of a group before it is split, and children of a node.
-GROUP, FAN = 20_000, 8
+#: Fingerprints that a group is meant to have and has at most before it is split, and children of a node.
+TARGET, GROUP, FAN = 4096, 20_000, 8
+#: Dropped rows (16 bytes each) whose keys are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 #: Pairs of query and node that are held at once; UTF-8 bytes hashed at once.
 FRONTIER, SLICE_BYTES = 2_000_000, 8_000_000
 ALL_BITS = (1 << 64) - 1
@@ -95,8 +99,9 @@ def gray_rank(code: np.ndarray) -> np.ndarray:
     return code
 
 
-def near_pairs(codes: np.ndarray, groups: np.ndarray, limit: int = LIMIT, fan: int = FAN) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs of one group that differ in ``limit`` bits at most."""
+def near_pairs(codes: np.ndarray, groups: np.ndarray, limit: int = LIMIT, fan: int = FAN, visited: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of one group that differ in ``limit`` bits at most.
+    ``visited`` gets the number of nodes that were compared, level by level."""
     order = np.lexsort((gray_rank(codes), groups))
     codes, groups = codes[order], groups[order]
     edge = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
@@ -128,6 +133,8 @@ def near_pairs(codes: np.ndarray, groups: np.ndarray, limit: int = LIMIT, fan: i
         apart = np.zeros(len(query), np.int64)
         for depth in range(len(levels) - 1, -1, -1):
             level = levels[depth]
+            if visited is not None:
+                visited.append(len(query))
             apart = apart + np.bitwise_count((codes[query] ^ level["value"][node]) & level["rest"][node])
             near = (apart <= limit) & (level["last"][node] > query)
             query, node, apart = query[near], node[near], apart[near]
@@ -177,18 +184,22 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def fingerprint_links(codes: DataFrame, group: int = GROUP) -> DataFrame:
+def _first_bits(mask: int, n: int) -> int:
+    return sum(1 << b for b in [b for b in range(64) if mask >> b & 1][:n])
+
+
+def fingerprint_links(codes: DataFrame, group: int = GROUP, target: int = TARGET) -> DataFrame:
     """Links (low, high) that connect every two fingerprints at two bits or fewer.
 
     ``codes`` has distinct fingerprints in the column fingerprint.
     """
-    masks, found = [0], None
-    rows = codes.select(F.lit(0).cast("long").alias("mask"), F.col("fingerprint").alias("code"))
-    while masks:
-        children = {m: [m | p for p in _parts(ALL_BITS & ~m)] for m in masks}
-        masks = [c for cs in children.values() for c in cs]
-        choice = F.create_map(*(x for m, cs in children.items() for x in (F.lit(_signed(m)).cast("long"), F.array(*(F.lit(_signed(c)).cast("long") for c in cs)))))
-        rows = rows.select(F.explode(choice[F.col("mask")]).alias("mask"), "code")
+    rows = materialize(codes.select(F.col("fingerprint").alias("code")), "codes")
+    bits = min(max(ceil(log2(max(rows.count(), 1) / target)), 0), 21)
+    # one group of all, or three parts of the bits of which no pair can differ in each
+    masks = [_first_bits(part, bits) for part in _parts(ALL_BITS)] if bits else [0]
+    rows = rows.select(F.explode(F.array(*(F.lit(_signed(m)).cast("long") for m in masks))).alias("mask"), "code")
+    found = None
+    while True:
         rows = materialize(rows.select("mask", F.col("mask").bitwiseAND(F.col("code")).alias("value"), "code"), "codes")
         large = materialize(rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).drop("n"), "large-groups")
         fixed = max(bin(m).count("1") for m in masks)
@@ -198,11 +209,13 @@ def fingerprint_links(codes: DataFrame, group: int = GROUP) -> DataFrame:
         part = dealt.mapInArrow(_link_batches, "low long, high long")
         found = part if found is None else found.union(part)
         if not split:
-            break
+            return found
         rows = rows.join(large, ["mask", "value"], "left_semi").select("mask", "code")
         present = {r["mask"] & ALL_BITS for r in large.select("mask").distinct().collect()}
-        masks = [m for m in masks if m in present]
-    return found
+        children = {m: [m | p for p in _parts(ALL_BITS & ~m)] for m in masks if m in present}
+        masks = [c for cs in children.values() for c in cs]
+        choice = F.create_map(*(x for m, cs in children.items() for x in (F.lit(_signed(m)).cast("long"), F.array(*(F.lit(_signed(c)).cast("long") for c in cs)))))
+        rows = rows.select(F.explode(choice[F.col("mask")]).alias("mask"), "code")
 
 
 def fingerprint_components(prints: DataFrame) -> DataFrame:
@@ -221,30 +234,50 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     columns are not read.
     """
     prints = materialize(document_fingerprints(documents, id_col, text_col).select("doc_id", "fingerprint"), "fingerprints")
-    classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
-    rooted = materialize(fingerprint_components(prints), "roots").join(classes, "fingerprint")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = rooted.join(least, "root").select("fingerprint", F.col("component_id"))
-    known = classes.join(linked, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(known, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = materialize(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "classes")
+    known = _with_component(classes, "least", "component_id")
+    found = join_counted(prints, known, ["fingerprint"], "n", prints.count())
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _with_component(classes: DataFrame, value: str, name: str) -> DataFrame:
+    """fingerprint, n and the least ``value`` of each fingerprint's component."""
+    rooted = materialize(classes.join(fingerprint_components(classes), "fingerprint"), "roots")
+    by_root = materialize(rooted.groupBy("root").agg(F.min(value).alias(name), F.count(F.lit(1)).alias("members")), "least")
+    linked = join_counted(rooted.select("fingerprint", "root"), by_root, ["root"], "members", rooted.count()).select("fingerprint", name)
+    return materialize(classes.join(linked, "fingerprint", "left").select("fingerprint", "n", F.coalesce(name, value).alias(name)), "known")
 
 
-def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id (null last,
-    then by a hash of the text), with its columns as they are."""
+def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """One document of each component, the one with the smallest id, with its
+    columns as they are.
+
+    A null id comes last; of equal ids the text with the least hash stays, and of
+    rows that repeat id and text the one that is least as JSON, so the choice is
+    always the same. Null, empty and blank texts have fingerprint zero and are
+    linked like any other; long texts count whole. Columns may have any name. An
+    empty table stays empty.
+
+    Texts stay where they are as long as the keys of the dropped rows are
+    ``most_broadcast`` at most; beyond that they are joined by a shuffle.
+    """
     prints = materialize(document_fingerprints(documents, id_col, text_col), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("text_hash"))
-    classes = prints.groupBy("fingerprint").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
-    roots = fingerprint_components(prints)
-    kept = (
-        classes.join(roots, "fingerprint", "left")
-        .groupBy(F.coalesce("root", "fingerprint").alias("root"))
-        .agg(F.min("first").alias("first"))
-        .select(F.col("first.doc_id").alias("_kept_id"), F.col("first.text_hash").alias("_kept_hash"))
-    )
-    id_ = F.col(id_col).cast("long")
-    same = id_.eqNullSafe(F.col("_kept_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_kept_hash"))
-    chosen = documents.join(kept, same, "left_semi")
-    twice = prints.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    # rows that repeat both id and text
-    return chosen.dropDuplicates([id_col, text_col]) if twice.take(1) else chosen
+    classes = materialize(prints.groupBy("fingerprint").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")), "classes")
+    known = _with_component(classes, "first", "kept")
+    placed = join_counted(prints, known, ["fingerprint"], "n", prints.count())
+    stays = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & F.col("text_hash").eqNullSafe(F.col("kept.text_hash"))
+    counted = materialize(placed.groupBy("doc_id", "text_hash").agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("copies")), "decided")
+    id_name, hash_name = (fresh(documents.columns, c) for c in ("kept_id", "kept_hash"))
+    key = [F.col("doc_id").alias(id_name), F.col("text_hash").alias(hash_name)]
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_name)) & F.xxhash64(F.col(text_col).cast("string")).eqNullSafe(F.col(hash_name))
+    gone, twice = counted.where("not stays").select(*key), counted.where("stays and copies > 1").select(*key)
+    small = gone.count() <= most_broadcast
+    chosen = documents.join(F.broadcast(gone), same, "left_anti") if small else documents.join(counted.where("stays").select(*key), same, "left_semi")
+    if not twice.take(1):
+        return chosen
+    small = twice.count() <= most_broadcast
+    twice = F.broadcast(twice) if small else twice
+    row = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    merged = chosen.join(twice, same, "left_semi").groupBy(F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(text_col).cast("string")).alias("h")).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return chosen.join(twice, same, "left_anti").unionByName(merged.select("row.*"))

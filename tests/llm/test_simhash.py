@@ -122,3 +122,32 @@ def test_documents(spark):
     assert kept.count() == len({w for w in want})
     assert {r.doc_id for r in kept.collect()} == set(want)
     assert sh.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_tree_prunes_and_few_bits_lose_no_link(spark):
+    rng = np.random.default_rng(8)
+    codes = np.unique(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    visited = []
+    left, right = sh.near_pairs(codes, np.zeros(len(codes), np.int64), visited=visited)
+    assert not len(left)
+    # of the pairs that comparing all with all would take
+    assert sum(visited) < 0.2 * len(codes) ** 2 / 2
+    base = codes[:400]
+    near = np.concatenate([base, base ^ np.uint64(1 << 5), base ^ np.uint64((1 << 61) | (1 << 40)), codes[400:1500]])
+    near = np.unique(near)
+    df = spark.createDataFrame([(int(c),) for c in near.view(np.int64)], "fingerprint long")
+    got = {r.node: r.root for r in connected_components(sh.fingerprint_links(df, group=10_000, target=50), "low", "high").collect()}
+    want = components([int(c) for c in near.view(np.int64)], [int(c) for c in near])
+    assert [got.get(int(c), int(c)) for c in near.view(np.int64)] == want
+
+
+def test_stage_with_clashing_names_and_repeats(spark):
+    text = "one two three four five six"
+    rows = [(5, text, 1, "a", None), (5, text, 0, "b", {"x": "1"}), (5, text, 0, "a", None), (7, text + " ", 3, "c", None), (None, None, 4, "d", None), (None, None, 4, "e", None), (9, "other words that stand here alone", 5, "f", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id int, Kept_Hash string, root map<string,string>").withColumnRenamed("root", "fingerprint")
+    want = [(5, 0, "a"), (9, 5, "f"), (None, 4, "d")]
+    for most in (10, 0):
+        out = sh.drop_near_duplicates(df, most_broadcast=most)
+        assert out.schema == df.schema
+        assert sorted(((r.doc_id, r.kept_id, r.Kept_Hash) for r in out.collect()), key=str) == want
+    assert sh.drop_near_duplicates(df.limit(0)).collect() == []
