@@ -3,6 +3,11 @@
 Each stage takes what its predecessor kept; all but the last return the columns
 of ``documents``. ``run`` writes every stage's result to the shared folder and
 reads it back, so that a lost executor costs one stage at most.
+
+All stages take any table with the columns of ``documents``, extra columns of any
+name included, null and repeated ids, repeated rows, texts of any length and
+tables without a row; an empty table gives an empty result. What a stage does with
+null and empty texts and with ties is said at each.
 """
 
 from __future__ import annotations
@@ -14,32 +19,39 @@ from factloom.llm.common import materialize, table
 from factloom.llm.decontamination import drop_contaminated
 from factloom.llm.language_id import drop_unknown_language
 from factloom.llm.packing import pack_documents
-from factloom.llm.pii import pseudonymize_text
+from factloom.llm.pii import pseudonymize_text, session_key
 from factloom.llm.simhash import drop_near_duplicates
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which some language can be recognised; texts without a letter go."""
+    """Documents in which some language can be recognised. Null and empty texts and
+    others without a letter go; a tie between languages drops nothing."""
     return drop_unknown_language(docs)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the smallest id, then the least
+    text hash, then the row that is least as JSON. Null and empty texts would be one
+    group, though none reaches this stage of ``run``."""
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is benchmark text."""
+    """Documents of which less than a twentieth is benchmark text. Null and empty
+    texts have no words and stay; just a twentieth is too much."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by pseudonyms of the same format."""
-    return pseudonymize_text(docs)
+    """All documents, with personal data replaced by pseudonyms of the same format,
+    under the session's key. Null and empty texts stay as they are; equal values get
+    equal pseudonyms."""
+    return pseudonymize_text(docs, session_key(spark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of a document, with its place in a sequence."""
+    """A row for each piece of a document, with its place in a sequence. A null or
+    empty text is the one piece of its end id; equal pieces are interchangeable."""
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -3,8 +3,9 @@
 Numbers and dates that pass their format's own check (Luhn, mod-97, number plan,
 calendar, address range) are replaced by a value of the same format, chosen by a
 keyed Feistel permutation of that format's values. A value always gets the same
-pseudonym and two values never share one, so records stay linked across
-documents, while the values themselves can't be had back without the key.
+pseudonym and two values of one format never share one, so records stay linked
+across documents, while the values can't be had back without the key. The key is
+the caller's to keep: there is none in this file.
 Of a candidate that fails its check the shorter beginnings are tried, and what is
 behind the value found is read again; whatever fails them all is left alone.
 
@@ -16,15 +17,29 @@ the same way, half by half, each character within its own class.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from secrets import token_hex
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.llm.sharding import feistel_sides
 
-KEY = "corpus-pseudonyms"
+#: The setting that names the key for whole sessions.
+KEY_SETTING = "spark.factloom.pii.key"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = "1900-01-01", "2099-12-31"
-DAYS = 73_049
+DAYS, MONTHS = 73_049, 2400
+#: Days from the 13th of a month on: those that a month-first date tells apart.
+LATE_DAYS = DAYS - 12 * MONTHS
+_keys: dict[str, str] = {}
+
+
+def session_key(spark: SparkSession) -> str:
+    """The key that the session names in KEY_SETTING. Where it names none, one is
+    drawn for the application, so that its runs are linked with each other, and
+    with nothing that others have made."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named or _keys.setdefault(spark.sparkContext.applicationId, token_hex(32))
 
 #: What a candidate looks like, in order; the checks follow.
 PATTERNS = {
@@ -209,11 +224,33 @@ def _iso_date(m: Column, key: str) -> tuple[Column, Column]:
     return day.isNotNull(), F.date_format(_moved_day(day, key), "yyyy-MM-dd")
 
 
+def _late_rank(day: Column) -> Column:
+    """Number of a day among the days from the 13th of their months on."""
+    first = F.trunc(day, "month")
+    months = (F.year(day) - 1900) * 12 + F.month(day) - 1
+    return (F.date_diff(first, F.lit(FIRST_DAY).cast("date")) - 12 * months + F.dayofmonth(day) - 13).cast("long")
+
+
+def _late_day(rank: Column) -> Column:
+    """The day with that number; months differ by few days, so its month is near
+    the one that months of equal length would give."""
+    start = lambda k: F.add_months(F.lit(FIRST_DAY).cast("date"), k)
+    before = lambda k: F.date_diff(start(k), F.lit(FIRST_DAY).cast("date")) - 12 * k
+    guess = F.floor(rank * F.lit(MONTHS / LATE_DAYS)).cast("int")
+    near = F.sequence(F.greatest(guess - 3, F.lit(0)), F.least(guess + 3, F.lit(MONTHS - 1)))
+    month = F.array_max(F.filter(near, lambda k: before(k) <= rank))
+    return F.get(F.transform(F.array(month), lambda k: F.date_add(start(k), (rank - before(k) + 12).cast("int"))), F.lit(0))
+
+
 def _date(m: Column, key: str) -> tuple[Column, Column]:
+    """Day-first if that is a date, month-first else. The days that a month-first
+    date can name are permuted among themselves: what is written so stays so, and
+    never meets a day-first one."""
     plain = F.regexp_replace(m, "[./-]", "/")
     wide = plain.rlike(r"^\d\d/\d\d/")
     first, second = _day(plain, "d/M/yyyy"), _day(plain, "M/d/yyyy")
-    moved = _moved_day(F.coalesce(first, second), key)
+    early = F.get(F.transform(F.array(_late_rank(second)), lambda r: _late_day(permute_below(r, LATE_DAYS, key, "month-first"))), F.lit(0))
+    moved = F.when(first.isNotNull(), _moved_day(first, key)).otherwise(early)
 
     def written(d: str) -> Column:
         return F.when(wide, F.date_format(moved, d)).otherwise(F.date_format(moved, d.replace("dd", "d").replace("MM", "M")))
@@ -260,9 +297,12 @@ def _phone(m: Column, key: str) -> tuple[Column, Column]:
 
 def _phone_e164(m: Column, key: str) -> tuple[Column, Column]:
     d = _digits(m)
-    # country codes have three digits at most, which stay
+    # numbers of country code 1 have one plan, however they are written
+    fine, national = _phone(m, key)
+    ours = d.startswith("1")
+    # other country codes have three digits at most, which stay
     moved = F.concat(F.substring(d, 1, 3), permute_text(F.substring(d, F.lit(4), F.length(d)), key, "phone"))
-    return F.length(d).between(8, 15), _refill(m, moved)
+    return F.when(ours, fine & (F.length(d) == 11)).otherwise(F.length(d).between(8, 15)), F.when(ours, national).otherwise(_refill(m, moved))
 
 
 def _email(m: Column, key: str) -> tuple[Column, Column]:
@@ -346,12 +386,14 @@ def _joined(gaps: Column, found: Column) -> Column:
     return F.array_join(F.zip_with(gaps, ends, lambda g, v: F.concat(g, v)), "")
 
 
-def pseudonymize(documents: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymize(documents: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, text with pseudonyms, n_replaced, and kinds (one entry
     for each replacement, in text order).
 
-    A null text stays null with no replacement, and so does an empty one. Only the
-    two columns are read; null and repeated ids are kept as they are.
+    A null text stays null and an empty one empty, with no replacement; a long text
+    is read whole. Only the two columns are read, so other columns may have any
+    name; null and repeated ids are kept as they are, a row each. An empty table
+    gives an empty result. ``key`` is a secret: with it the values can be had back.
     """
     text = F.col("text")
     none = F.from_json(F.lit("[]"), "array<array<struct<kind: string, value: string>>>")
@@ -368,8 +410,13 @@ def pseudonymize(documents: DataFrame, key: str = KEY, id_col: str = "doc_id", t
     )
 
 
-def pseudonymize_text(documents: DataFrame, key: str = KEY, text_col: str = "text") -> DataFrame:
-    """The documents with pseudonyms in their texts; all else is as it was."""
+def pseudonymize_text(documents: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """The documents with pseudonyms in their texts; all else is as it was.
+
+    Null and empty texts stay; a long text is read whole. Rows are never dropped or
+    merged, whether ids are null or repeated; other columns may have any name. An
+    empty table stays empty. ``key`` is a secret, as in ``pseudonymize``.
+    """
     text = F.col(text_col)
     gaps, found = _pieces(text, key)
     return documents.withColumn(text_col, F.when(text.rlike(HINT), _joined(gaps, found)).otherwise(text))

@@ -9,7 +9,7 @@ from factloom.llm.decontamination import contamination_digest
 from factloom.llm.embedding_dedup import near_duplicate_embeddings
 from factloom.llm.language_id import identify_languages
 from factloom.llm.packing import pack_documents
-from factloom.llm.pii import pseudonymize
+from factloom.llm.pii import pseudonymize, session_key
 from factloom.llm.secrets import find_secrets
 from factloom.llm.sharding import assign_shards
 from factloom.llm.simhash import near_duplicates
@@ -55,7 +55,7 @@ def op9_packing(spark, sf_dir):
 
 
 def op10_pii(spark, sf_dir):
-    return pseudonymize(table(spark, sf_dir, "documents"))
+    return pseudonymize(table(spark, sf_dir, "documents"), session_key(spark))
 
 
 def queries():

@@ -12,11 +12,14 @@ otherwise are generated from a seed.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log2
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,17 +44,24 @@ RULES = {
 _COMPILED = {k: (hints, re.compile(p)) for k, (hints, p) in RULES.items()}
 RANDOM_LENGTH = 20
 
-# Words that are found in identifiers and placeholders.
-DICTIONARY = frozenset(
-    "account admin alpha apple auth base beta blue build cache change changeme check class client cloud code commit "
-    "config count data date debug default demo device dummy edit email enter error event example fake false field file "
-    "first foo group hash hello here home host html http https image index info input insert item json key last level "
-    "line link list local login long main master message mock model name network none null number object order page "
-    "param password path placeholder please point port price print private process project public query read redacted "
-    "release replace report request reset response root sample secret server service session set sha size some source "
-    "start state status string style system table temp template test text this time title todo token true type update "
-    "upload user value version video view web welcome with word work world write www your".split()
-)
+#: Shortest and longest word of the dictionary that is looked for.
+WORD_SIZES = (3, 12)
+
+
+def read_dictionary(path: str) -> frozenset[str]:
+    """Words of a public tokenizer's vocabulary: its entries that follow a space and
+    are all small letters. Most of them are whole words or stems."""
+    with open(path, encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    words = (t[1:] for t in vocabulary if t[0] == "\u0120")
+    return frozenset(w for w in words if WORD_SIZES[0] <= len(w) <= WORD_SIZES[1] and w.isascii() and w.isalpha() and w.islower())
+
+
+@lru_cache(4)
+def dictionary(path: str | None = None) -> frozenset[str]:
+    return read_dictionary(path or public_tokenizers.path("byte_bpe_50k.json"))
+
+
 # Neighbouring words that speak for and against a secret.
 FOR = ("passw", "pwd", "secret", "token", "key", "auth", "credential", "login", "bearer", "export")
 AGAINST = ("commit", "sha", "hash", "md5", "checksum", "digest", "uuid", "guid", "revision", "version", "etag", "integrity", "example", "fixture", "id")
@@ -64,32 +74,37 @@ Finding = tuple[str, str, str, str, str]  # rule, candidate, text before, text a
 
 def find_candidates(text: str) -> list[tuple[str, int, int]]:
     """(rule, begin, end) in order of place; of overlapping ones the first rule's."""
-    found: list[tuple[int, int, int, str]] = []
-    for order, (rule, (hints, pattern)) in enumerate(_COMPILED.items()):
+    taken: list[tuple[int, int, str]] = []
+    for rule, (hints, pattern) in _COMPILED.items():
         if hints and not any(h in text for h in hints):
             continue
+        found: list[tuple[int, int, str]] = []
         for m in pattern.finditer(text):
             begin, end = m.span(1) if pattern.groups else m.span()
             if rule == "random" and (end - begin < RANDOM_LENGTH or not any(c.isalpha() for c in m.group())):
                 continue
-            found.append((order, begin, end, rule))
-    taken: list[tuple[int, int, str]] = []
-    for _, begin, end, rule in sorted(found):
-        if all(end <= a or b <= begin for a, b, _ in taken):
-            taken.append((begin, end, rule))
-    return [(rule, a, b) for a, b, rule in sorted(taken)]
+            found.append((begin, end, rule))
+        # both lists are in order of place and neither overlaps in itself
+        at, kept = 0, []
+        for one in found:
+            while at < len(taken) and taken[at][1] <= one[0]:
+                at += 1
+            if at == len(taken) or taken[at][0] >= one[1]:
+                kept.append(one)
+        taken = sorted(taken + kept)
+    return [(rule, a, b) for a, b, rule in taken]
 
 
 def _kind(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def _coverage(s: str) -> float:
+def _coverage(s: str, words: frozenset[str]) -> float:
     """Share of the characters that dictionary words cover, taken longest first."""
     low, at, covered = s.lower(), 0, 0
     while at < len(low):
-        for n in range(min(11, len(low) - at), 2, -1):
-            if low[at : at + n] in DICTIONARY:
+        for n in range(min(WORD_SIZES[1], len(low) - at), WORD_SIZES[0], -1):
+            if low[at : at + n] in words:
                 covered += n
                 at += n
                 break
@@ -98,7 +113,7 @@ def _coverage(s: str) -> float:
     return covered / max(len(s), 1)
 
 
-def describe(finding: Finding) -> list[float]:
+def describe(finding: Finding, words: frozenset[str] | None = None) -> list[float]:
     """The forest's inputs for one finding."""
     rule, s, before, after, path = finding
     n = max(len(s), 1)
@@ -117,7 +132,7 @@ def describe(finding: Finding) -> list[float]:
         *moves,
         sum(d == 0 for d in steps) / n,
         sum(abs(d) == 1 for d in steps) / n,
-        _coverage(s),
+        _coverage(s, dictionary() if words is None else words),
         float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s))),
         float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s))),
         float(any(w in x for x in near for w in FOR)),
@@ -130,42 +145,69 @@ def describe(finding: Finding) -> list[float]:
     ]
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[Finding, int]]:
+#: Shapes of the generated findings, real ones first.
+SHAPES = ("hex", "mixed", "marked", "base64", "issued", "phrase", "plain_hex", "uuid", "words", "path", "digits", "integrity", "placeholder", "reference")
+
+
+def labelled_findings(n: int = FINDINGS, seed: int = SEED, without: tuple[str, ...] = ()) -> list[tuple[Finding, int]]:
     """Generated findings with labels: keys and passwords of many shapes in their
-    usual places, and what scanners take for them."""
+    usual places, and what scanners take for them. Lengths are drawn, not listed.
+    ``without`` leaves out shapes, to see how a forest does on what it didn't see.
+    """
     rng = np.random.Generator(np.random.PCG64(seed))
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
+    size = lambda low, high: int(rng.integers(low, high + 1))
     chars = lambda alphabet, k: "".join(pick(alphabet) for _ in range(k))
     hex_, lower, upper, digits = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-    mixed, words = lower + upper + digits, sorted(DICTIONARY)
-    prose = lambda: " ".join(chars(lower, int(rng.integers(2, 9))) for _ in range(5)) + pick([" ", ". ", ", ", "\n"])
-    names = ["password", "passwd", "token", "secret", "api_key", "auth_token", "db_password", "client_secret"]
-    paths = ["src/app.py", "config/settings.yml", ".env", "src3", "lib/main.go", "deploy/run.sh", "docs/readme.md", "tests/test_api.py", "src11", ""]
+    mixed, words = lower + upper + digits, sorted(w for w in dictionary() if len(w) > 3)
+    prose = lambda: " ".join(pick([pick(words), chars(lower, size(2, 8))]) for _ in range(5)) + pick([" ", ". ", ", ", "\n"])
+    names = ["password", "passwd", "pwd", "token", "secret", "api_key", "auth_token", "db_password", "client_secret", "ACCESS_KEY", "credential"]
+    paths = ["src/app.py", "config/settings.yml", ".env", "lib/main.go", "deploy/run.sh", "docs/readme.md", "tests/test_api.py", "web", "crawl/7", ""]
+    real_shapes = {
+        "hex": ("assigned", lambda: chars(hex_, size(14, 64))),
+        "mixed": ("assigned", lambda: chars(mixed, size(9, 48))),
+        "marked": ("assigned", lambda: chars(mixed + "!$%&*_-", size(8, 24))),
+        "phrase": ("assigned", lambda: pick("-_.!").join(pick(words) for _ in range(size(2, 4))) + chars(digits, size(1, 4)) + pick("!$%&*")),
+        "base64": ("random", lambda: chars(mixed + "+/", size(28, 88))),
+        "issued": (None, None),
+    }
+    issued = {
+        "aws_key": lambda: pick(["AKIA", "ASIA"]) + chars(upper + digits, 16),
+        "provider_token": lambda: pick(["ghp_" + chars(mixed, 36), "sk_live_" + chars(mixed, size(16, 40)), "xoxb-" + chars(digits, 12) + "-" + chars(mixed, 24), "AIza" + chars(mixed, 35), "glpat-" + chars(mixed, 20)]),
+        "url_password": lambda: chars(mixed, size(6, 24)),
+        "jwt": lambda: "eyJ" + chars(mixed, size(12, 40)) + "." + chars(mixed, size(20, 90)) + "." + chars(mixed, 43),
+    }
+    false_shapes = {
+        "plain_hex": ("random", lambda: chars(hex_, size(24, 64))),
+        "uuid": ("random", lambda: "-".join(chars(hex_, k) for k in (8, 4, 4, 4, 12))),
+        "words": ("random", lambda: "_".join([pick(words), pick(words), chars(digits, size(1, 3)), pick(words), pick(words)])),
+        "path": ("random", lambda: "/".join([*(pick(words) for _ in range(size(2, 4))), "v" + chars(digits, 1), pick(words)])),
+        "digits": ("random", lambda: chars(digits, size(19, 26)) + pick("ab")),
+        "integrity": ("random", lambda: pick(["sha256-", "sha512-"]) + chars(mixed + "+/", size(43, 86))),
+        "placeholder": ("assigned", lambda: pick(["your_" + pick(words) + "_here", "changeme", pick("xX*0") * size(6, 20), "example" + chars(digits, 2), pick(words) + "_" + pick(words), "12345678", "required", "abcdef123456", "<" + pick(words)])),
+        "reference": ("assigned", lambda: pick(["${" + pick(words).upper() + "}", "os.environ[" + pick(words), pick(words) + "." + pick(words) + "()", "{{" + pick(words), "$(" + pick(words)])),
+    }
+    real_shapes, false_shapes = ({k: v for k, v in d.items() if k not in without} for d in (real_shapes, false_shapes))
     out: list[tuple[Finding, int]] = []
     for _ in range(n):
         path, real = pick(paths), bool(rng.integers(2))
+        assigned = pick(names) + pick(["=", " = ", ": ", ":"])
         if real:
-            rule = pick(["aws_key", "provider_token", "assigned", "assigned", "assigned", "random", "url_password", "jwt"])
-            value = {
-                "aws_key": lambda: pick(["AKIA", "ASIA"]) + chars(upper + digits, 16),
-                "provider_token": lambda: pick(["ghp_" + chars(mixed, 36), "sk_live_" + chars(mixed, 24), "xoxb-" + chars(digits, 12) + "-" + chars(mixed, 24), "AIza" + chars(mixed, 35), "glpat-" + chars(mixed, 20)]),
-                "assigned": lambda: pick([chars(hex_, pick([16, 18, 20, 32, 40, 64])), chars(mixed, pick([10, 16, 24, 32])), chars(mixed + "!$%&*_-", pick([9, 12, 16]))]),
-                "random": lambda: chars(mixed + "+/", pick([32, 40, 44, 64])),
-                "url_password": lambda: chars(mixed, pick([8, 12, 20])),
-                "jwt": lambda: "eyJ" + chars(mixed, 17) + "." + chars(mixed, 40) + "." + chars(mixed, 43),
-            }[rule]()
-            lead = {"assigned": pick(names) + pick(["=", " = ", ": "]) + pick(["", '"', "'"]), "url_password": "postgres://user:", "random": pick(["secret key ", "Authorization: Bearer ", "export KEY="])}.get(rule, pick(["", "key ", "key = "]))
-            before, after = prose() + lead, pick([" ", '" ', "'\n", "\n"]) + prose()
+            shape = pick(sorted(real_shapes))
+            rule, make = real_shapes[shape]
+            if shape == "issued":
+                rule = pick(sorted(issued))
+                make = issued[rule]
+            quote = pick(["", "", '"', "'"])
+            lead = {"assigned": assigned + quote, "url_password": "postgres://user:", "random": pick(["secret key ", "Authorization: Bearer ", "export KEY=", "login with "])}.get(rule, pick(["", "key ", "key = "]))
+            value, after = make(), (quote or " ") + pick(["", " ", "\n"]) + prose()
         else:
-            rule = pick(["random", "random", "random", "assigned", "assigned", "url_password"])
-            value = {
-                "random": lambda: pick([chars(hex_, pick([32, 40, 40, 64])), "-".join(chars(hex_, k) for k in (8, 4, 4, 4, 12)), "_".join([pick(words), pick(words), chars(digits, 2), pick(words), pick(words)]), "/".join([pick(words), pick(words), pick(words), "v" + chars(digits, 1), pick(words)]), chars(digits, 20) + pick("ab"), "sha512-" + chars(mixed + "+/", 86)]),
-                "assigned": lambda: pick(["your_" + pick(words) + "_here", "changeme", "x" * int(rng.integers(6, 20)), "*" * int(rng.integers(6, 14)), "example" + chars(digits, 2), "${" + pick(words).upper() + "}", "os.environ[" + pick(words), pick(words) + "_" + pick(words), pick(words) + "." + pick(words) + "()", "12345678", "None", "required", "abcdef123456"]),
-                "url_password": lambda: pick(["password", "pass", "xxxx", "${PASS}", "secret"]),
-            }[rule]()
-            lead = {"assigned": pick(names) + pick(["=", " = ", ": "]) + pick(["", '"']), "url_password": "mysql://root:"}.get(rule, pick(["", "", "", "commit ", "sha1 ", "checksum: ", "id=", "revision ", "see ", '"']))
-            before, after = prose() + lead, pick([" ", "\n", '"', ", "]) + prose()
-        out.append(((rule, value, before[-CONTEXT:], after[:CONTEXT], path), int(real)))
+            shape = pick([*sorted(false_shapes), "url"])
+            rule, make = false_shapes.get(shape, ("url_password", lambda: pick(["password", "pass", "xxxx", "${PASS}", "secret"])))
+            quote = pick(["", '"'])
+            lead = {"assigned": assigned + quote, "url_password": "mysql://root:"}.get(rule, pick(["", "", "", "commit ", "sha1 ", "checksum: ", "id=", "revision ", "see ", '"']))
+            value, after = make(), (quote or pick([" ", "\n", ", "])) + prose()
+        out.append(((rule, value, (prose() + lead)[-CONTEXT:], after[:CONTEXT], path), int(real)))
     base64 = mixed + "+/"
     for i in range(n // 10):
         # keys from BEGIN to END, long values, and what stands for a key in manuals
@@ -238,9 +280,15 @@ class Forest:
         return total / max(len(self.trees), 1)
 
 
-def train(findings: list[tuple[Finding, int]]) -> Forest:
+def train(findings: list[tuple[Finding, int]], words: frozenset[str] | None = None) -> Forest:
     """Forest from labelled findings (rule, candidate, text before and after, path)."""
-    return Forest(np.array([describe(f) for f, _ in findings]), np.array([label for _, label in findings]))
+    return Forest(np.array([describe(f, words) for f, _ in findings]), np.array([label for _, label in findings]))
+
+
+@lru_cache(4)
+def default_forest(dictionary_path: str | None = None) -> Forest:
+    """The forest of the generated findings."""
+    return train(labelled_findings(), dictionary(dictionary_path))
 
 
 def scan_text(text: str, path: str) -> list[tuple[str, int, int, Finding]]:
@@ -248,7 +296,7 @@ def scan_text(text: str, path: str) -> list[tuple[str, int, int, Finding]]:
     return [(rule, a, b, (rule, text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + CONTEXT], path)) for rule, a, b in found]
 
 
-def _scanner(forest, cut: float):
+def _scanner(forest, cut: float, words):
     schema = [("doc_id", pa.int64()), ("rule", pa.string()), ("begin", pa.int64()), ("length", pa.int64()), ("secret_sha256", pa.string()), ("score", pa.float64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +305,7 @@ def _scanner(forest, cut: float):
             for doc_id, text, path in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 for rule, a, b, finding in scan_text(text.as_py() or "", path or ""):
                     rows.append((doc_id, rule, a, b - a, hashlib.sha256(finding[1].encode("utf-8", "surrogatepass")).hexdigest()))
-                    inputs.append(describe(finding))
+                    inputs.append(describe(finding, words.value))
             if not rows:
                 continue
             scores = forest.value.scores(np.array(inputs))
@@ -268,17 +316,20 @@ def _scanner(forest, cut: float):
     return run
 
 
-def find_secrets(documents: DataFrame, forest: Forest | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", cut: float = CUT) -> DataFrame:
+def find_secrets(documents: DataFrame, forest: Forest | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", cut: float = CUT, dictionary_path: str | None = None) -> DataFrame:
     """A row for each finding that the forest takes for a secret: doc_id, rule,
     begin and length (in characters), secret_sha256 (equal secrets are equal,
     the secret itself is not shown), score.
 
     Null and empty texts give no row; a null path, or none, counts as empty. Null
     and repeated ids are kept as they are: each row is scanned. An empty table
-    gives an empty result. Other columns are not read.
+    gives an empty result. A long text is read whole, in time that is in proportion
+    to it. The dictionary is the vocabulary file of a public tokenizer, some 20,000
+    words. Other columns are not read.
     """
-    forest = forest or train(labelled_findings())
-    shared = documents.sparkSession.sparkContext.broadcast(forest)
+    words = dictionary(dictionary_path)
+    forest = forest or default_forest(dictionary_path)
+    shared, known = (documents.sparkSession.sparkContext.broadcast(x) for x in (forest, words))
     path = F.col(path_col).cast("string") if path_col else F.lit("")
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), path.alias("path"))
-    return rows.mapInArrow(_scanner(shared, cut), "doc_id long, rule string, begin long, length long, secret_sha256 string, score double")
+    return rows.mapInArrow(_scanner(shared, cut, known), "doc_id long, rule string, begin long, length long, secret_sha256 string, score double")

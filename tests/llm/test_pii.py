@@ -1,15 +1,19 @@
+import hashlib
 import random
 import re
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
 from factloom.llm import pii
+from factloom.llm.sharding import feistel_sides
+
+KEY = "a key for tests"
 
 
 def one(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    return [r for r in pii.pseudonymize(df).orderBy("doc_id").collect()]
+    return [r for r in pii.pseudonymize(df, KEY).orderBy("doc_id").collect()]
 
 
 def luhn(d):
@@ -122,8 +126,119 @@ def test_equal_values_stay_linked_and_texts_whole(spark):
 
 def test_stage_keeps_columns(spark):
     df = spark.createDataFrame([(1, "x 42.179.73.104", "en", 9), (None, None, None, None), (1, "", "en", 0)], "doc_id long, text string, found string, kinds int")
-    out = pii.pseudonymize_text(df)
+    out = pii.pseudonymize_text(df, KEY)
     assert out.schema == df.schema
     rows = out.collect()
     assert rows[0].text.startswith("x ") and rows[0].text != "x 42.179.73.104" and rows[1].text is None and rows[2].text == ""
-    assert pii.pseudonymize(df.limit(0)).collect() == []
+    assert pii.pseudonymize(df.limit(0), KEY).collect() == []
+
+
+# A plain version of the ciphers, forwards and backwards.
+
+def digest(key, kind, i, half):
+    return hashlib.sha256(f"{key}|{kind}|{i}|{half}".encode()).hexdigest()
+
+
+def number(x, a, b, kind, back=False, key=KEY):
+    left, right = divmod(x, b)
+    for i in reversed(range(pii.ROUNDS)) if back else range(pii.ROUNDS):
+        side = a if i % 2 == 0 else b
+        if back:
+            left, right = (right - int(digest(key, kind, i, left)[:15], 16)) % side, left
+        else:
+            left, right = right, (left + int(digest(key, kind, i, right)[:15], 16)) % side
+    return left * b + right
+
+
+def below(x, n, kind, back=False):
+    a, b = feistel_sides(n)
+    x = number(x, a, b, kind, back)
+    while x >= n:
+        x = number(x, a, b, kind, back)
+    return x
+
+
+def shift(c, by):
+    for low, n in (("0", 10), ("a", 26), ("A", 26)):
+        if 0 <= ord(c) - ord(low) < n:
+            return chr((ord(c) - ord(low) + by) % n + ord(low))
+    return c
+
+
+def text(s, kind, back=False, key=KEY):
+    half = len(s) // 2
+    left, right = s[:half], s[half:]
+    for i in reversed(range(pii.ROUNDS)) if back else range(pii.ROUNDS):
+        kept = left if back else right
+        one = digest(key, kind, i, kept)
+        stream = one + hashlib.sha256(one.encode()).hexdigest()
+        by = [int(stream[4 * (k % 32) : 4 * (k % 32) + 4], 16) for k in range(max(len(left), len(right)))]
+        if back:
+            left, right = "".join(shift(c, -d) for c, d in zip(right, by)), left
+        else:
+            left, right = right, "".join(shift(c, d) for c, d in zip(left, by))
+    return left + right
+
+
+def days(y, m, d):
+    return (date(y, m, d) - date(1900, 1, 1)).days
+
+
+def test_independent_ciphers_and_their_inverse(spark):
+    rng = random.Random(4)
+    # all that follows from the key is undone with the key
+    for _ in range(200):
+        x, s = rng.randrange(10**6), "".join(rng.choice("aZ9.-é") for _ in range(rng.randrange(90)))
+        assert number(number(x, 1000, 1000, "k"), 1000, 1000, "k", True) == x and below(below(x % 997, 997, "k"), 997, "k", True) == x % 997 and text(text(s, "k"), "k", True) == s
+    values = []
+    for _ in range(25):
+        ip = rng.randrange(1 << 32)
+        new = number(ip, 1 << 16, 1 << 16, "ip")
+        values.append((".".join(str(ip >> k & 255) for k in (24, 16, 8, 0)), ".".join(str(new >> k & 255) for k in (24, 16, 8, 0))))
+        day = rng.randrange(pii.DAYS)
+        values.append((str(date(1900, 1, 1) + timedelta(day)), str(date(1900, 1, 1) + timedelta(below(day, pii.DAYS, "date")))))
+        name = "".join(rng.choice("abXY019._") for _ in range(rng.randrange(1, 20))) + "q"
+        values.append((f"{name}@mail.example.org", f"{text(name, 'email')}@mail.example.org"))
+        ten = f"{rng.randrange(200, 1000)}{rng.randrange(200, 1000)}{rng.randrange(10**4):04d}"
+        p = number(((int(ten[:3]) - 200) * 800 + int(ten[3:6]) - 200) * 10_000 + int(ten[6:]), 640_000, 10_000, "phone")
+        new = f"{p // 8_000_000 + 200}{p // 10_000 % 800 + 200}{p % 10_000:04d}"
+        for shape in ("{}-{}-{}", "+1 {}-{}-{}", "+1{}{}{}", "({}) {}-{}", "1 {} {} {}"):
+            values.append(tuple(shape.format(t[:3], t[3:6], t[6:]) for t in (ten, new)))
+        inner = "".join(rng.choice("0123456789") for _ in range(14))
+        values.append((with_check("4" + inner), with_check("4" + text(inner, "card"))))
+        area, group, serial = rng.choice([*range(1, 666), *range(667, 900)]), rng.randrange(1, 100), rng.randrange(1, 10**4)
+        p = number(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, "ssn")
+        new = p // (99 * 9999) + 1 + (p // (99 * 9999) >= 665)
+        values.append((f"{area:03d}-{group:02d}-{serial:04d}", f"{new:03d}-{p // 9999 % 99 + 1:02d}-{p % 9999 + 1:04d}"))
+        n = "".join(rng.choice("0123456789") for _ in range(10))
+        values.append((f"+44{n}", f"+44{n[0]}{text(n[1:], 'phone')}"))
+    late = [d for k in range(pii.DAYS) if (d := date(1900, 1, 1) + timedelta(k)).day > 12]
+    assert len(late) == pii.LATE_DAYS
+    for r in rng.sample(range(len(late)), 40) + [0, len(late) - 1]:
+        old, new = late[r], late[below(r, len(late), "month-first")]
+        values.append((old.strftime("%m/%d/%Y"), new.strftime("%m/%d/%Y")))
+    for (_, want), r in zip(values, one(spark, [v for v, _ in values])):
+        assert r.text == want and r.n_replaced == 1, r
+
+
+def test_dates_of_one_notation_never_meet(spark):
+    rng = random.Random(9)
+    some = [date(1900, 1, 1) + timedelta(k) for k in rng.sample(range(pii.DAYS), 1500)]
+    first = [d.strftime("%d/%m/%Y") for d in some]
+    second = [d.strftime("%m/%d/%Y") for d in some if d.day > 12]
+    made = [r.text for r in one(spark, first + second)]
+    assert len(set(made)) == len(set(first + second))
+    assert all(int(t[3:5]) <= 12 for t in made[: len(first)]) and all(int(t[3:5]) > 12 for t in made[len(first) :])
+
+
+def test_key_of_the_session(spark):
+    df = spark.createDataFrame([(None, "a.b@c.org"), (None, "a.b@c.org"), (3, None)], "doc_id long, text string")
+    drawn = pii.session_key(spark)
+    assert len(drawn) == 64 and pii.session_key(spark) == drawn
+    spark.conf.set(pii.KEY_SETTING, "given")
+    assert pii.session_key(spark) == "given"
+    spark.conf.unset(pii.KEY_SETTING)
+    rows = pii.pseudonymize(df, "given").collect()
+    assert [r.doc_id for r in rows] == [None, None, 3] and rows[0].text == rows[1].text == text("a.b", "email", key="given") + "@c.org"
+    # a number that its plan doesn't know is no phone number
+    assert one(spark, ["+1 108 155 7800"])[0].n_replaced == 0
