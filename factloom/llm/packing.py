@@ -28,8 +28,10 @@ from factloom.llm.common import materialize, text_parts
 
 WINDOW = 2048
 END_ID = 1
-#: Parts that the pieces of one length are dealt into for numbering.
-SPREAD = 128
+#: Pieces of one length that are numbered in one task; more are dealt into parts.
+PART = 500_000
+#: Parts (24 bytes each) whose first ordinals are broadcast; more are joined by a shuffle.
+MOST_FIRSTS = 1_000_000
 #: UTF-8 bytes tokenized at once.
 SLICE_BYTES = 4_000_000
 
@@ -47,6 +49,23 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def ids_follow_merges(file: dict) -> bool:
+    """Whether a tokenizer file may be taken as ranks over words: byte letters, the
+    usual splitting rule and nothing else before or between, every letter and every
+    merge's outcome in the vocabulary, and ids that grow from merge to merge."""
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    usual = (split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) == ("ByteLevel", True, False)
+    plain = model.get("type", "BPE") == "BPE" and not file.get("normalizer") and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not (usual and plain):
+        return False
+    vocab, special = model["vocab"], {t["content"] for t in file["added_tokens"]}
+    made = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
+    ids = [vocab.get(t, -1) for t in made]
+    first = max((vocab.get(c, 1 << 40) for c in _byte_letters()), default=0)
+    follow = first < (ids[0] if ids else 1 << 41) and all(a < b for a, b in zip(ids, ids[1:]))
+    return follow and set(vocab) - special == set(_byte_letters()) | set(made)
+
+
 class WordTokenizer:
     """Ids of whole texts, with each distinct word tokenized once for many texts.
 
@@ -55,7 +74,8 @@ class WordTokenizer:
     spaces, the distinct words are tokenized as one text, and every text's ids
     are put together from theirs. A vocabulary whose ids follow its merges gives
     the same ids as ranks, which a faster library takes; texts that hold one of
-    the special tokens are left to the library that the file is made for.
+    the special tokens are left to the library that the file is made for. So are
+    all texts if the file splits in another way or its ids don't follow its merges.
     """
 
     def __init__(self, path: str):
@@ -66,6 +86,9 @@ class WordTokenizer:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.special = [t["content"] for t in file["added_tokens"]]
+        self.by_words = ids_follow_merges(file)
+        if not self.by_words:
+            return
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in file["model"]["vocab"].items() if token not in self.special}
         self.fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -74,7 +97,7 @@ class WordTokenizer:
             self.bytes_of[i] = len(token)
 
     def _whole(self, text: str) -> np.ndarray:
-        if any(t in text for t in self.special):
+        if not self.by_words or any(t in text for t in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
         return np.array(self.fast.encode_ordinary(text), "<u4")
 
@@ -103,6 +126,8 @@ class WordTokenizer:
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         texts = texts.cast(pa.large_string()).fill_null("")
+        if not self.by_words:
+            return [self._whole(t) for t in texts.to_pylist()]
         whole = pc.match_substring_regex(texts, _LOOSE_SPACE)
         for t in self.special:
             whole = pc.or_(whole, pc.match_substring(texts, t))
@@ -236,6 +261,7 @@ def pack_documents(
     window: int = WINDOW,
     end_id: int = END_ID,
     with_ids: bool = False,
+    part: int = PART,
 ) -> DataFrame:
     """Pack all documents into windows of ``window`` tokens.
 
@@ -244,29 +270,33 @@ def pack_documents(
     ids of its text and ``end_id``; it is cut into full windows and one rest.
     A null text counts as empty, so it still gives the one piece of its end id.
     Null and repeated ids are kept as they are; equal pieces are interchangeable.
-    An empty table gives an empty result. Only the two columns are read.
+    An empty table gives an empty result. Only the two columns are read. Any file of
+    the tokenizer library will do; one whose ids don't follow its merges takes longer.
     """
     spark = df.sparkSession
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
     cut = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_cutter(tokenizer_path, window, end_id, with_ids), schema)
-    pieces = materialize(cut.withColumn("spread", F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD)).cast("int")), "pieces")
+    pieces = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
 
-    counts = pieces.groupBy("length", "spread").agg(F.count(F.lit(1)).alias("n"))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = plan_windows(histogram, window)
     plan = spark.createDataFrame(runs, "length long, first_ordinal long, end_ordinal long, first_window long, offset long")
 
-    # at most window * SPREAD rows, whatever the number of pieces
+    # ``window`` rows at most; long texts make nearly all pieces full windows, so their parts follow the count
+    parts = spark.createDataFrame([(length, -(-n // part)) for length, n in histogram.items()], "length long, parts long")
+    dealt = pieces.join(F.broadcast(parts), "length").withColumn("spread", F.pmod("row", "parts")).drop("row", "parts")
+    counts = dealt.groupBy("length", "spread").agg(F.count(F.lit(1)).alias("n"))
+    # a row for each part: ``window`` and a row for each ``part`` pieces at most
     before = Window.partitionBy("length").orderBy("spread").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "spread", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("length", "spread").orderBy("doc_id", "start", "ids_crc32")
     numbered = (
-        pieces.withColumn("rank", F.row_number().over(within) - 1)
-        .join(F.broadcast(firsts), ["length", "spread"])
+        dealt.withColumn("rank", F.row_number().over(within) - 1)
+        .join(F.broadcast(firsts) if sum(histogram.values()) <= MOST_FIRSTS * part else firsts, ["length", "spread"])
         .withColumn("ordinal", F.col("first") + F.col("rank"))
     )
     in_run = (F.col("p.length") == F.col("r.length")) & (F.col("ordinal") >= F.col("first_ordinal")) & (F.col("ordinal") < F.col("end_ordinal"))
-    # a few thousand runs: their number depends on the window alone
+    # the number of runs levels off with the window: measured 33,000 for 10**6 to 10**10 pieces
     return numbered.alias("p").join(F.broadcast(plan.alias("r")), in_run).select(
         "p.doc_id",
         "p.start",

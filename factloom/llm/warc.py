@@ -2,7 +2,7 @@
 
 Writing: pages with equal payloads get one response record, the other captures a
 revisit record that refers to it. Each archive is a run of captures sorted by
-URL key and timestamp. Records are made as columns and written by Spark's text
+URL key, timestamp and id; a run ends at a bound of bytes. Records are made as columns and written by Spark's text
 writer, whose separator is the blank line that ends a WARC record, so archives
 go wherever Spark can write. Reading: every archive is parsed by its records'
 lengths, payload digests are checked, and its index entries are a sorted run.
@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from factloom.llm.common import materialize, new_path
 
@@ -28,8 +29,10 @@ BLANK = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Equal payloads of at least so many bytes are written once.
 MIN_BYTES = 0
-#: About how large an archive is.
+#: Where the payloads of an archive end: it has less than so many bytes of them and one record more.
 ARCHIVE_BYTES = 16_000_000
+#: About what a record's headers take.
+RECORD_BYTES = 700
 FIRST_CAPTURE = "2024-01-01 00:00:00"
 
 
@@ -57,6 +60,28 @@ def _record_id(page_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
+def _dealt(bound: int):
+    """Number of the run that each record of a partition belongs to, by bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for batch in batches:
+            size = np.asarray(batch.column(batch.schema.get_field_index("bytes"))) + RECORD_BYTES
+            ends = done + np.cumsum(size, dtype=np.int64)
+            done = int(ends[-1]) if len(ends) else done
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((ends - size) // bound, pa.int64())], names=[*batch.schema.names, "run"])
+
+    return run
+
+
+#: One order of captures throughout: null ids come last.
+CAPTURE_ORDER = [F.asc, F.asc, F.asc_nulls_last]
+
+
+def _in_order(*columns: str) -> list[Column]:
+    return [by(c) for by, c in zip(CAPTURE_ORDER, columns, strict=True)]
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """One record for each row, into archives under ``path``.
 
@@ -71,9 +96,9 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         html.alias("payload"),
     ).withColumns({"digest": F.sha1("payload"), "bytes": F.octet_length("payload").cast("long")})
     narrow = materialize(page.select("page_id", "digest", "bytes"), "payloads")
-    size = narrow.agg(F.sum("bytes").alias("b"), F.count(F.lit(1)).alias("n")).first()
     groups = narrow.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    # only narrow rows meet by payload; whole pages are joined by their own id
+    # only narrow rows meet by payload; whole pages are joined by their own id, where
+    # they stay as they are as long as the copies are few enough for Spark to broadcast
     copies = narrow.join(groups.select("digest", "first"), "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
     copies = materialize(copies.select("page_id", "digest", F.col("first").alias("refers_to")).distinct(), "copies")
     if copies.take(1):
@@ -107,12 +132,12 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", F.octet_length(block).cast("string")),
     )
-    records = page.select(url_key(F.col("url")).alias("key"), captured.alias("at"), "page_id", "digest", F.concat(header, F.lit(BLANK), block).alias("value"))
-    total = (size["b"] or 0) + 700 * size["n"]
-    archives = max(1, -(-total // archive_bytes))
     # pages stay in the partitions that they come in: a run needs to be sorted only in itself
-    runs = records.sortWithinPartitions("key", "at", "page_id").select("value")
-    runs.write.option("lineSep", BLANK).option("maxRecordsPerFile", max(1, 2 * size["n"] // archives)).text(path)
+    schema = StructType([*page.schema.fields, StructField("run", LongType())])
+    dealt = page.mapInArrow(_dealt(max(archive_bytes, 1)), schema)
+    records = dealt.select("run", url_key(F.col("url")).alias("key"), captured.alias("at"), "page_id", F.concat(header, F.lit(BLANK), block).alias("value"))
+    runs = records.sortWithinPartitions("run", *_in_order("key", "at", "page_id")).select("run", "value")
+    runs.write.option("lineSep", BLANK).partitionBy("run").text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[dict]:
@@ -171,7 +196,7 @@ def _reader(with_payload: bool):
         kinds = _ENTRY + [("archive", pa.string()), ("number", pa.int64())] + ([("payload", pa.binary())] if with_payload else [])
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                rows, archive = [], name.as_py().rpartition("/")[2]
+                rows, archive = [], "/".join(name.as_py().split("/")[-2:])
                 for number, entry in enumerate(parse_archive(content.as_py())):
                     rows.append(entry | {"archive": archive, "number": number})
                     if len(rows) == 1000:
@@ -184,8 +209,9 @@ def _reader(with_payload: bool):
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
-    """A row for each record of the archives under ``path``."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    """A row for each record of the archives under ``path``; an archive is named by
+    its run and its file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInArrow(_reader(with_payload), ENTRY_SCHEMA + ", payload binary" * with_payload)
 
 
@@ -240,11 +266,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def capture_histories(entries: DataFrame) -> DataFrame:
-    """All index entries in order of (url_key, captured_at, page_id): each
-    partition is merged, and partitions follow one another."""
+    """All index entries in order of (url_key, captured_at, page_id), null ids
+    last: each partition is merged, and partitions follow one another."""
     keyed = materialize(entries.withColumn("url_key", url_key(F.col("url"))), "index")
     # rows of one hot URL are split by time and id
-    ranged = keyed.repartitionByRange("url_key", "captured_at", "page_id")
+    ranged = keyed.repartitionByRange(*_in_order("url_key", "captured_at", "page_id"))
     return ranged.mapInArrow(_merge, keyed.schema)
 
 

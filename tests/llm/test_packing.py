@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from factloom.llm.packing import WordTokenizer, pack_documents, plan_windows
+from factloom.llm.packing import WordTokenizer, ids_follow_merges, pack_documents, plan_windows
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -62,10 +63,31 @@ def test_words_give_the_ids_of_whole_texts():
         assert [g.tolist() for g in got] == want
 
 
-def test_pieces(spark):
+def test_other_vocabularies(tmp_path):
+    """What can't be taken as ranks over words is left to the library itself."""
+    file = json.load(open(PATH))
+    assert ids_follow_merges(file)
+    swapped = json.loads(json.dumps(file))
+    vocab = swapped["model"]["vocab"]
+    a, b = "".join(swapped["model"]["merges"][3]), "".join(swapped["model"]["merges"][9])
+    vocab[a], vocab[b] = vocab[b], vocab[a]
+    prefix = json.loads(json.dumps(file))
+    prefix["pre_tokenizer"]["add_prefix_space"] = True
+    for k, other in enumerate((swapped, prefix)):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(other))
+        assert not ids_follow_merges(other)
+        plain = Tokenizer.from_file(str(path))
+        assert [g.tolist() for g in WordTokenizer(str(path))(pa.array(TEXTS))] == [e.ids for e in plain.encode_batch(TEXTS, add_special_tokens=False)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert [g.tolist() for g in WordTokenizer(path)(pa.array(TEXTS))] == [e.ids for e in Tokenizer.from_file(path).encode_batch(TEXTS, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("part", [500_000, 3])
+def test_pieces(spark, part):
     data = [(i, t, 5) for i, t in enumerate(TEXTS)] + [(3, "a", 1)] * 40 + [(None, None, 1)] * 3
     df = spark.createDataFrame(data, "doc_id long, text string, length int")
-    rows = pack_documents(df, PATH, window=64, with_ids=True).collect()
+    rows = pack_documents(df, PATH, window=64, with_ids=True, part=part).collect()
     plain = Tokenizer.from_file(PATH)
     want = []
     for i, t, _ in data:

@@ -76,3 +76,24 @@ def test_loser_tree(seed):
     runs = [sorted(rng.randrange(9) for _ in range(rng.randrange(8))) for _ in range(rng.randrange(9))]
     got = list(warc.merge_runs(runs))
     assert got == [(r, i) for _, r, i in sorted((x, r, i) for r, run in enumerate(runs) for i, x in enumerate(run))]
+
+
+def test_null_ids_come_last_beside_zero(spark):
+    url = "http://a.example.com/x"
+    pages = [(i, url, f"p{n}") for n, i in enumerate([None, 0, None, -1, 100_000_000, None, 0])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    rows = warc.archive_round_trip(df).collect()
+    assert [r.page_id for r in rows if r.captured_at == rows[0].captured_at] == [0, 0, 100_000_000, None, None, None]
+    keys = [(r.captured_at, r.page_id is None, r.page_id or 0) for r in rows]
+    assert keys == sorted(keys) and len(rows) == 7
+
+
+def test_archives_end_by_bytes(spark):
+    sizes = [10] * 300 + [5000] * 40 + [30_000] + [10] * 50
+    df = spark.createDataFrame([(i, f"http://a.example.com/{i % 7}", chr(97 + i % 26) * n + str(i)) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(2)
+    path = new_path(spark, "archives")
+    warc.write_archives(df, path, archive_bytes=8000)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("length").collect()
+    assert len(files) > 40 and sorted(f.length for f in files)[-2] < 8000 + 5000 + 2 * warc.RECORD_BYTES
+    rows = warc.read_archives(spark, path)
+    assert rows.count() == len(sizes) and rows.select("archive").distinct().count() == len(files)
