@@ -1,13 +1,19 @@
 """Near-duplicate embeddings by collision counting on sorted projections.
 
-Vectors of one label are compared if they can share a block: each of several
-tables cuts the sphere by a few random hyperplanes, as many as bring blocks to
-about ``BLOCK`` vectors, and there are as many tables as let a pair at the
-threshold share a block with probability ``RECALL``. In a block the vectors are
-projected on many random lines and each projection is sorted. Around each query
-a window of fixed width is laid on every line, and the collisions of each pair
-are counted. A pair whose count is at least what pairs at the threshold reach
-with probability ``RECALL`` is verified in double precision.
+Vectors are projected on many random lines and each projection is sorted. Around
+each query a window of fixed width is laid on every line, and the collisions of
+each pair are counted. A pair whose count is at least what pairs at the threshold
+reach with probability ``RECALL`` is verified in double precision. Only vectors of
+one label are compared, and of a small label all of them, in one block.
+
+A larger label is cut into blocks. Each of several tables cuts the sphere by a few
+random hyperplanes, as many as bring blocks to about ``BLOCK`` vectors, and there
+are as many tables as let a pair at the threshold share a block with probability
+``RECALL``; both follow the label's own size. What is dealt to the tables are not
+the vectors but sketches: their projections in a byte each. Collisions counted on
+sketches, with windows wider by the rounding, tell which vectors of a block have a
+partner there at all. Only those are fetched by id and verified, so the vectors
+that are shuffled are those of near-duplicates.
 
 Equal vectors are one class from the start. Blocks above the bound are cut into
 parts, and every two parts meet in a task of their own. A task reports, for each
@@ -16,29 +22,37 @@ class, the weight of its links and one edge towards its component, never pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import acos, ceil, comb, erf, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from factloom.llm.common import materialize
+from factloom.llm.common import join_counted, materialize
 from factloom.llm.components import connected_components, local_roots
 
 THRESHOLD, RECALL = 0.93, 0.9999
-BLOCK, LINES, SEED = 1024, 32, 99
+BLOCK, LINES, SEED = 1024, 64, 99
 MOST_PLANES = 24
-#: Pairs verified at once.
-PAIRS = 100_000
+#: Pairs verified at once, and queries whose windows are counted at once.
+PAIRS, QUERIES = 100_000, 512
+#: Width of a sketch's cell; projections beyond the last cell count as in it.
+CELL = 1 / 20
 
 
 def tables_and_planes(n: int, threshold: float, block: int, recall: float) -> tuple[int, int]:
     """Number of tables and of hyperplanes in each, for n vectors of one label."""
     planes = min(max(ceil(log2(max(n, 1) / block)), 0), MOST_PLANES)
+    return tables_of(planes, threshold, recall), planes
+
+
+def tables_of(planes: int, threshold: float, recall: float) -> int:
+    """Tables of so many hyperplanes that let a pair at the threshold share a block."""
     together = (1 - acos(threshold) / pi) ** planes
-    return (1 if planes == 0 else ceil(log(1 - recall) / log(1 - together))), planes
+    return 1 if planes == 0 else ceil(log(1 - recall) / log(1 - together))
 
 
 def window_and_count(threshold: float, lines: int, recall: float) -> tuple[float, int]:
@@ -54,7 +68,8 @@ def window_and_count(threshold: float, lines: int, recall: float) -> tuple[float
 
 
 def _directions(dim: int, n: int, seed: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64([seed, dim])).standard_normal((dim, n))
+    # drawn one after the other, so the first ones are the same whatever their number
+    return np.random.Generator(np.random.PCG64([seed, dim])).standard_normal((n, dim)).T
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -73,57 +88,112 @@ def _by_dimension(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield own, flat[starts[own][:, None] + np.arange(dim)]
 
 
-def _keyed(tables: int, planes: int):
+def sketches(unit: np.ndarray, lines: int) -> np.ndarray:
+    """Projections in a byte each."""
+    places = np.rint(unit @ _directions(unit.shape[1], lines, SEED + 1) / CELL) + 128
+    return np.clip(places, 0, 255).astype(np.uint8)
+
+
+def block_keys(unit: np.ndarray, tables: int, planes: int) -> np.ndarray:
+    """Side of each vector's planes in each table, as numbers."""
+    if not planes:
+        return np.zeros((len(unit), tables), np.int64)
+    weights, keys = 1 << np.arange(planes), np.empty((len(unit), tables), np.int64)
+    planes_of = _directions(unit.shape[1], tables * planes, SEED)
+    for t in range(tables):
+        keys[:, t] = (unit @ planes_of[:, t * planes : (t + 1) * planes] > 0) @ weights
+    return keys
+
+
+def _dealer(threshold: float, recall: float, lines: int):
+    """Sketches by table and block; planes tells how many tables there are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.zeros((batch.num_rows, tables), np.int64)
-            if planes:
-                weights = 1 << np.arange(planes)
-                for own, vectors in _by_dimension(batch.column(batch.schema.get_field_index("embedding"))):
-                    sides = _unit(vectors) @ _directions(vectors.shape[1], tables * planes, SEED) > 0
-                    keys[own] = sides.reshape(len(own), tables, planes) @ weights
-            offsets = pa.array(np.arange(batch.num_rows + 1) * tables, pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "keys"])
+            ids, labels, planes = (np.asarray(batch.column(c)) for c in range(3))
+            for own, vectors in _by_dimension(batch.column(3)):
+                unit = _unit(vectors)
+                for n in np.unique(planes[own]):
+                    mine = planes[own] == n
+                    tables = tables_of(int(n), threshold, recall)
+                    keys, codes = block_keys(unit[mine], tables, int(n)), sketches(unit[mine], lines)
+                    sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(lines), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
+                    for t in range(tables):
+                        rows = own[mine]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(ids[rows]), pa.array(labels[rows]), pa.array(np.full(len(rows), vectors.shape[1], np.int32)), pa.array(np.full(len(rows), t, np.int32)), pa.array(keys[:, t]), sketch],
+                            names=["class_id", "label_code", "dim", "table", "key", "sketch"],
+                        )
 
     return run
 
 
-def candidate_pairs(unit: np.ndarray, half: float, least: int, lines: int = LINES) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j that collide in the query-centred windows of ``least`` lines or more."""
-    n = len(unit)
-    counts = np.zeros((n, n), np.uint8)
+def candidate_pairs(projected: np.ndarray, half: float, least: int, axis: np.ndarray | None = None, reach: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs i < j that collide in the query-centred windows of ``least`` lines or more.
+
+    projected: positions by vector and line. With ``axis``, positions on one more
+    line on which pairs are never more than ``reach`` apart, queries are taken in
+    its order and only what lies within their reach is counted.
+    """
+    n, lines = projected.shape
     small = np.uint16 if n < 1 << 16 else np.uint32
-    for line in (unit @ _directions(unit.shape[1], lines, SEED + 1)).T:
-        order = np.argsort(line)
-        placed = line[order]
-        rank = np.empty(n, small)
-        rank[order] = np.arange(n, dtype=small)
-        low = np.searchsorted(placed, line - half, "left").astype(small)
-        width = np.searchsorted(placed, line + half, "right").astype(small) - low
-        # below the window the difference wraps round and is too large as well
-        counts += (rank[None, :] - low[:, None]) < width[:, None]
-    left, right = np.nonzero(counts >= least)
-    upper = left < right
-    return left[upper], right[upper]
-
-
-def block_links(vectors: np.ndarray, weights: np.ndarray, keys: np.ndarray, table: int, parts: np.ndarray, threshold: float, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(axis, kind="stable") if axis is not None else np.arange(n)
+    places = axis[order] if axis is not None else np.zeros(n)
+    # on every line the rank of each vector, where its window begins, and its width
+    rank, low, width = (np.empty((lines, n), small) for _ in range(3))
+    for k, line in enumerate(projected[order].T):
+        by = np.argsort(line, kind="stable")
+        placed = line[by]
+        rank[k, by] = np.arange(n, dtype=small)
+        low[k] = np.searchsorted(placed, line - half, "left")
+        width[k] = np.searchsorted(placed, line + half, "right") - low[k]
+    lefts, rights = [], []
+    for a in range(0, n, QUERIES):
+        b = min(a + QUERIES, n)
+        end = int(np.searchsorted(places, places[b - 1] + reach, "right")) if axis is not None else n
+        counts = np.zeros((b - a, end - a), np.uint8 if lines < 256 else np.uint16)
+        for k in range(lines):
+            # below the window the difference wraps round and is too large as well
+            counts += (rank[k, None, a:end] - low[k, a:b, None]) < width[k, a:b, None]
+        i, j = np.nonzero(counts >= least)
+        later = i < j
+        lefts.append(order[a + i[later]])
+        rights.append(order[a + j[later]])
+    left, right = (np.concatenate([np.empty(0, np.int64), *x]) for x in (lefts, rights))
+    return np.minimum(left, right), np.maximum(left, right)
+
+
+def _widest(unit: np.ndarray) -> np.ndarray:
+    """Positions on a line of unit direction along which the vectors spread most."""
+    spread = unit - unit.mean(axis=0)
+    direction = np.ones(unit.shape[1])
+    for _ in range(8):
+        direction = spread.T @ (spread @ direction)
+        length = np.sqrt(direction @ direction)
+        if not length > 0:
+            return np.zeros(len(unit))
+        direction /= length
+    return unit @ direction
+
+
+def block_links(vectors: np.ndarray, weights: np.ndarray, table: int, planes: int, parts: np.ndarray, threshold: float, lines: int) -> tuple[np.ndarray, np.ndarray]:
     """For each vector of a block: weight of the others that it is linked to, and
     the first position of its component within the block. A pair counts in the
     first table where it shares a block, and if there are two parts, only across."""
     unit = _unit(vectors)
     half, least = window_and_count(threshold, lines, RECALL)
-    left, right = candidate_pairs(unit, half, least, lines)
+    projected = unit @ _directions(unit.shape[1], lines, SEED + 1)
+    left, right = candidate_pairs(projected, half, least, _widest(unit), half * (1 + 1e-9))
     if parts.min() != parts.max():
         across = parts[left] != parts[right]
         left, right = left[across], right[across]
     linked = np.zeros(len(unit), np.int64)
     lefts, rights = [], []
+    keys = block_keys(unit, table, planes) if table else None
     for start in range(0, len(left), PAIRS):
         a, b = left[start : start + PAIRS], right[start : start + PAIRS]
         if table:
-            new = ~(keys[a, :table] == keys[b, :table]).any(axis=1)
+            new = ~(keys[a] == keys[b]).any(axis=1)
             a, b = a[new], b[new]
         close = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
         a, b = a[close], b[close]
@@ -136,31 +206,37 @@ def block_links(vectors: np.ndarray, weights: np.ndarray, keys: np.ndarray, tabl
     return linked, local_roots(len(unit), np.concatenate(lefts), np.concatenate(rights))
 
 
-GROUP_COLUMNS = ("label_code", "dim", "table", "key", "low_part", "high_part")
+def block_partners(codes: np.ndarray, parts: np.ndarray, threshold: float, lines: int) -> np.ndarray:
+    """Which sketches of a block have a partner in it, and if there are two parts, in
+    the other one."""
+    half, least = window_and_count(threshold, lines, RECALL)
+    # two places are each off by half a cell at most
+    left, right = candidate_pairs(codes.astype(np.int16), ceil((half + CELL) / CELL), least)
+    if parts.min() != parts.max():
+        across = parts[left] != parts[right]
+        left, right = left[across], right[across]
+    return np.unique(np.concatenate([left, right]))
 
 
-def _linker(threshold: float, lines: int):
+BLOCK_COLUMNS = ("label_code", "dim", "table", "key")
+GROUP_COLUMNS = (*BLOCK_COLUMNS, "low_part", "high_part")
+
+
+def _by_group(work: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
+    """Run ``work`` on each group of rows; rows come sorted by group."""
+
+    def edges(rows: pa.RecordBatch) -> np.ndarray:
+        group = np.stack([np.asarray(rows.column(rows.schema.get_field_index(c))).astype(np.int64) for c in GROUP_COLUMNS], axis=1)
+        return np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def results(rows: pa.RecordBatch, bounds: np.ndarray) -> pa.RecordBatch:
-            column = lambda name: rows.column(rows.schema.get_field_index(name))
-            ids, weights, parts, tables = (np.asarray(column(c)) for c in ("class_id", "copies", "part", "table"))
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        def results(rows: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a < 2:
-                    continue
-                vectors = np.asarray(column("embedding")[a:b].flatten()).reshape(b - a, -1)
-                keys = np.asarray(column("keys")[a:b].flatten()).reshape(b - a, -1)
-                linked, root = block_links(vectors, weights[a:b], keys, int(tables[a]), parts[a:b], threshold, lines)
-                own = np.flatnonzero(linked)
-                out.append((ids[a:b][own], linked[own], ids[a:b][root[own]]))
-            columns = [np.concatenate([np.empty(0, np.int64), *c]) for c in (zip(*out, strict=True) if out else ([], [], []))]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["class_id", "linked", "low"])
-
-        def edges(rows: pa.RecordBatch) -> np.ndarray:
-            group = np.stack([np.asarray(rows.column(rows.schema.get_field_index(c))).astype(np.int64) for c in GROUP_COLUMNS], axis=1)
-            return np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1])
+                found = work(rows.slice(a, b - a)) if b - a > 1 else None
+                if found is not None and found.num_rows:
+                    yield found
 
         for batch in batches:
             held.append(batch)
@@ -168,40 +244,76 @@ def _linker(threshold: float, lines: int):
             starts = edges(rows)
             # the last group may go on in the next batch
             if len(starts) > 1:
-                yield results(rows.slice(0, starts[-1]), starts)
+                yield from results(rows.slice(0, starts[-1]), starts)
             held = [rows.slice(starts[-1])]
         if held and held[0].num_rows:
             rows = pa.concat_batches(held)
-            yield results(rows, np.append(edges(rows), rows.num_rows))
+            yield from results(rows, np.append(edges(rows), rows.num_rows))
 
     return run
 
 
-def embedding_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, lines: int = LINES, recall: float = RECALL) -> DataFrame:
-    """class_id, linked (weight of links found in one task) and low (a class of
-    the same component) for classes with columns class_id, label_code, dim,
-    copies, embedding."""
-    largest = classes.groupBy("label_code", "dim").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    tables, planes = tables_and_planes(largest, threshold, block, recall)
-    columns = ("class_id", "label_code", "dim", "copies", "embedding")
-    schema = "class_id long, label_code long, dim int, copies long, embedding array<float>, keys array<long>"
-    keyed = classes.select(*columns).mapInArrow(_keyed(tables, planes), schema)
-    dealt = keyed.select("*", F.posexplode("keys").alias("table", "key"))
-    sizes = dealt.groupBy("label_code", "dim", "table", "key").agg(F.count(F.lit(1)).alias("n"))
-    large = materialize(sizes.where(F.col("n") > 2 * block), "large-blocks")
-    dealt = dealt.withColumns({"parts": F.lit(1)})
+def _column(rows: pa.RecordBatch, name: str) -> pa.Array:
+    return rows.column(rows.schema.get_field_index(name))
+
+
+def _linker(threshold: float, lines: int):
+    def links(rows: pa.RecordBatch) -> pa.RecordBatch:
+        ids, weights, parts, planes = (np.asarray(_column(rows, c)) for c in ("class_id", "copies", "part", "planes"))
+        vectors = np.asarray(_column(rows, "embedding").flatten()).reshape(len(ids), -1)
+        linked, root = block_links(vectors, weights, int(_column(rows, "table")[0].as_py()), int(planes[0]), parts, threshold, lines)
+        own = np.flatnonzero(linked)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids[own], linked[own], ids[root[own]])], names=["class_id", "linked", "low"])
+
+    return _by_group(links)
+
+
+def _partner_finder(threshold: float, lines: int):
+    names = ["class_id", *BLOCK_COLUMNS]
+
+    def partners(rows: pa.RecordBatch) -> pa.RecordBatch:
+        codes = np.frombuffer(b"".join(_column(rows, "sketch").to_pylist()), np.uint8).reshape(rows.num_rows, lines)
+        found = pa.array(block_partners(codes, np.asarray(_column(rows, "part")), threshold, lines))
+        return pa.RecordBatch.from_arrays([_column(rows, c).take(found) for c in names], names=names)
+
+    return _by_group(partners)
+
+
+def _in_groups(rows: DataFrame, block: int, kept: list[str]) -> DataFrame:
+    """Rows of blocks dealt to tasks and sorted; a block above the bound is cut into
+    parts, and its rows go to one group for each other part."""
+    keys = list(BLOCK_COLUMNS)
+    large = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * block), "large-blocks")
+    rows = rows.withColumn("parts", F.lit(1))
     if large.take(1):
-        parts = large.select("label_code", "dim", "table", "key", F.ceil(F.col("n") / block).cast("int").alias("p"))
-        dealt = dealt.join(parts, ["label_code", "dim", "table", "key"], "left").withColumn("parts", F.coalesce("p", "parts")).drop("p")
-    part = F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int")
+        rows = rows.join(large.select(*keys, F.ceil(F.col("n") / block).cast("int").alias("p")), keys, "left").withColumn("parts", F.coalesce("p", "parts")).drop("p")
     dealt = (
-        dealt.withColumn("part", part)
+        rows.withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumns({"low_part": F.least("part", "other"), "high_part": F.greatest("part", "other")})
-        .select("class_id", "copies", "embedding", "keys", "part", *GROUP_COLUMNS)
     )
-    groups = dealt.repartition(*GROUP_COLUMNS).sortWithinPartitions(*GROUP_COLUMNS)
-    return groups.mapInArrow(_linker(threshold, lines), "class_id long, linked long, low long")
+    return dealt.select("class_id", *kept, "part", *GROUP_COLUMNS).repartition(*GROUP_COLUMNS).sortWithinPartitions(*GROUP_COLUMNS)
+
+
+def embedding_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, lines: int = LINES, recall: float = RECALL) -> DataFrame:
+    """class_id, linked (weight of links found in one task) and low (a class of
+    the same component) for classes with columns class_id, label_code, dim,
+    copies, embedding."""
+    label = ["label_code", "dim"]
+    n = F.count(F.lit(1))
+    planes = F.least(F.ceil(F.log2(n / F.lit(block))), F.lit(MOST_PLANES)).cast("int")
+    # labels of more than two blocks; Spark broadcasts them as long as they are few
+    large = materialize(classes.groupBy(*label).agg(n.alias("n"), planes.alias("planes")).where(F.col("n") > 2 * block).drop("n"), "large-labels")
+    whole = classes.select("class_id", "copies", "embedding", *label, F.lit(0).alias("table"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("planes"))
+    if large.take(1):
+        sized = classes.join(large, label)
+        whole = whole.join(large.select(*label), label, "left_anti")
+        dealt = sized.select("class_id", "label_code", "planes", "embedding").mapInArrow(_dealer(threshold, recall, lines), "class_id long, label_code long, dim int, table int, key long, sketch binary")
+        found = _in_groups(materialize(dealt, "sketches"), block, ["sketch"]).mapInArrow(_partner_finder(threshold, lines), "class_id long, label_code long, dim int, table int, key long")
+        partners = materialize(found.distinct(), "partners").drop(*label)
+        near = sized.join(partners, "class_id").select("class_id", "copies", "embedding", *label, "table", "key", "planes")
+        whole = whole.unionByName(materialize(near, "near"))
+    return _in_groups(whole, block, ["copies", "embedding", "planes"]).mapInArrow(_linker(threshold, lines), "class_id long, linked long, low long")
 
 
 def near_duplicate_embeddings(
@@ -219,9 +331,13 @@ def near_duplicate_embeddings(
     vector that is null, empty, zero or has a null or non-finite component, or
     whose label is null, links with nothing and is its own component. Repeated
     rows are vectors of their own, linked with each other. A null id is never a
-    component's smallest unless all are null. Other columns are not read.
+    component's smallest unless all are null. An empty table gives an empty result.
+    Components of floats and doubles are read as they are, others as doubles; vectors
+    may have any length. Other columns are not read.
     """
-    v = F.col(vector_col).cast("array<float>")
+    given = vectors.select(F.col(vector_col)).schema[0].dataType
+    single = isinstance(given, ArrayType) and isinstance(given.elementType, FloatType)
+    v = F.col(vector_col).cast("array<float>" if single else "array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"),
@@ -237,15 +353,16 @@ def near_duplicate_embeddings(
     links = materialize(embedding_links(classes, threshold, block, lines), "links")
     weights = links.groupBy("class_id").agg(F.sum("linked").alias("linked"))
     roots = connected_components(links, "low", "class_id").select(F.col("node").alias("class_id"), "root")
-    rooted = classes.select("class_id", "least").join(roots, "class_id")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(least, "root").select("class_id", F.col("component_id"))
+    rooted = materialize(classes.select("class_id", "least").join(roots, "class_id"), "roots")
+    by_root = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "least")
+    known = join_counted(rooted.select("class_id", "root"), by_root, ["root"], "members", rooted.count()).select("class_id", "component_id")
     facts = (
         classes.select(*names, "class_id", "copies", "least")
         .join(weights, "class_id", "left")
         .join(known, "class_id", "left")
-        .select(*names, (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+        .select(*names, "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     )
-    found = usable.select("vec_id", *names).join(facts, names).select("vec_id", "n_links", "component_id")
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    found = join_counted(usable.select("vec_id", *names), materialize(facts, "facts"), names, "copies", total).select("vec_id", "n_links", "component_id")
     alone = rows.where(F.col("embedding").isNull()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -67,3 +67,50 @@ def test_recall_at_the_threshold():
     h = ed._directions(64, tables * planes, ed.SEED)
     same = ((x @ h > 0) == (y @ h > 0)).reshape(3000, tables, planes).all(2).any(1)
     assert same.mean() > 0.999
+
+
+def test_recall_over_tables_end_to_end(spark):
+    """Links of a label with several tables and planes, and of small ones beside it."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(700):
+        v = rng.standard_normal(24)
+        for _ in range(rng.integers(1, 4)):
+            rows.append((len(rows), v.tolist(), 1))
+            v = v + rng.standard_normal(24) * 0.13
+    rows += [(len(rows) + i, rows[i][1], 2) for i in range(30)]
+    assert ed.tables_and_planes(1200, 0.93, 64, ed.RECALL)[0] > 10
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in ed.near_duplicate_embeddings(df, block=64).collect()}
+    unit = ed._unit(np.array([r[1] for r in rows]))
+    label = np.array([r[2] for r in rows])
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label) & ~np.eye(len(rows), dtype=bool)
+    want = near.sum(1)
+    assert want.sum() > 800
+    found = np.array([got[i][0] for i in range(len(rows))])
+    assert (found <= want).all() and found.sum() >= 0.998 * want.sum()
+
+
+def test_doubles_are_not_rounded(spark):
+    tiny, huge = 1e-200, 1e200
+    rows = [(1, [tiny, 2 * tiny], 0), (2, [huge, 2 * huge], 0), (3, [1.0, -0.5], 0), (4, [1e-45, 3e-45], 0)]
+    # two vectors just below and above the threshold, which floats don't tell apart
+    for k, c in ((5, 0.93 - 1e-12), (6, 0.93 + 1e-12)):
+        rows.append((k, [c, float(np.sqrt(1 - c * c))], k))
+        rows.append((k + 10, [1.0, 0.0], k))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in ed.near_duplicate_embeddings(df).collect()}
+    assert got == {1: 2, 2: 2, 3: 0, 4: 2, 5: 0, 15: 0, 6: 1, 16: 1}
+
+
+@pytest.mark.parametrize("n", [3, 700, 1500])
+def test_windows_within_reach_lose_nothing(n):
+    rng = np.random.default_rng(n)
+    x = ed._unit(np.concatenate([rng.standard_normal((n, 12)), np.full((2, 12), 1.0)]) + 2)
+    x = np.concatenate([x, ed._unit(x + rng.standard_normal(x.shape) * 0.02)])
+    half, least = ed.window_and_count(0.93, ed.LINES, ed.RECALL)
+    p = x @ ed._directions(12, ed.LINES, ed.SEED + 1)
+    plain = {(i, j) for i, j in zip(*np.nonzero(sum((abs(line[:, None] - line) <= half).astype(int) for line in p.T) >= least)) if i < j}
+    assert set(zip(*ed.candidate_pairs(p, half, least))) == plain
+    close = {(i, j) for i, j in zip(*ed.candidate_pairs(p, half, least, ed._widest(x), half)) if x[i] @ x[j] >= 0.93}
+    assert close == {(i, j) for i, j in plain if x[i] @ x[j] >= 0.93}
