@@ -33,6 +33,8 @@ SPAN = WORDS - GRAM + 1
 #: Benchmark text that one broadcast index is made from; text hashed at once.
 BLOCK_BYTES, SLICE_BYTES = 8_000_000, 4_000_000
 FILTER_BITS = 20
+#: Stands for a null id: its windows are hits, but it is no item.
+NO_ID = -(1 << 63)
 
 _rng = np.random.Generator(np.random.PCG64(7))
 #: Hash value of each byte: 0 for bytes that are no part of a word (A-Z as a-z).
@@ -222,7 +224,7 @@ def find_hits(data: np.ndarray, ends: np.ndarray, index: Index) -> tuple[np.ndar
         i, j = np.searchsorted(owner[begin], [k, k + 1])
         spans = [{"begin": int(a), "end": int(b)} for a, b in zip(begin[i:j] - before[k], end[i:j] - before[k], strict=True)]
         i, j = np.searchsorted(named_[:, 0], [k, k + 1])
-        out.append((int(k), spans, named_[i:j, 1].tolist()))
+        out.append((int(k), spans, [x for x in named_[i:j, 1].tolist() if x != NO_ID]))
     return counts, out
 
 
@@ -265,7 +267,8 @@ REPORT = "doc_id long, n_words long, spans array<struct<begin: long, end: long>>
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[Index]:
     """One index for every block of about ``block_bytes`` of benchmark text."""
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    items = items.select(F.coalesce("id", F.lit(NO_ID)).alias("id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
     for k in range(blocks):
@@ -285,8 +288,9 @@ def find_contamination(
     """Per document: doc_id, n_words, spans (hit words, as begin and end), items
     (ids of the items that occur), in no particular order.
 
-    Null and empty texts have no words and no hits. Benchmark rows whose id or
-    text is null are left out; an id with several texts has the windows of each.
+    Null and empty texts have no words and no hits. Benchmark rows whose text is null
+    are left out; windows of rows whose id is null are hits of no item; an id with
+    several texts has the windows of each.
     Every row of a repeated id is judged on its own text. Empty tables give no
     rows or no hits. Other columns are not read.
     """
@@ -367,7 +371,14 @@ def _filter(index, text_name: str):
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents that are not contaminated, with their columns as they are."""
+    """The documents that are not contaminated, with their columns as they are.
+
+    Null and empty texts have no words and stay; a document of which just a
+    twentieth is hit goes. Long texts count whole. Rows of null or repeated ids are
+    judged each on its own text, and columns may have any name. An empty table, or
+    an empty benchmark, changes nothing; benchmark rows are as in
+    ``find_contamination``.
+    """
     spark = documents.sparkSession
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
     first = next(blocks)

@@ -10,10 +10,11 @@ A larger label is cut into blocks. Each of several tables cuts the sphere by a f
 random hyperplanes, as many as bring blocks to about ``BLOCK`` vectors, and there
 are as many tables as let a pair at the threshold share a block with probability
 ``RECALL``; both follow the label's own size. What is dealt to the tables are not
-the vectors but sketches: their projections in a byte each. Collisions counted on
-sketches, with windows wider by the rounding, tell which vectors of a block have a
-partner there at all. Only those are fetched by id and verified, so the vectors
-that are shuffled are those of near-duplicates.
+the vectors but sketches: their projections in half a byte each. Collisions counted
+on sketches, with windows wider by the rounding, tell which vectors of a block have
+partners there, and a checksum of these. Of the tables in which a vector has the
+same partners the first will do. Only there it is fetched by id and verified, so
+the vectors that are shuffled are those of near-duplicates, about once each.
 
 Equal vectors are one class from the start. Blocks above the bound are cut into
 parts, and every two parts meet in a task of their own. A task reports, for each
@@ -35,12 +36,16 @@ from factloom.llm.common import join_counted, materialize
 from factloom.llm.components import connected_components, local_roots
 
 THRESHOLD, RECALL = 0.93, 0.9999
-BLOCK, LINES, SEED = 1024, 64, 99
+BLOCK, LINES, SEED = 1024, 32, 99
+#: Half a window's width, in deviations of a projected distance at the threshold.
+DEVIATIONS = 2
 MOST_PLANES = 24
+#: Bits of a block's number that hold its table.
+TABLE_BITS = 12
 #: Pairs verified at once, and queries whose windows are counted at once.
 PAIRS, QUERIES = 100_000, 512
-#: Width of a sketch's cell; projections beyond the last cell count as in it.
-CELL = 1 / 20
+#: Width of a sketch's cells, of which there are 16; what is beyond them counts as in the last.
+CELL = 1 / 4
 
 
 def tables_and_planes(n: int, threshold: float, block: int, recall: float) -> tuple[int, int]:
@@ -58,8 +63,8 @@ def tables_of(planes: int, threshold: float, recall: float) -> int:
 def window_and_count(threshold: float, lines: int, recall: float) -> tuple[float, int]:
     """Half a window's width, and the least count at which a pair at the
     threshold is found with probability ``recall``."""
-    distance = sqrt(2 * (1 - threshold))
-    hit = erf(1 / sqrt(2))  # a projected distance is normal; the window is one deviation
+    distance = DEVIATIONS * sqrt(2 * (1 - threshold))
+    hit = erf(DEVIATIONS / sqrt(2))  # a projected distance is normal
     missed, count = 0.0, 0
     while missed + comb(lines, count) * hit**count * (1 - hit) ** (lines - count) <= 1 - recall:
         missed += comb(lines, count) * hit**count * (1 - hit) ** (lines - count)
@@ -89,9 +94,14 @@ def _by_dimension(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def sketches(unit: np.ndarray, lines: int) -> np.ndarray:
-    """Projections in a byte each."""
-    places = np.rint(unit @ _directions(unit.shape[1], lines, SEED + 1) / CELL) + 128
-    return np.clip(places, 0, 255).astype(np.uint8)
+    """Cells of the projections, packed 16 to a number."""
+    cells = np.clip(np.floor(unit @ _directions(unit.shape[1], lines, SEED + 1) / CELL) + 8, 0, 15).astype(np.int64)
+    cells = np.pad(cells, ((0, 0), (0, -lines % 16))).reshape(len(unit), -1, 16)
+    return (cells << (4 * np.arange(16))).sum(axis=2)
+
+
+def cells_of(packed: np.ndarray, lines: int) -> np.ndarray:
+    return ((packed[:, :, None] >> (4 * np.arange(16))) & 15).reshape(len(packed), -1)[:, :lines].astype(np.int16)
 
 
 def block_keys(unit: np.ndarray, tables: int, planes: int) -> np.ndarray:
@@ -105,8 +115,22 @@ def block_keys(unit: np.ndarray, tables: int, planes: int) -> np.ndarray:
     return keys
 
 
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _words(lines: int) -> list[str]:
+    return [f"w{k}" for k in range(-(-lines // 16))]
+
+
 def _dealer(threshold: float, recall: float, lines: int):
-    """Sketches by table and block; planes tells how many tables there are."""
+    """Sketches by block, whose number is a hash of label, size, table and key with
+    the table in its last bits; planes tells how many tables there are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,14 +140,12 @@ def _dealer(threshold: float, recall: float, lines: int):
                 for n in np.unique(planes[own]):
                     mine = planes[own] == n
                     tables = tables_of(int(n), threshold, recall)
-                    keys, codes = block_keys(unit[mine], tables, int(n)), sketches(unit[mine], lines)
-                    sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(lines), len(codes), [None, pa.py_buffer(np.ascontiguousarray(codes))]).cast(pa.binary())
+                    keys, rows = block_keys(unit[mine], tables, int(n)), own[mine]
+                    words = [pa.array(w) for w in sketches(unit[mine], lines).T]
                     for t in range(tables):
-                        rows = own[mine]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(ids[rows]), pa.array(labels[rows]), pa.array(np.full(len(rows), vectors.shape[1], np.int32)), pa.array(np.full(len(rows), t, np.int32)), pa.array(keys[:, t]), sketch],
-                            names=["class_id", "label_code", "dim", "table", "key", "sketch"],
-                        )
+                        whose = np.uint64(vectors.shape[1] << 12 | t) * STEP ^ labels[rows].view(np.uint64)
+                        block = (_mixed(whose + keys[:, t].view(np.uint64) * STEP) >> np.uint64(TABLE_BITS) << np.uint64(TABLE_BITS)).view(np.int64) | t
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(block), *words], names=["class_id", "block", *_words(lines)])
 
     return run
 
@@ -206,27 +228,30 @@ def block_links(vectors: np.ndarray, weights: np.ndarray, table: int, planes: in
     return linked, local_roots(len(unit), np.concatenate(lefts), np.concatenate(rights))
 
 
-def block_partners(codes: np.ndarray, parts: np.ndarray, threshold: float, lines: int) -> np.ndarray:
-    """Which sketches of a block have a partner in it, and if there are two parts, in
-    the other one."""
+def block_partners(cells: np.ndarray, ids: np.ndarray, parts: np.ndarray, threshold: float, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sketches of a block have partners in it, and if there are two parts, in
+    the other one; and a checksum of each one's partners."""
     half, least = window_and_count(threshold, lines, RECALL)
-    # two places are each off by half a cell at most
-    left, right = candidate_pairs(codes.astype(np.int16), ceil((half + CELL) / CELL), least)
+    left, right = candidate_pairs(cells, int(half / CELL) + 1, least)
     if parts.min() != parts.max():
         across = parts[left] != parts[right]
         left, right = left[across], right[across]
-    return np.unique(np.concatenate([left, right]))
+    names, sums = _mixed(ids.astype(np.uint64) + STEP), np.zeros(len(ids), np.uint64)
+    np.bitwise_xor.at(sums, left, names[right])
+    np.bitwise_xor.at(sums, right, names[left])
+    found = np.unique(np.concatenate([left, right]))
+    return found, sums[found].view(np.int64)
 
 
-BLOCK_COLUMNS = ("label_code", "dim", "table", "key")
-GROUP_COLUMNS = (*BLOCK_COLUMNS, "low_part", "high_part")
+BLOCK_COLUMNS = ("label_code", "dim", "block")
 
 
-def _by_group(work: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
+def _by_group(columns: tuple[str, ...], work: Callable[[pa.RecordBatch], pa.RecordBatch]):
     """Run ``work`` on each group of rows; rows come sorted by group."""
+    columns = (*columns, "low_part", "high_part")
 
     def edges(rows: pa.RecordBatch) -> np.ndarray:
-        group = np.stack([np.asarray(rows.column(rows.schema.get_field_index(c))).astype(np.int64) for c in GROUP_COLUMNS], axis=1)
+        group = np.stack([np.asarray(rows.column(rows.schema.get_field_index(c))).astype(np.int64) for c in columns], axis=1)
         return np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +259,7 @@ def _by_group(work: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
 
         def results(rows: pa.RecordBatch, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                found = work(rows.slice(a, b - a)) if b - a > 1 else None
-                if found is not None and found.num_rows:
+                if b - a > 1 and (found := work(rows.slice(a, b - a))).num_rows:
                     yield found
 
         for batch in batches:
@@ -261,38 +285,36 @@ def _linker(threshold: float, lines: int):
     def links(rows: pa.RecordBatch) -> pa.RecordBatch:
         ids, weights, parts, planes = (np.asarray(_column(rows, c)) for c in ("class_id", "copies", "part", "planes"))
         vectors = np.asarray(_column(rows, "embedding").flatten()).reshape(len(ids), -1)
-        linked, root = block_links(vectors, weights, int(_column(rows, "table")[0].as_py()), int(planes[0]), parts, threshold, lines)
+        linked, root = block_links(vectors, weights, int(_column(rows, "block")[0].as_py()) & ((1 << TABLE_BITS) - 1), int(planes[0]), parts, threshold, lines)
         own = np.flatnonzero(linked)
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ids[own], linked[own], ids[root[own]])], names=["class_id", "linked", "low"])
 
-    return _by_group(links)
+    return _by_group(BLOCK_COLUMNS, links)
 
 
 def _partner_finder(threshold: float, lines: int):
-    names = ["class_id", *BLOCK_COLUMNS]
-
     def partners(rows: pa.RecordBatch) -> pa.RecordBatch:
-        codes = np.frombuffer(b"".join(_column(rows, "sketch").to_pylist()), np.uint8).reshape(rows.num_rows, lines)
-        found = pa.array(block_partners(codes, np.asarray(_column(rows, "part")), threshold, lines))
-        return pa.RecordBatch.from_arrays([_column(rows, c).take(found) for c in names], names=names)
+        cells = cells_of(np.stack([np.asarray(_column(rows, w)) for w in _words(lines)], axis=1), lines)
+        found, sums = block_partners(cells, np.asarray(_column(rows, "class_id")), np.asarray(_column(rows, "part")), threshold, lines)
+        return pa.RecordBatch.from_arrays([_column(rows, c).take(pa.array(found)) for c in ("class_id", "block")] + [pa.array(sums)], names=["class_id", "block", "partners"])
 
-    return _by_group(partners)
+    return _by_group(("block",), partners)
 
 
-def _in_groups(rows: DataFrame, block: int, kept: list[str]) -> DataFrame:
+def _in_groups(rows: DataFrame, keys: tuple[str, ...], block: int, kept: list[str]) -> DataFrame:
     """Rows of blocks dealt to tasks and sorted; a block above the bound is cut into
-    parts, and its rows go to one group for each other part."""
-    keys = list(BLOCK_COLUMNS)
+    parts, and its rows go to one group for each other part and their own."""
     large = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * block), "large-blocks")
     rows = rows.withColumn("parts", F.lit(1))
     if large.take(1):
-        rows = rows.join(large.select(*keys, F.ceil(F.col("n") / block).cast("int").alias("p")), keys, "left").withColumn("parts", F.coalesce("p", "parts")).drop("p")
+        rows = rows.join(large.select(*keys, F.ceil(F.col("n") / block).cast("int").alias("p")), list(keys), "left").withColumn("parts", F.coalesce("p", "parts")).drop("p")
     dealt = (
         rows.withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .withColumns({"low_part": F.least("part", "other"), "high_part": F.greatest("part", "other")})
     )
-    return dealt.select("class_id", *kept, "part", *GROUP_COLUMNS).repartition(*GROUP_COLUMNS).sortWithinPartitions(*GROUP_COLUMNS)
+    groups = (*keys, "low_part", "high_part")
+    return dealt.select("class_id", *kept, "part", *groups).repartition(*groups).sortWithinPartitions(*groups)
 
 
 def embedding_links(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, lines: int = LINES, recall: float = RECALL) -> DataFrame:
@@ -304,16 +326,20 @@ def embedding_links(classes: DataFrame, threshold: float = THRESHOLD, block: int
     planes = F.least(F.ceil(F.log2(n / F.lit(block))), F.lit(MOST_PLANES)).cast("int")
     # labels of more than two blocks; Spark broadcasts them as long as they are few
     large = materialize(classes.groupBy(*label).agg(n.alias("n"), planes.alias("planes")).where(F.col("n") > 2 * block).drop("n"), "large-labels")
-    whole = classes.select("class_id", "copies", "embedding", *label, F.lit(0).alias("table"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("planes"))
+    whole = classes.select("class_id", "copies", "embedding", *label, F.lit(0).cast("long").alias("block"), F.lit(0).alias("planes"))
     if large.take(1):
         sized = classes.join(large, label)
         whole = whole.join(large.select(*label), label, "left_anti")
-        dealt = sized.select("class_id", "label_code", "planes", "embedding").mapInArrow(_dealer(threshold, recall, lines), "class_id long, label_code long, dim int, table int, key long, sketch binary")
-        found = _in_groups(materialize(dealt, "sketches"), block, ["sketch"]).mapInArrow(_partner_finder(threshold, lines), "class_id long, label_code long, dim int, table int, key long")
-        partners = materialize(found.distinct(), "partners").drop(*label)
-        near = sized.join(partners, "class_id").select("class_id", "copies", "embedding", *label, "table", "key", "planes")
-        whole = whole.unionByName(materialize(near, "near"))
-    return _in_groups(whole, block, ["copies", "embedding", "planes"]).mapInArrow(_linker(threshold, lines), "class_id long, linked long, low long")
+        words = _words(lines)
+        schema = "class_id long, block long, " + ", ".join(f"{w} long" for w in words)
+        dealt = materialize(sized.select("class_id", "label_code", "planes", "embedding").mapInArrow(_dealer(threshold, recall, lines), schema), "sketches")
+        found = _in_groups(dealt, ("block",), block, words).mapInArrow(_partner_finder(threshold, lines), "class_id long, block long, partners long")
+        # a pair counts in the first table that it shares, so where the partners are those of an earlier table nothing new is found
+        named = found.groupBy("class_id", "block").agg(F.bit_xor("partners").alias("partners"))
+        first = named.groupBy("class_id", "partners").agg(F.min_by("block", F.col("block").bitwiseAND((1 << TABLE_BITS) - 1)).alias("block"))
+        near = sized.join(materialize(first.select("class_id", "block"), "partners"), "class_id")
+        whole = whole.unionByName(materialize(near.select(*whole.columns), "near"))
+    return _in_groups(whole, BLOCK_COLUMNS, block, ["copies", "embedding", "planes"]).mapInArrow(_linker(threshold, lines), "class_id long, linked long, low long")
 
 
 def near_duplicate_embeddings(

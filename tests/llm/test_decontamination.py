@@ -18,7 +18,7 @@ def brute(docs, items):
     windows = {}
     for item, text in items:
         w = words(text)
-        if item is None or not w:
+        if not w:
             continue
         m = min(13, len(w))
         for i in range(len(w) - m + 1):
@@ -31,7 +31,8 @@ def brute(docs, items):
             for i in range(len(w) - m + 1):
                 if own := windows.get(tuple(w[i : i + m])):
                     hit.update(range(i, i + m))
-                    found |= own
+                    # a window of a row without id is a hit of no item
+                    found |= own - {None}
         digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         out.append((str(doc), len(w), len(hit), len(found), digest, len(hit) > 0 and 20 * len(hit) >= len(w)))
     return sorted(out)
