@@ -193,7 +193,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED, without: tuple[str, .
         path, real = pick(paths), bool(rng.integers(2))
         assigned = pick(names) + pick(["=", " = ", ": ", ":"])
         if real:
-            shape = pick(sorted(real_shapes))
+            # issued keys have four forms
+            shape = pick(sorted(real_shapes) + ["issued"] * 2 * ("issued" in real_shapes))
             rule, make = real_shapes[shape]
             if shape == "issued":
                 rule = pick(sorted(issued))
