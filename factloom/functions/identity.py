@@ -4,25 +4,35 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from factloom.config import SETTINGS, STATES, STOP_WORDS, Settings
 
 
-@F.pandas_udf(StringType())
-def decomposed(s: pd.Series) -> pd.Series:
-    """NFKD, which Spark has no function for."""
-    return s.map(lambda x: unicodedata.normalize("NFKD", x) if isinstance(x, str) else x)
+def _accented() -> dict[str, str]:
+    """Small letters of the Latin blocks that are an ASCII letter with marks."""
+    found = {}
+    for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]):
+        first, *marks = unicodedata.normalize("NFKD", c)
+        if c.islower() and first.isascii() and all(map(unicodedata.combining, marks)):
+            found[c] = first
+    return found
 
 
-def tokens(name: Column, decompose: bool = False) -> Column:
-    """Lower-case words of two letters or more, without stop words. With
-    ``decompose`` accents are split off first, which takes a Python function."""
-    name = decomposed(name) if decompose else name
-    words = F.split(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^a-z0-9\s]", " "), r"\s+")
+ACCENTED = _accented()
+
+
+def unaccented(lower: Column) -> Column:
+    """Latin letters without their marks; a mark ends a word, as it would stand
+    behind its letter where letters and marks are taken apart."""
+    marked = F.regexp_replace(lower, "([\u00c0-\u024f\u1e00-\u1eff])", "$1 ")
+    return F.translate(marked, "".join(ACCENTED), "".join(ACCENTED.values()))
+
+
+def tokens(name: Column) -> Column:
+    """Lower-case words of two letters or more, without accents and stop words."""
+    words = F.split(F.regexp_replace(unaccented(F.lower(F.coalesce(name, F.lit("")))), r"[^a-z0-9\s]", " "), r"\s+")
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
 
 

@@ -153,3 +153,8 @@ def source_coverage(findings: DataFrame, signals: DataFrame) -> DataFrame:
     count = F.when(app, platforms.cast("long")).otherwise(F.coalesce("count", F.lit(0)))
     extra = (video & F.coalesce(F.col("youtube") | F.col("livestream") | F.col("podcast"), F.lit(False))) | (app & F.coalesce(F.col("church_app"), F.lit(False)))
     return full.select("entity_id", "category", ((count > 0) | extra).alias("present"), count.alias("count"), F.coalesce(F.array_join("hosts", ", "), F.lit("")).alias("hosts"))
+
+
+def source_breadth(sources: DataFrame) -> DataFrame:
+    """How many kinds of source beside the official site each entity has."""
+    return sources.groupBy("entity_id").agg(F.count_if(F.col("present") & (F.col("category") != "official site")).alias("breadth"))

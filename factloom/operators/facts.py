@@ -46,13 +46,35 @@ def conflicts(fields: DataFrame) -> DataFrame:
 
     Needs entity_id, key, value, norm, reliability, access_level, seq.
     """
-    by = Window.partitionBy("entity_id", "key")
-    order = by.orderBy(F.desc("reliability"), F.asc("seq"))
-    led = fields.withColumns({"top_norm": F.first("norm").over(order), "at": F.row_number().over(order)})
-    a = led.where("at = 1").select("entity_id", "key", F.col("value").alias("value_a"), F.col("access_level").alias("level_a"))
-    rivals = led.where(~F.col("norm").eqNullSafe(F.col("top_norm")))
-    b = first_per(rivals, ["entity_id", "key"], [F.asc("at")]).select("entity_id", "key", F.col("value").alias("value_b"), F.col("access_level").alias("level_b"))
-    return a.join(b, ["entity_id", "key"]).withColumn("confidence", C.cap_confidence(F.lit(60.0), F.col("level_a")))
+    # one pass of partial aggregation: the best row, and the best of each norm
+    row = F.struct("value", "access_level", "norm")
+    rank = F.struct((-F.col("reliability")).alias("r"), F.col("seq"))
+    norms = fields.groupBy("entity_id", "key", "norm").agg(F.min(F.struct(rank.alias("rank"), row.alias("row"))).alias("best"))
+    return _two_best(norms).select(
+        "entity_id", "key", F.col("a.row.value").alias("value_a"), F.col("a.row.access_level").alias("level_a"), F.col("b.row.value").alias("value_b"), F.col("b.row.access_level").alias("level_b")
+    ).withColumn("confidence", C.cap_confidence(F.lit(60.0), F.col("level_a")))
+
+
+def _two_best(norms: DataFrame) -> DataFrame:
+    """The best and the next best value of each field that has several."""
+    at = F.row_number().over(Window.partitionBy("entity_id", "key").orderBy("best"))
+    placed = norms.withColumn("at", at).where("at <= 2")
+    both = placed.groupBy("entity_id", "key").agg(F.max(F.when(F.col("at") == 1, F.col("best"))).alias("a"), F.max(F.when(F.col("at") == 2, F.col("best"))).alias("b"))
+    return both.where("b is not null")
+
+
+def conflict_records(found: DataFrame, as_of: Column) -> DataFrame:
+    """Conflicts as rows of the log: an id that the content gives, open, with the
+    time of the finding."""
+    id_ = F.md5(F.concat_ws("|", F.col("entity_id").cast("string"), "key", "value_a", "value_b"))
+    return found.select(
+        id_.alias("id"), "entity_id", F.col("key").alias("field_name"), "value_a", "value_b", F.col("value_a").alias("recommended_value"), "confidence", F.lit("open").alias("status"), as_of.alias("created_at")
+    )
+
+
+def source_urls(*urls: Column) -> Column:
+    """Distinct addresses in order, without the missing ones."""
+    return F.array_distinct(F.filter(F.array(*urls), lambda u: u.isNotNull() & (u != "")))
 
 
 def source_statistics(findings: DataFrame) -> DataFrame:

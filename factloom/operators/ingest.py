@@ -30,9 +30,14 @@ def is_bad_name(name: Column) -> Column:
     return name.isNull() | name.rlike(r"^\d{1,2}:\d{2}(:\d{2})?$") | name.rlike(r"^\d+(\.\d+)?$")
 
 
-def map_roster(raw: DataFrame, positions: dict[str, int]) -> DataFrame:
+def has_content() -> Column:
+    return F.coalesce("name", "address", "phone_original", "email_original").isNotNull()
+
+
+def map_roster(raw: DataFrame, positions: dict[str, int], keep_empty: bool = False) -> DataFrame:
     """Records from rows of cells; ``raw`` has row_idx and cells (strings), without
-    the header. Rows without name, address, phone and email are left out."""
+    the header. Rows without name, address, phone and email are left out, unless
+    ``keep_empty``."""
     at = lambda f: cell(F.get("cells", F.lit(positions[f]))) if f in positions else F.lit(None).cast("string")
     name, parent, other = at("name"), at("parent"), at("urlname")
     shown = F.concat(F.lit('suspect name value "'), F.coalesce(name, F.lit("null")), F.lit('" — needs manual review'))
@@ -60,20 +65,41 @@ def map_roster(raw: DataFrame, positions: dict[str, int]) -> DataFrame:
         F.nullif(notes, F.lit("")).alias("notes"),
         warning.isNotNull().alias("suspect"),
     )
-    return rows.where(F.coalesce("name", "address", "phone_original", "email_original").isNotNull())
-
-
-def read_roster(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """Rows of cells of a CSV file as text, and its header."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    header = df.columns
-    return df.select(F.monotonically_increasing_id().alias("row_idx"), F.array(*(F.col(f"`{c}`") for c in header)).alias("cells")), header
+    return rows if keep_empty else rows.where(has_content())
+
+
+def read_roster(spark: SparkSession, path: str, limit: int | None = None) -> tuple[DataFrame, list[str]]:
+    """Rows of cells of a CSV file as text, numbered from 1 in file order, and its
+    header, as it is written. ``limit`` keeps the first rows only.
+
+    Rows are numbered by their partition's offset, so numbers are dense and depend
+    on the file alone; only a count for each partition is collected.
+    """
+    whole = spark.read.option("header", False).option("inferSchema", False).csv(path)
+    cells = whole.select(F.monotonically_increasing_id().alias("at"), F.array(*whole.columns).alias("cells"))
+    part = F.shiftright("at", 33)
+    counts = sorted((r["part"], r["n"]) for r in cells.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())
+    if not counts:
+        return spark.createDataFrame([], "row_idx long, cells array<string>"), []
+    first, offsets = 0, []
+    for k, n in counts:
+        offsets.append((k, first))
+        first += n
+    starts = F.create_map(*(F.lit(x) for pair in offsets for x in pair))
+    rows = cells.select((starts[part] + F.col("at").bitwiseAND((1 << 33) - 1)).cast("long").alias("row_idx"), "cells")
+    header = rows.where("row_idx = 0").first()["cells"]
+    data = rows.where(F.col("row_idx") > 0)
+    return (data.where(F.col("row_idx") <= limit) if limit else data), header
 
 
 def import_summary(records: DataFrame, existing: DataFrame) -> DataFrame:
-    """How many rows are new, were there before or repeat, and have warnings."""
-    new = records.select("original_row_id").distinct().join(existing.select("original_row_id"), "original_row_id", "left_anti").agg(F.count(F.lit(1)).alias("imported"))
-    return records.agg(F.count(F.lit(1)).alias("total"), F.count_if("suspect").alias("warnings")).crossJoin(new).select("imported", (F.col("total") - F.col("imported")).alias("skipped"), "warnings", "total")
+    """How many rows are new, were there before or repeat, have warnings, and how
+    many there are. Rows without content count in the total, and in the warnings,
+    but are neither imported nor skipped; ``records`` has them (``keep_empty``)."""
+    kept = records.where(has_content())
+    new = kept.select("original_row_id").distinct().join(existing.select("original_row_id"), "original_row_id", "left_anti").agg(F.count(F.lit(1)).alias("imported"))
+    counts = records.agg(F.count(F.lit(1)).alias("total"), F.count_if("suspect").alias("warnings"), F.count_if(has_content()).alias("kept"))
+    return counts.crossJoin(new).select("imported", (F.col("kept") - F.col("imported")).alias("skipped"), "warnings", "total")
 
 
 def alternative_name(notes: Column) -> Column:

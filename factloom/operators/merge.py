@@ -106,3 +106,14 @@ def last_write(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     for k in keys:
         whole = whole & F.col(k).isNotNull()
     return first_per(rows.where(whole), keys, [F.desc(order)]).unionByName(rows.where(~whole))
+
+
+def patch_reviews(queue: DataFrame, decisions: DataFrame, as_of: Column) -> DataFrame:
+    """Queue with the decisions (id, review_status) and the time they were made."""
+    made = decisions.select("id", F.col("review_status").alias("decided"))
+    decided = F.col("decided").isNotNull()
+    return (
+        queue.join(made, "id", "left")
+        .withColumns({"review_status": F.coalesce("decided", "review_status"), "reviewed_at": F.when(decided, as_of)})
+        .drop("decided")
+    )

@@ -71,7 +71,42 @@ def missing_contact(entities: DataFrame) -> DataFrame:
 
 
 def high_fit(entities: DataFrame) -> DataFrame:
-    return entities.where(F.col("fit_score").isNotNull())
+    """Entities with a score, the best first."""
+    return entities.where(F.col("fit_score").isNotNull()).orderBy(F.desc("fit_score"), F.asc("id"))
+
+
+def next_batch(entities: DataFrame, n: int, missing_website: bool = False) -> DataFrame:
+    """The n best entities that wait for verification, or for a site."""
+    wanted = EntityFilter(missing_website=True, limit=n) if missing_website else EntityFilter(needs_verification=True, limit=n)
+    return list_entities(entities, wanted)
+
+
+def list_evidence(evidence: DataFrame, entity_id: object = None, field_name: str | None = None) -> DataFrame:
+    """Evidence of an entity, of a field, or both, or all; the latest check first,
+    rows that were never checked last."""
+    out = evidence
+    if entity_id is not None:
+        out = out.where(F.col("entity_id") == F.lit(entity_id))
+    if field_name is not None:
+        out = out.where(F.col("field_name") == field_name)
+    return out.orderBy(F.desc_nulls_last("checked_at"), F.asc("seq"))
+
+
+def list_reviews(queue: DataFrame, status: str | None = None) -> DataFrame:
+    """Reviews of a status, or all; the surest first, null confidence last."""
+    out = queue.where(F.col("review_status") == status) if status else queue
+    return out.orderBy(F.desc_nulls_last("confidence"), F.asc("id"))
+
+
+def list_conflicts(conflicts: DataFrame, entity_id: object = None) -> DataFrame:
+    """Conflicts of an entity, or all; the latest first."""
+    out = conflicts if entity_id is None else conflicts.where(F.col("entity_id") == F.lit(entity_id))
+    return out.orderBy(F.desc("created_at"), F.asc("id"))
+
+
+def children_of(rows: DataFrame, parents: DataFrame, key: str = "entity_id") -> DataFrame:
+    """Rows whose parent is there: what stays when parents are deleted."""
+    return rows.join(parents.select(F.col("id").alias(key)), key, "left_semi")
 
 
 def resolve_ids(entities: DataFrame, wanted: DataFrame) -> DataFrame:

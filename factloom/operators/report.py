@@ -43,3 +43,21 @@ def scaffold(entities: DataFrame, specs: DataFrame, existing: DataFrame) -> Data
     """Empty cells for every entity and field that has none yet."""
     every = entities.select("entity_id").join(F.broadcast(specs.select("key")))
     return every.join(existing.select("entity_id", "key"), ["entity_id", "key"], "left_anti").withColumn("value", F.lit(None).cast("string"))
+
+
+def open_runs(wanted: DataFrame, model: str) -> DataFrame:
+    """Rows of the run ledger as they are begun; needs run_id, entity_id, run_type, started_at."""
+    return wanted.select("run_id", "entity_id", "run_type", F.lit("running").alias("status"), F.lit(model).alias("model_used"), "started_at")
+
+
+def close_runs(runs: DataFrame, ends: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
+    """Ledger after the ends (run_id, error_message, tokens_in, tokens_out,
+    completed_at), the last of which counts: failed if there is an error, with
+    tokens and cost either way. Runs without an end are still running."""
+    last = ends.groupBy("run_id").agg(F.max_by(F.struct("error_message", "tokens_in", "tokens_out", "completed_at"), "completed_at").alias("e"))
+    done = F.col("e").isNotNull()
+    cost = rounded(run_cost(F.col("e.tokens_in"), F.col("e.tokens_out"), settings.price_in, settings.price_out), 4)
+    return runs.join(last, "run_id", "left").select(
+        "run_id", "entity_id", "run_type", F.when(done & F.col("e.error_message").isNotNull(), "failed").when(done, "completed").otherwise(F.col("status")).alias("status"),
+        "model_used", "started_at", "e.completed_at", "e.error_message", (F.col("e.tokens_in") + F.col("e.tokens_out")).alias("tokens_used"), cost.alias("cost_estimate"),
+    )

@@ -140,7 +140,7 @@ def missing_contact(spark, sf):
     return query.missing_contact(view(spark, sf, "entities")).select("id", "website", "email", "lead_name")
 
 
-@registered("SELECT id, fit_score FROM entities WHERE fit_score IS NOT NULL", "entities")
+@registered("SELECT id, fit_score FROM entities WHERE fit_score IS NOT NULL ORDER BY fit_score DESC, id", "entities")
 def high_fit(spark, sf):
     return query.high_fit(view(spark, sf, "entities")).select("id", "fit_score")
 
@@ -163,9 +163,9 @@ def entity_detail(spark, sf):
 _ROSTER_HEADER = ["S.No", "Organization Name", "Street Address", "Address 2", "District", "Language"]
 
 
-def _records(spark, sf):
+def _records(spark, sf, keep_empty=False):
     raw = view(spark, sf, "roster").select("row_idx", F.array(F.col("sno").cast("string"), "org_name", "street", "suite", "district", "lang").alias("cells"))
-    return ingest.map_roster(raw, ingest.detect_columns(_ROSTER_HEADER))
+    return ingest.map_roster(raw, ingest.detect_columns(_ROSTER_HEADER), keep_empty)
 
 
 RECORDS_SQL = """
@@ -188,9 +188,9 @@ def import_first_wins(spark, sf):
     return merge.insert_absent(existing, _records(spark, sf), "original_row_id", [F.asc("row_idx")]).select("original_row_id", "name", "row_idx")
 
 
-@registered(RECORDS_SQL + "SELECT n AS imported, (SELECT count(*) FROM rec) - n AS skipped, (SELECT count(*) FROM rec WHERE suspect) AS warnings, (SELECT count(*) FROM rec) AS total FROM (SELECT count(DISTINCT original_row_id) AS n FROM rec WHERE original_row_id NOT IN (SELECT original_row_id FROM entities WHERE active_status = 'Closed'))", "roster", "entities")
+@registered(RECORDS_SQL + "SELECT n AS imported, (SELECT count(*) FROM rec) - n AS skipped, (SELECT count(*) FROM cut WHERE name IS NULL OR regexp_matches(name, '^[0-9]{1,2}:[0-9]{2}(:[0-9]{2})?$') OR regexp_matches(name, '^[0-9]+([.][0-9]+)?$')) AS warnings, (SELECT count(*) FROM roster) AS total FROM (SELECT count(DISTINCT original_row_id) AS n FROM rec WHERE original_row_id NOT IN (SELECT original_row_id FROM entities WHERE active_status = 'Closed'))", "roster", "entities")
 def import_summary(spark, sf):
-    return ingest.import_summary(_records(spark, sf), view(spark, sf, "entities").where("active_status = 'Closed'"))
+    return ingest.import_summary(_records(spark, sf, keep_empty=True), view(spark, sf, "entities").where("active_status = 'Closed'"))
 
 
 @registered(RECORDS_SQL + "SELECT row_idx, coalesce(nullif(substr(trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60), ''), 'entity') AS slug FROM rec", "roster")

@@ -23,6 +23,9 @@ TABLES = {
     "candidates": ["supplier", "part"],
     "profile": ["customer"],
     "outputs": ["conversations"],
+    "builds": ["customer"],
+    "run_starts": ["events"],
+    "run_ends": ["events"],
 }
 
 VIEWS = {
@@ -156,6 +159,28 @@ SELECT c_custkey AS entity_id, c_custkey AS seq,
        CASE c_custkey % 6 WHEN 0 THEN 'Southern Baptist' WHEN 1 THEN 'Unknown' WHEN 2 THEN 'Independent' WHEN 3 THEN NULL ELSE 'Old Order' END AS denomination,
        CASE WHEN c_custkey % 12 = 3 THEN NULL WHEN c_custkey % 12 = 4 THEN 'Acts 29' ELSE ' ' END AS network
 FROM customer""",
+    "builds": """
+SELECT c_custkey AS entity_id, CASE c_custkey % 3 WHEN 0 THEN 'true_match' WHEN 1 THEN 'uncertain' ELSE 'no_match' END AS identity_verdict,
+       CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN '' ELSE 'https://org' || CAST(c_custkey AS STRING) || '.example.org' END AS identity_site,
+       CAST(40 + c_custkey % 61 AS DOUBLE) AS identity_confidence, CASE WHEN c_custkey % 2 = 0 THEN 'search' ELSE 'original' END AS method,
+       CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'https://org' || CAST(c_custkey AS STRING) || '.example.org' END AS official_site, c_custkey % 4 = 0 AS official_crawled,
+       CAST(c_custkey % 101 AS DOUBLE) AS research_confidence,
+       CASE c_custkey % 4 WHEN 0 THEN 'live_official_site' WHEN 1 THEN 'search_snippets' WHEN 2 THEN 'vendor_reference' ELSE 'staff_profile' END AS access_level,
+       CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Network ' || CAST(c_custkey % 6 AS STRING) END AS denomination,
+       CASE WHEN c_custkey % 3 = 1 THEN 'Ann Lee' END AS lead_pastor,
+       CASE WHEN c_custkey % 2 = 0 THEN 'Bob Ray' END AS f_pastor, CASE WHEN c_custkey % 5 <> 0 THEN 'office@org.example.org' END AS f_email, CASE WHEN c_custkey % 8 <> 0 THEN '(330) 555-0100' END AS f_phone,
+       CASE WHEN c_custkey % 9 = 0 THEN CAST(c_custkey % 40 AS STRING) END AS f_staff, CASE WHEN c_custkey % 10 = 0 THEN CAST(c_custkey % 4 + 1 AS STRING) END AS f_campus,
+       CAST(50 + c_custkey % 45 AS DOUBLE) AS f_confidence, CASE WHEN c_custkey % 3 = 0 THEN 'https://a.example.org/staff' WHEN c_custkey % 3 = 1 THEN '' END AS f_url,
+       CASE WHEN c_custkey % 4 <> 1 THEN CAST(60 + c_custkey % 38 AS DOUBLE) END AS e_pastor, CASE WHEN c_custkey % 4 = 2 THEN CAST(70 + c_custkey % 30 AS DOUBLE) END AS e_email,
+       CASE WHEN c_custkey % 2 = 1 THEN CAST(55 + c_custkey % 40 AS DOUBLE) END AS e_denomination,
+       CASE WHEN c_custkey % 8 = 3 THEN NULL ELSE c_custkey * 37 % 6000 END AS attendance, CASE WHEN c_custkey % 13 = 3 THEN NULL ELSE c_custkey * 37 % 6000 - 5 END AS attendance_min, c_custkey * 37 % 6000 + 5 AS attendance_max,
+       CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE CAST(c_custkey % 101 AS DOUBLE) END AS attendance_confidence
+FROM customer""",
+    "run_starts": """
+SELECT event_id AS run_id, user_id AS entity_id, event_type AS run_type, event_id AS started_at FROM events""",
+    "run_ends": """
+SELECT event_id AS run_id, CASE WHEN value < 5 THEN 'no answer' END AS error_message, event_id % 1000 AS tokens_in, event_id % 300 AS tokens_out, event_id + 1 AS completed_at FROM events WHERE event_id % 7 <> 0
+UNION ALL SELECT event_id, CASE WHEN value < 50 THEN 'late answer' END, event_id % 500, 10, event_id + 2 FROM events WHERE event_id % 5 = 0""",
     "outputs": """
 SELECT conv_id * 1000 + turn AS output_id,
        CASE turn % 5 WHEN 0 THEN 'Here it is: ```json' || chr(10) || '{"lifecycle_stage": "' || CASE conv_id % 3 WHEN 0 THEN 'thriving' WHEN 1 THEN 'Plateau' ELSE 'odd' END || '", "staff_count": "' || CAST(conv_id AS STRING) || ' people", "fields": [{"field": "city", "value": "X", "confidence": "high"}]}' || chr(10) || '```'

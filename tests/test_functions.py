@@ -1,3 +1,5 @@
+import json
+import time
 """Rules on values at and around their edges."""
 
 import pytest
@@ -106,7 +108,7 @@ def test_identity(spark):
     assert ask(spark, I.location_status(F.lit("x"), F.lit("in lima today"), F.lit("Lima"), F.lit("OH"))) == "match"
     guesses = ask(spark, I.domain_guesses(F.lit("First Church of Oak Hill"), F.lit("Lima"), F.lit(None).cast("string")))
     assert guesses[0] == "https://www.oakhill.org" and len(guesses) == 20 and len(set(guesses)) == 20
-    assert ask(spark, I.decomposed(F.lit("é"))) == "é"
+    assert ask(spark, I.tokens(F.lit("Iglesia Peña CAFÉ Łódź"))) == ["pen", "cafe", "dz"]
 
 
 def identity(spark, **over):
@@ -161,3 +163,27 @@ def test_coerce_number(spark, raw, want):
 @pytest.mark.parametrize("raw,want", [("growing", "growing"), ("momentum", "growing"), ("re-planted: replant", "relaunch_revitalization"), ("a new church", "plant"), ("flat", "plateaued"), (None, "unknown")])
 def test_stages(spark, raw, want):
     assert ask(spark, jsonfix.coerce_stage(F.lit(raw).cast("string"))) == want
+
+
+@pytest.mark.parametrize("raw,want", [
+    ('{"a":1}', '{"a":1}'), ('```json\n{"a":1}\n```', '{"a":1}'), ('Sure! {"a":1} hope that helps', '{"a":1}'), ('{"a":1}\n{"b":2}', '{"a":1}'), ('{"a":1,"b":', '{"a":1,"b":null}'),
+    ('{"a":1,"b', '{"a":1}'), ('{"a":"hel', '{"a":"hel"}'), ('{"a": NaN}', "{}"), ('[1, Infinity]', "[1]"), ('[-Infinity]', "[]"), ('{"a": tru', "{}"), ('{"a": [1, 2, {"b": "c\\u00', '{"a": [1, 2, {"b": "c"}]}'),
+    ('{"a": "x\\', '{"a": "x"}'), ('{"a": [1, 2', '{"a": [1, 2]}'), ('{"a": 1, "b": foo, "c": 2}', '{"a": 1}'), ("[1, 2,", "[1, 2]"), ("[", "[]"), ("42", "42"), ("nothing", None), ("", None), ('{"a"}', "{}"),
+    ('["}", "]"', '["}", "]"]'), ("[[1], [2]] [3]", "[[1], [2]]"), ('{"a":1,}', '{"a":1}'), ('{"a" : {} , "b":[ ] }x', '{"a" : {} , "b":[ ] }'), ("[01]", "[]"), ('{"a": "line\nbreak', "{}"),
+])
+def test_json_is_completed_or_cut(raw, want):
+    got = jsonfix.loose_json(raw)
+    assert got == want
+    if got is not None:
+        json.loads(got)
+
+
+def test_json_repair_is_linear_and_bounded():
+    begin = time.perf_counter()
+    cut = '{"fields": [' + '{"name": "x", "value": "yyyyyyyyyyyyyyyyyy"}, ' * 5700 + '{"name": '
+    assert len(cut) > 259_000 and len(json.loads(jsonfix.loose_json(cut))["fields"]) == 5701
+    assert jsonfix.loose_json('{"a": "' + "z" * 300_000) is not None
+    assert time.perf_counter() - begin < 1
+    for mark in ("[", '{"a":', "[{"):
+        assert jsonfix.loose_json(mark * 200_000) is None
+    assert json.loads(jsonfix.loose_json("[" * 900)) is not None

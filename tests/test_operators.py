@@ -85,13 +85,66 @@ def test_robots(spark):
 
 def test_staff_cards(spark):
     text = "Home\nDr. Ann Lee\nLead Pastor\nBob Stone — Executive Pastor\nSue Ray\nNext Gen\nDr. Ann Lee\nCreative Director\nThe end.\nJim Fox\nHe has led for many years and loves every one of you."
-    assert staff.cards_of(text) == [("Ann Lee", "Lead Pastor"), ("Bob Stone", "Executive Pastor"), ("Sue Ray", "Next Gen")]
     cards = staff.staff_cards(spark.createDataFrame([(1, text), (2, None)], "page_id int, inner_text string"), "page_id")
     assert [(r.role_field, r.role_confidence) for r in cards.orderBy("card_seq").collect()] == [("lead_pastor", 80), ("executive_pastor", 80), (None, None)]
+    assert [(r.card_seq, r.name, r.title) for r in cards.orderBy("card_seq").collect()] == [(0, "Ann Lee", "Lead Pastor"), (1, "Bob Stone", "Executive Pastor"), (2, "Sue Ray", "Next Gen")]
     (s,) = staff.staff_summary(cards, "page_id").collect()
     assert (s.n_cards, s.n_roles) == (3, 2)
 
 
+def test_staff_cards_of_a_rendered_page(spark):
+    people = [("Jacob Young", "Lead Pastor"), ("Rachel Carpenter", "Operations"), ("Matthew Ellis", "Weekends"), ("Bruce Oberlin", "Community Ambassador"), ("Debbie Ring", "Next Steps")]
+    page = "Home\nAbout\nOur Staff\nGive\n\nMeet Our Team\n\n" + "\r\n\n".join(f"{n}\n{t}" for n, t in people) + "\nPastor Brenda Young\nTeaching Pastor\n\nContact Us\n"
+    lines = "Ann Lee\nBob Stone — Youth Pastor\nBob Stone\nKids\nann lee, Creative Director\nAnn Lee | Creative Director\nJim Fox\nSue Ray\nElder"
+    many = "\n".join(f"Ann{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} Lee\nKids Director" for i in range(3000)) + "\nAnnaaa Lee\nElder"
+    rows = spark.createDataFrame([(1, page), (2, lines), (3, ""), (4, None), (5, many)], "id int, t string").select("id", staff.cards_column(F.col("t")).alias("c")).collect()
+    got = {r.id: [(x.name, x.title) for x in r.c] for r in rows}
+    assert got[1] == [*people, ("Brenda Young", "Teaching Pastor")]
+    # a title's line starts no card, the next line may; the first card of a name counts
+    assert got[2] == [("Ann Lee", "Bob Stone — Youth Pastor"), ("Bob Stone", "Kids"), ("Sue Ray", "Elder")]
+    assert got[3] == got[4] == [] and len(got[5]) == 3000
+
+
+def test_roster_numbers_are_dense_and_headers_are_kept(spark, tmp_path):
+    path = tmp_path / "r.csv"
+    path.write_text("S.No,Organization Name,Notes,Notes\n" + "".join(f"{'' if i % 3 else i},Org {i},a,b\n" for i in range(1, 2001)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    rows, header = ingest.read_roster(spark, str(path))
+    try:
+        assert rows.rdd.getNumPartitions() > 3
+        got = rows.orderBy("row_idx").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert header == ["S.No", "Organization Name", "Notes", "Notes"]
+    assert [r.row_idx for r in got] == list(range(1, 2001)) and got[6].cells[1] == "Org 7"
+    few, _ = ingest.read_roster(spark, str(path), limit=5)
+    records = ingest.map_roster(few, ingest.detect_columns(header))
+    assert [r.original_row_id for r in records.orderBy("row_idx").collect()] == ["row-1", "row-2", "row-3", "row-4", "row-5"]
+    (tmp_path / "empty.csv").write_text("")
+    assert ingest.read_roster(spark, str(tmp_path / "empty.csv"))[1] == []
+
+
+def test_import_summary_counts_empty_rows(spark):
+    raw = spark.createDataFrame([(1, ["1", "Oak", "x"]), (2, ["2", "", None]), (3, ["1", "26:16:00", ""]), (4, ["4", None, "z"])], "row_idx int, cells array<string>")
+    every = ingest.map_roster(raw, {"rowid": 0, "name": 1, "address1": 2}, keep_empty=True)
+    s = ingest.import_summary(every, every.limit(0)).first()
+    # row 2 has no content: it warns and counts, but is neither imported nor skipped
+    assert (s.imported, s.skipped, s.warnings, s.total) == (2, 1, 3, 4)
+
+
+def test_conflicts_keep_the_best_of_each_norm(spark):
+    rows = [(1, "phone", v, n, r, "staff_profile", s) for v, n, r, s in (("a", "1", 0.5, 1), ("b", "2", 0.9, 5), ("c", "2", 0.9, 4), ("d", "3", 0.7, 2), ("e", "1", 0.7, 3))] + [(2, "phone", "x", "1", 0.5, "staff_profile", 1)] * 3
+    (r,) = facts.conflicts(spark.createDataFrame(rows, "entity_id int, key string, value string, norm string, reliability double, access_level string, seq int")).collect()
+    assert (r.entity_id, r.value_a, r.value_b, r.confidence) == (1, "c", "d", 60)
+
+
+def test_runs_open_close_and_fail(spark):
+    starts = spark.createDataFrame([(1, 7, "verify", 10), (2, 7, "enrich", 11), (3, 8, "verify", 12)], "run_id int, entity_id int, run_type string, started_at int")
+    ends = spark.createDataFrame([(1, None, 1000, 100, 20), (1, "late", 10, 10, 19), (2, "no answer", 2_000_000, 0, 30)], "run_id int, error_message string, tokens_in long, tokens_out long, completed_at int")
+    got = {r.run_id: (r.status, r.tokens_used, r.cost_estimate, r.error_message) for r in report.close_runs(report.open_runs(starts, "m"), ends).collect()}
+    assert got == {1: ("completed", 1100, 0.0045, None), 2: ("failed", 2_000_000, 6.0, "no answer"), 3: ("running", None, None, None)}
+
+
 def test_meta_search_stops_at_enough_hosts(spark):
     rows = [(1, 0, i, f"https://h{i}.org/") for i in range(4)] + [(1, 1, 9, "https://h0.org/"), (1, 1, 10, "https://h9.org/")] + [(1, 2, 11, "https://late.org/"), (1, 0, 5, "ftp://x")]
     got = search.meta_search(spark.createDataFrame(rows, "query_id int, provider_rank int, pos int, url string")).collect()
