@@ -36,19 +36,31 @@ def norm(v: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(v, F.lit(""))), r"[^a-z0-9]+", " "))
 
 
-def values_equal(kind: Column, tol: Column, a: Column, b: Column) -> Column:
-    x, y, p, q = to_number(a), to_number(b), norm(a), norm(b)
+def parsed(kind: Column, v: Column) -> Column:
+    """A value as its kind is compared: number, flag, and normal form."""
+    return F.struct(F.when(kind == "number", to_number(v)).alias("number"), F.when(kind == "bool", to_bool(v)).alias("flag"), norm(v).alias("norm"), is_empty(v).alias("empty"))
+
+
+def _equal(kind: Column, tol: Column, a: Column, b: Column) -> Column:
+    x, y, p, q = a["number"], b["number"], a["norm"], b["norm"]
     near = F.abs(x - y) <= F.greatest(F.abs(y), F.lit(1.0)) * F.coalesce(tol, F.lit(0.2))
     part = (F.length(p) > 2) & (F.length(q) > 2) & (p.contains(q) | q.contains(p))
-    same = F.when(kind == "number", near).when(kind == "bool", to_bool(a) == to_bool(b)).when(kind == "enum", (p == q) & (p != "")).otherwise((p != "") & (q != "") & ((p == q) | part))
+    same = F.when(kind == "number", near).when(kind == "bool", a["flag"] == b["flag"]).when(kind == "enum", (p == q) & (p != "")).otherwise((p != "") & (q != "") & ((p == q) | part))
     return F.coalesce(same, F.lit(False))
 
 
-def distance(kind: Column, tol: Column, v: Column, truth: Column) -> Column:
-    x, y = to_number(v), to_number(truth)
+def _distance(kind: Column, tol: Column, a: Column, truth: Column) -> Column:
     far = F.lit(float("inf"))
-    relative = F.coalesce(F.abs(x - y) / F.greatest(F.abs(y), F.lit(1.0)), far)
-    return F.when(is_empty(v), far).when(kind == "number", relative).when(values_equal(kind, tol, v, truth), 0.0).otherwise(1.0)
+    relative = F.coalesce(F.abs(a["number"] - truth["number"]) / F.greatest(F.abs(truth["number"]), F.lit(1.0)), far)
+    return F.when(a["empty"], far).when(kind == "number", relative).when(_equal(kind, tol, a, truth), 0.0).otherwise(1.0)
+
+
+def values_equal(kind: Column, tol: Column, a: Column, b: Column) -> Column:
+    return _equal(kind, tol, parsed(kind, a), parsed(kind, b))
+
+
+def distance(kind: Column, tol: Column, v: Column, truth: Column) -> Column:
+    return _distance(kind, tol, parsed(kind, v), parsed(kind, truth))
 
 
 def is_empty(v: Column) -> Column:
@@ -68,16 +80,18 @@ def compare(cells: DataFrame, entities: DataFrame) -> DataFrame:
         *(F.max(F.when(F.col("source") == s, F.col(c))).alias(f"{s}_{c}") for s in ("tool", "baseline", "truth") for c in ("value", "confidence"))
     )
     kind, tol = F.col("type"), F.col("tol")
-    tool, base, truth = (F.col(f"{s}_value") for s in ("tool", "baseline", "truth"))
-    conf, base_conf = F.col("tool_confidence"), F.col("baseline_confidence")
-    right = values_equal(kind, tol, tool, truth)
-    status = F.when(is_empty(truth), "unverified").when(is_empty(tool), "missing").when(right, "correct").otherwise("wrong")
-    d, e = distance(kind, tol, tool, truth), distance(kind, tol, base, truth)
+    names = ("tool", "baseline", "truth")
+    # in steps, so that every value is parsed once and every pair compared once
+    read = grid.join(wide, ["entity_id", "key"], "left").withColumns({f"{s}_read": parsed(kind, F.col(f"{s}_value")) for s in names})
+    tool, base, truth = (F.col(f"{s}_read") for s in names)
+    held = read.withColumns({"right": _equal(kind, tol, tool, truth), "d": _distance(kind, tol, tool, truth), "e": _distance(kind, tol, base, truth)})
+    conf, base_conf, d, e = (F.col(c) for c in ("tool_confidence", "baseline_confidence", "d", "e"))
+    status = F.when(truth["empty"], "unverified").when(tool["empty"], "missing").when(F.col("right"), "correct").otherwise("wrong")
     closer = F.when(status == "unverified", "na").when(d < e, "tool").when(e < d, "baseline").when(d < float("inf"), "tie").otherwise("na")
     sure = F.coalesce(conf, F.lit(0.0))
     graded = ~F.col("meta")
     fact = lambda c: F.coalesce(c, F.lit(False))
-    return grid.join(wide, ["entity_id", "key"], "left").select(
+    return held.select(
         "entity_id", "field_no", "key", "meta", "cap", "tool_value", "baseline_value", "truth_value", "tool_confidence", "baseline_confidence",
         status.alias("status"),
         ((status == "wrong") & (sure >= 60)).alias("overconfident"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.config import SETTINGS, Settings
 from factloom.functions import urls as U
 from factloom.operators.ranking import first_per
+from factloom.sources.staging import staged
 
 
 def meta_search(results: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
@@ -78,6 +79,10 @@ def contamination(candidates: DataFrame) -> DataFrame:
     return first_per(other, ["entity_id", "url"], [F.asc("seq")])
 
 
+#: Shingles of phrases (8 bytes each) that are broadcast; more are joined by a shuffle.
+MOST_ANCHORS = 1_000_000
+
+
 def phrase_hits(documents: DataFrame, phrases: DataFrame, words: int = 5) -> DataFrame:
     """Documents that contain a phrase as a whole: doc_id, item_id, both as given.
 
@@ -87,22 +92,28 @@ def phrase_hits(documents: DataFrame, phrases: DataFrame, words: int = 5) -> Dat
     (doc_id, text) and (item_id, text).
     """
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
-    shingles = lambda ws, n: F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " ")))
-    items = phrases.select("item_id", norm(F.col("text")).alias("phrase")).where("phrase <> ''").withColumn("ws", F.split("phrase", " "))
+    hashes = lambda c: F.transform(F.split(c, " "), lambda w: F.xxhash64(w))
+    # a shingle is the hash of its words' hashes: numbers only, and what meets by chance fails the comparison
+    shingles = lambda ws, n: F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.xxhash64(F.slice(ws, i, n)))
+    items = phrases.select("item_id", norm(F.col("text")).alias("phrase")).where("phrase <> ''").withColumn("ws", hashes(F.col("phrase")))
     items = items.withColumn("n", F.least(F.size("ws"), F.lit(words)))
-    docs = documents.select("doc_id", norm(F.col("text")).alias("body")).withColumn("ws", F.split("body", " "))
-    anchors = items.select("item_id", "phrase", "n", F.explode(F.expr("transform(sequence(1, size(ws) - n + 1), i -> array_join(slice(ws, i, n), ' '))")).alias("anchor"))
-    # only shingles that occur in phrases are counted
-    sizes = [r["n"] for r in items.select("n").distinct().collect()]
-    grams = None
-    for n in sizes:
-        part = docs.select("doc_id", F.explode(F.array_distinct(shingles(F.col("ws"), n))).alias("anchor"))
-        grams = part if grams is None else grams.union(part)
-    if grams is None:
+    docs = documents.select("doc_id", norm(F.col("text")).alias("body")).withColumn("ws", hashes(F.col("body")))
+    anchors = items.select("item_id", "phrase", "n", F.explode(shingles(F.col("ws"), F.col("n"))).alias("anchor"))
+    named = anchors.select("anchor", "n").distinct()
+    # the phrases are the query set: their shingles are counted before they are broadcast
+    sizes = {r["n"]: r["count"] for r in named.groupBy("n").count().collect()}
+    if not sizes:
         return documents.select("doc_id").join(phrases.select("item_id"), F.lit(False))
-    met = grams.join(anchors.select("anchor").distinct(), "anchor", "left_semi")
+    few = sum(sizes.values()) <= MOST_ANCHORS
+    met = None
+    for n in sorted(sizes):
+        grams = docs.where(F.size("ws") >= n).select("doc_id", F.explode(F.array_distinct(shingles(F.col("ws"), F.lit(n)))).alias("anchor"))
+        wanted = named.where(F.col("n") == n).select("anchor")
+        part = grams.join(F.broadcast(wanted) if few else wanted, "anchor", "left_semi")
+        met = part if met is None else met.unionByName(part)
+    met = staged(met, "met")
     counts = met.groupBy("anchor").agg(F.count(F.lit(1)).alias("seen"))
     rarest = first_per(anchors.join(counts, "anchor"), ["item_id"], [F.asc("seen"), F.asc("anchor")])
-    pairs = met.join(rarest, "anchor").select("doc_id", "item_id", "phrase").distinct()
+    pairs = staged(met.join(rarest, "anchor").select("doc_id", "item_id", "phrase").distinct(), "pairs")
     whole = F.concat(F.lit(" "), F.col("body"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
     return pairs.join(docs.select("doc_id", "body"), "doc_id").where(whole).select("doc_id", "item_id")
