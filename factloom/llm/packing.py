@@ -28,8 +28,9 @@ from factloom.llm.common import materialize, text_parts
 
 WINDOW = 2048
 END_ID = 1
-#: Pieces of one length that are numbered in one task; more are dealt into parts.
-PART = 500_000
+#: Pieces of one length that are numbered in one task at most; more are dealt into
+#: parts, and fewer too, as long as FEW_PARTS parts of FEW_PIECES do.
+PART, FEW_PARTS, FEW_PIECES = 500_000, 64, 256
 #: Parts (24 bytes each) whose first ordinals are broadcast; more are joined by a shuffle.
 MOST_FIRSTS = 1_000_000
 #: UTF-8 bytes tokenized at once.
@@ -283,10 +284,10 @@ def pack_documents(
     plan = spark.createDataFrame(runs, "length long, first_ordinal long, end_ordinal long, first_window long, offset long")
 
     # ``window`` rows at most; long texts make nearly all pieces full windows, so their parts follow the count
-    parts = spark.createDataFrame([(length, -(-n // part)) for length, n in histogram.items()], "length long, parts long")
+    parts = spark.createDataFrame([(length, max(-(-n // part), min(n // FEW_PIECES, FEW_PARTS))) for length, n in histogram.items()], "length long, parts long")
     dealt = pieces.join(F.broadcast(parts), "length").withColumn("spread", F.pmod("row", "parts")).drop("row", "parts")
     counts = dealt.groupBy("length", "spread").agg(F.count(F.lit(1)).alias("n"))
-    # a row for each part: ``window`` and a row for each ``part`` pieces at most
+    # a row for each part: FEW_PARTS for each length and one for each ``part`` pieces at most
     before = Window.partitionBy("length").orderBy("spread").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "spread", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     within = Window.partitionBy("length", "spread").orderBy("doc_id", "start", "ids_crc32")
