@@ -31,7 +31,7 @@ from factloom.llm.common import materialize
 WORDS, GRAM = 13, 5
 SPAN = WORDS - GRAM + 1
 #: Benchmark text that one broadcast index is made from; text hashed at once.
-BLOCK_BYTES, SLICE_BYTES = 8_000_000, 4_000_000
+BLOCK_BYTES, SLICE_BYTES = 8_000_000, 2_000_000
 FILTER_BITS = 20
 #: Stands for a null id: its windows are hits, but it is no item.
 NO_ID = -(1 << 63)

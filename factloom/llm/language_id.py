@@ -35,7 +35,7 @@ BLOCK = 256
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_SYMBOLS = 64, 4096, 40_000
 ALL_DOCS, ALL_SYMBOLS = 16_384, 4_000_000
 #: UTF-8 bytes parsed at once.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 UNKNOWN = "und"
 BOUNDARY, OTHER = 0, 1
 #: Places that are tried at once for a state's transitions.
@@ -156,7 +156,8 @@ class Model:
 
     def _codes(self) -> np.ndarray:
         if not hasattr(self, "of_code"):
-            self.of_code = np.where(_letters(), OTHER, BOUNDARY).astype(np.int32)
+            small = np.int16 if len(self.alphabet) < 1 << 14 else np.int32
+            self.of_code = np.where(_letters(), OTHER, BOUNDARY).astype(small)
             self.of_code[[ord(c) for c in self.alphabet]] = np.arange(len(self.alphabet)) + 2
         return self.of_code
 
@@ -185,7 +186,7 @@ class Model:
         place = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
         filled = np.minimum(sizes[owner] - BLOCK * place, BLOCK)
         order = np.argsort(-filled, kind="stable")
-        grid = np.zeros((len(owner), BLOCK), np.int32)
+        grid = np.zeros((len(owner), BLOCK), self._codes().dtype)
         grid[np.arange(BLOCK) < filled[:, None]] = np.concatenate(rows)
         steps = np.ascontiguousarray(grid[order].T)
         lanes = np.searchsorted(-filled[order], -np.arange(BLOCK), "left")

@@ -16,6 +16,7 @@ import json
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -34,7 +35,7 @@ PART, FEW_PARTS, FEW_PIECES = 500_000, 64, 256
 #: Parts (24 bytes each) whose first ordinals are broadcast; more are joined by a shuffle.
 MOST_FIRSTS = 1_000_000
 #: UTF-8 bytes tokenized at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 #: The characters that the vocabulary's splitting rule takes as white space.
 _SPACES = "[\\t-\\r \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
@@ -160,11 +161,17 @@ class WordTokenizer:
         return docs
 
 
+@lru_cache(1)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each process, whatever the number of tasks."""
+    return WordTokenizer(path)
+
+
 def _cutter(path: str, window: int, end_id: int, with_ids: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
         for batch in batches:
-            encode = encode or WordTokenizer(path)
+            encode = encode or word_tokenizer(path)
             for part in text_parts(batch, batch.schema.names[1], SLICE_BYTES):
                 rows = []
                 for doc_id, found in zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True):

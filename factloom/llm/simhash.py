@@ -33,7 +33,7 @@ TARGET, GROUP, FAN = 4096, 20_000, 8
 #: Dropped rows (16 bytes each) whose keys are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 #: Pairs of query and node that are held at once; UTF-8 bytes hashed at once.
-FRONTIER, SLICE_BYTES = 250_000, 8_000_000
+FRONTIER, SLICE_BYTES = 250_000, 2_000_000
 ALL_BITS = (1 << 64) - 1
 
 

@@ -71,3 +71,28 @@ def test_odd_rows(spark, monkeypatch):
     blank = df.limit(0)
     assert lid.identify_languages(blank).collect() == []
     assert {r.lang_pred for r in lid.identify_languages(df.withColumn("lang", __import__("pyspark").sql.functions.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def test_scripts_of_many_letters_are_told_apart(spark):
+    """Two languages of 400 letters each, beside one of few: no letter is lost."""
+    rng = random.Random(6)
+    signs = [chr(0x4E00 + i) for i in range(1200)]
+    scripts = {"aa": signs[:400], "bb": signs[400:800], "cc": list("abcdefgh")}
+    line = lambda s, n: "".join(rng.choice(s) + " " * (rng.random() < 0.3) for _ in range(n))
+    model = lid.Model({k: [line(s, 3000)] for k, s in scripts.items()})
+    assert len(model.alphabet) > 790
+    for k, s in scripts.items():
+        assert {lang for lang, _ in model.predict([line(s, 40) for _ in range(20)])} == {k}
+    # letters that no labelled text has are one symbol and tell nothing apart
+    sizes, counts = model.phrases([line(signs[800:], 50)])
+    assert sizes[0] > 0 and len(set(counts[0])) == 1
+    data = [(i, line(scripts["aabbcc"[2 * (i % 3) : 2 * (i % 3) + 2]], 60), "aabbcc"[2 * (i % 3) : 2 * (i % 3) + 2]) for i in range(120)]
+    rows = lid.identify_languages(spark.createDataFrame(data, "doc_id long, text string, lang string")).collect()
+    assert all(r.lang_pred == data[r.doc_id][2] for r in rows) and any(r.held_out for r in rows)
+
+
+def test_very_many_languages():
+    rng = random.Random(2)
+    samples = {f"l{i:03d}": ["".join(rng.choice("abcdefghij"[i % 7 : i % 7 + 3]) for _ in range(60))] for i in range(300)}
+    model = lid.Model(samples)
+    assert len(model.languages) == 300 and model.predict([samples["l004"][0]])[0][0] in samples
