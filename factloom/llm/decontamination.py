@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialize
+from factloom.llm.common import gives_back, materialize
 
 WORDS, GRAM = 13, 5
 SPAN = WORDS - GRAM + 1
@@ -246,6 +246,7 @@ def text_slices(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, np
 def _report(index, id_name: str, text_name: str):
     spans = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(id_name))
@@ -358,6 +359,7 @@ def contamination_digest(documents: DataFrame, benchmark: DataFrame, **options)
 
 
 def _filter(index, text_name: str):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start, stop, data, ends in text_slices(batch, text_name):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import text_parts
+from factloom.llm.common import gives_back, text_parts
 
 BLOCK = 256
 #: Bounds of the labelled sample: documents of each language, characters of each
@@ -243,6 +243,7 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def _predictor(model, text_name: str, keep_columns: bool):
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_parts(batch, text_name, SLICE_BYTES):

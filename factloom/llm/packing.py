@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialize, text_parts
+from factloom.llm.common import gives_back, materialize, text_parts
 
 WINDOW = 2048
 END_ID = 1
@@ -168,6 +168,7 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 
 def _cutter(path: str, window: int, end_id: int, with_ids: bool):
+    @gives_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
         for batch in batches:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fresh, join_counted, materialize
+from factloom.llm.common import fresh, gives_back, join_counted, materialize
 from factloom.llm.components import connected_components, local_roots
 
 SHINGLE, LIMIT, SEED = 3, 2, 42
@@ -73,6 +73,7 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+@gives_back
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(2).cast(pa.large_binary()).fill_null(b"")
@@ -148,6 +149,7 @@ def near_pairs(codes: np.ndarray, groups: np.ndarray, limit: int = LIMIT, fan: i
     return order[np.concatenate(lefts)], order[np.concatenate(rights)]
 
 
+@gives_back
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of whole groups; rows come sorted by group. Of the pairs in a task a
     spanning forest is kept, so that a dense group gives no more rows than it has."""
