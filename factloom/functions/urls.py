@@ -34,6 +34,29 @@ def origin_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1))
 
 
+def raw_path(url: Column) -> Column:
+    """Path as it is written, '' where the URL has a host only."""
+    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^?#]*)", 1)
+
+
+def link_target(base: Column, href: Column) -> Column:
+    """Target of a link on the page ``base``, without its fragment, the origin in small
+    letters. Leading ./ are dropped; other dot segments stay."""
+    stem, origin = F.regexp_replace(base, r"[?#].*$", ""), origin_of(base)
+    h = F.regexp_replace(F.regexp_replace(href, r"#.*$", ""), r"^(\./)+", "")
+    made = (
+        F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+        .when(F.startswith(h, F.lit("//")), F.concat(F.regexp_extract(base, r"^([A-Za-z]+:)", 1), h))
+        .when(F.startswith(h, F.lit("/")), F.concat(origin, h))
+        .when(h == "", F.regexp_replace(base, r"#.*$", ""))
+        .when(F.startswith(h, F.lit("?")), F.concat(stem, h))
+        .when(stem.rlike(r"^[^/]+//[^/]+/"), F.concat(F.regexp_extract(stem, r"^(.*/)", 1), h))
+        .otherwise(F.concat(origin, F.lit("/"), h))
+    )
+    rest = F.regexp_replace(made, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+", "")
+    return F.when(origin_of(made) == "", made).otherwise(F.concat(origin_of(made), F.when(rest == "", "/").otherwise(rest)))
+
+
 def is_directory(url: Column) -> Column:
     """Listing and profile hosts; a URL without a host counts as one."""
     host, hit = host_of(url), F.lit(False)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import records  # noqa: F401  (registers its queries)
+from factloom.plans import crawl, records  # noqa: F401  (they register their queries)
 from factloom.plans.catalogue import QUERIES, SQL
 
 
