@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _own_dirs: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
@@ -136,6 +137,21 @@ def gives_back(run: Callable) -> Callable:
     return frugal
 
 
+#: Bytes of a batch of rows that Spark hands to Python; its own default and the setting's name.
+BATCH_BYTES, SPARK_BATCH_BYTES, BATCH_SETTING = 1 << 20, "67108864b", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_texts(rows: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``rows.mapInArrow`` in batches of about BATCH_BYTES, one row at least, however
+    many rows that is: with Spark's default both sides of a worker hold up to 64 MB a
+    batch, and copies of it. The bound is the session's from then on, unless the
+    session had named one itself."""
+    conf = rows.sparkSession.conf
+    if conf.get(BATCH_SETTING) == SPARK_BATCH_BYTES:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def text_parts(batch: pa.RecordBatch, text_name: str, most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most_bytes`` of text each, one row at least."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text_name))), 0))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import gives_back, text_parts
+from factloom.llm.common import gives_back, map_texts, text_parts
 
 BLOCK = 256
 #: Bounds of the labelled sample: documents of each language, characters of each
@@ -271,7 +271,7 @@ def identify_languages(documents: DataFrame, model: Model | None = None, id_col:
     model = model or fit(documents, id_col, text_col, lang_col)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), (id_remainder(F.col(id_col), 3) == 1).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_predictor(shared, "text", False), "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_texts(rows, _predictor(shared, "text", False), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def drop_unknown_language(documents: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -284,4 +284,4 @@ def drop_unknown_language(documents: DataFrame, model: Model | None = None, id_c
     """
     model = model or fit(documents, id_col, text_col, lang_col)
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    return documents.mapInArrow(_predictor(shared, text_col, True), documents.schema)
+    return map_texts(documents, _predictor(shared, text_col, True), documents.schema)

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import gives_back, materialize, text_parts
+from factloom.llm.common import gives_back, map_texts, materialize, text_parts
 
 WINDOW = 2048
 END_ID = 1
@@ -284,7 +284,7 @@ def pack_documents(
     """
     spark = df.sparkSession
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
-    cut = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_cutter(tokenizer_path, window, end_id, with_ids), schema)
+    cut = map_texts(df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), _cutter(tokenizer_path, window, end_id, with_ids), schema)
     pieces = materialize(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
 
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fresh, gives_back, join_counted, materialize
+from factloom.llm.common import fresh, gives_back, join_counted, map_texts, materialize
 from factloom.llm.components import connected_components, local_roots
 
 SHINGLE, LIMIT, SEED = 3, 2, 42
@@ -90,7 +90,7 @@ def document_fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col
     """doc_id, text_hash and the signed 64-bit fingerprint of every row."""
     text = F.col(text_col).cast("string")
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "doc_id long, text_hash long, fingerprint long")
+    return map_texts(rows, _fingerprint_batches, "doc_id long, text_hash long, fingerprint long")
 
 
 def gray_rank(code: np.ndarray) -> np.ndarray:
