@@ -10,6 +10,7 @@ from factloom.llm.embedding_dedup import near_duplicate_embeddings
 from factloom.llm.language_id import identify_languages
 from factloom.llm.packing import pack_documents
 from factloom.llm.pii import pseudonymize, session_key
+from factloom.llm.quality_rules import quality_digest
 from factloom.llm.secrets import find_secrets
 from factloom.llm.sharding import assign_shards
 from factloom.llm.simhash import near_duplicates
@@ -58,6 +59,10 @@ def op10_pii(spark, sf_dir):
     return pseudonymize(table(spark, sf_dir, "documents"), session_key(spark))
 
 
+def op11_quality_rules(spark, sf_dir):
+    return quality_digest(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_secrets": op1_secrets,
@@ -70,6 +75,7 @@ def queries():
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_packing": op9_packing,
         "op10_pii": op10_pii,
+        "op11_quality_rules": op11_quality_rules,
     }
 
 
@@ -127,9 +133,46 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
 FROM found LEFT JOIN counted USING (vec_id)
 """
 
+OP11_SQL = r"""
+WITH words AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), pieces AS (
+    SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM words)
+), duplicate_lines AS (
+    SELECT r, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) - count(DISTINCT line) AS BIGINT) AS n_dup_lines FROM pieces WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), windows AS (
+    SELECT r, i, array_to_string(w[i:i + 7], ' ') AS span FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM words WHERE len(w) >= 8)
+), again AS (
+    SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, span) AS n FROM windows) WHERE n > 1
+), repeated AS (
+    SELECT r, CAST(count(DISTINCT p) AS BIGINT) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM again) GROUP BY r
+), per_word AS (
+    SELECT r, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS before FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM words)
+), by_word AS (
+    SELECT r, CAST(sum(length(word)) AS BIGINT) AS word_chars, CAST(count(*) FILTER (WHERE regexp_matches(word, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')) AS BIGINT) AS n_letter_words,
+           CAST(count(*) FILTER (WHERE word = before) AS BIGINT) AS n_echo_words
+    FROM per_word GROUP BY r
+), measured AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(word_chars, 0) AS word_chars, CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+           coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+           coalesce(n_letter_words, 0) AS n_letter_words, coalesce(n_echo_words, 0) AS n_echo_words
+    FROM words LEFT JOIN duplicate_lines USING (r) LEFT JOIN repeated USING (r) LEFT JOIN by_word USING (r)
+), judged AS (
+    SELECT *, CAST(
+        CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END + CASE WHEN 100 * n_symbols > 15 * n_words THEN 4 ELSE 0 END
+        + CASE WHEN n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END
+        + CASE WHEN 100 * n_letter_words < 60 * n_words THEN 64 ELSE 0 END + CASE WHEN 100 * n_echo_words > 25 * n_words THEN 128 ELSE 0 END AS BIGINT) AS failures
+    FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       failures = 0 AS kept, failures, '3' AS policy
+FROM judged
+"""
+
 
 def oracle_sql():
     return {
+        "op11_quality_rules": OP11_SQL,
         "op5_warc": OP5_SQL,
         "op7_decontamination": OP7_SQL,
         "op8_embedding_dedup": OP8_SQL,
