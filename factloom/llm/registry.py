@@ -7,6 +7,7 @@ import public_tokenizers
 from factloom.llm.common import table
 from factloom.llm.decontamination import contamination_digest
 from factloom.llm.embedding_dedup import near_duplicate_embeddings
+from factloom.llm.hard_negatives import embedding_hard_negatives
 from factloom.llm.language_id import identify_languages
 from factloom.llm.packing import pack_documents
 from factloom.llm.pii import pseudonymize, session_key
@@ -14,6 +15,7 @@ from factloom.llm.quality_rules import quality_digest
 from factloom.llm.secrets import find_secrets
 from factloom.llm.sharding import assign_shards
 from factloom.llm.simhash import near_duplicates
+from factloom.llm.source_divergence import source_divergence
 from factloom.llm.toxicity import score_toxicity
 from factloom.llm.warc import archive_round_trip
 
@@ -63,6 +65,14 @@ def op11_quality_rules(spark, sf_dir):
     return quality_digest(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark, sf_dir):
+    return embedding_hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark, sf_dir):
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_secrets": op1_secrets,
@@ -76,6 +86,8 @@ def queries():
         "op9_packing": op9_packing,
         "op10_pii": op10_pii,
         "op11_quality_rules": op11_quality_rules,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_source_divergence": op13_source_divergence,
     }
 
 
@@ -169,10 +181,65 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 FROM judged
 """
 
+OP12_SQL = """
+WITH usable AS (
+    SELECT row_number() OVER () AS r, vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 256)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), anchors AS (
+    SELECT * FROM usable WHERE vec_id % 100 = 0
+), scored AS (
+    SELECT a.r AS anchor, a.vec_id AS anchor_id, b.vec_id AS other, b.r AS o, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+    FROM anchors a JOIN usable b ON a.r <> b.r
+), positives AS (
+    SELECT anchor, anchor_id, o, other AS positive_id, score AS positive_score
+    FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other NULLS LAST, o) AS n FROM scored WHERE same) WHERE n <= 5
+), windows AS (
+    SELECT p.anchor_id, p.positive_id, p.positive_score, s.other AS negative_id, s.score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor, p.o ORDER BY s.score DESC, s.other NULLS LAST, s.o) AS n
+    FROM positives p JOIN scored s ON s.anchor = p.anchor WHERE NOT s.same AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+)
+SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM windows WHERE n <= 5
+"""
+
+OP13_SQL = r"""
+WITH given AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents
+), used AS (
+    SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS term FROM given) GROUP BY ALL
+), kept AS (
+    SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM used GROUP BY ALL HAVING count(*) >= 30
+), by_source AS (
+    SELECT lang, source, term, CAST(sum(u.n) AS BIGINT) AS n FROM used u JOIN kept USING (lang, term) GROUP BY ALL
+), sizes AS (
+    SELECT lang, CAST(sum(n) AS BIGINT) AS n, count(*) AS v FROM kept GROUP BY ALL
+), source_sizes AS (
+    SELECT lang, source, CAST(sum(n) AS BIGINT) AS n FROM by_source GROUP BY ALL
+), groups AS (
+    SELECT g.lang, g.source, coalesce(s.n, 0) AS n FROM (SELECT DISTINCT lang, source FROM given) g LEFT JOIN source_sizes s USING (lang, source)
+), shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(b.n, 0) AS n, 1 + (1000000000 * (coalesce(b.n, 0) + 5)) // (g.n + 5 * z.v) AS p, 1 + (1000000000 * (k.n + 5)) // (z.n + 5 * z.v) AS q
+    FROM groups g JOIN kept k USING (lang) JOIN sizes z USING (lang) LEFT JOIN by_source b ON b.lang = g.lang AND b.source = g.source AND b.term = k.term
+), distances AS (
+    SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), told AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN distances d ON d.lang = a.lang AND d.source = a.source AND d.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM told
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
 
 def oracle_sql():
     return {
         "op11_quality_rules": OP11_SQL,
+        "op12_hard_negatives": OP12_SQL,
+        "op13_source_divergence": OP13_SQL,
         "op5_warc": OP5_SQL,
         "op7_decontamination": OP7_SQL,
         "op8_embedding_dedup": OP8_SQL,
