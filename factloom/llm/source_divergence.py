@@ -1,9 +1,9 @@
 """Source divergence audit: how differently the sources of a language use its terms.
 
-Every partition counts its terms in radix tries of bytes, one a language, whose leaves
-hold a counter for each source. A trie is handed on as its traversal, which is sorted
-by UTF-8: so tries are merged by dealing the leaves out by ranges of prefixes and
-adding up equal ones, and no task ever holds more than its range. The merged leaves
+Every partition counts its terms in a radix trie of bytes whose leaves hold a counter
+for each source. A trie is kept and handed on as its traversal, which is sorted by
+UTF-8: so tries are merged by dealing the leaves out by ranges of prefixes and adding
+up equal ones, and no task ever holds more than its range. The merged leaves
 are traversed once more: each gives its part of the sums for pairs of sources and its
 candidates for the terms that a source has more of than its language.
 """
@@ -11,12 +11,12 @@ candidates for the terms that a source has more of than its language.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +24,8 @@ from factloom.llm.common import gives_back, map_texts, materialize, text_parts
 
 #: Documents of a language that a kept term is in, terms reported for a group, and the smoothing.
 LEAST_DOCS, TOP_TERMS, SMOOTH, SCALE = 30, 50, 5, 1_000_000_000
-#: UTF-8 bytes read at once, and split into words at once; counts and leaves that a task holds.
-SLICE_BYTES, CHUNK, MOST_COUNTS, MOST_LEAVES = 1_000_000, 1 << 20, 150_000, 150_000
+#: UTF-8 bytes read at once, those of a piece of a long text, and leaves that a task hands on together.
+SLICE_BYTES, CHUNK, MOST_LEAVES = 4_000_000, 1 << 22, 1_000_000
 ROWS = 1 << 15
 #: Sums for pairs that a task holds, and probabilities that it computes at once.
 MOST_CELLS, CELLS = 1 << 22, 1 << 20
@@ -33,127 +33,102 @@ MOST_CELLS, CELLS = 1 << 22, 1 << 20
 EXACT = 9 * 10**15
 
 #: A-Z become small, other letters stay, all else parts terms.
-_TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_TERM_BYTES = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
 
 
 class Trie:
-    """A radix trie of byte strings; each leaf has counters [documents, occurrences] by source."""
-
-    def __init__(self) -> None:
-        self.root: list = [{}, None]  # edges by first byte as [label, node]; counters
-        self.leaves = 0
-
-    def add(self, term: bytes, source: str, docs: int, n: int) -> None:
-        node, at = self.root, 0
-        while at < len(term):
-            edge = node[0].get(term[at])
-            if edge is None:
-                node[0][term[at]] = edge = [term[at:], [{}, None]]
-            label = edge[0]
-            if not term.startswith(label, at):
-                same = 1
-                while at + same < len(term) and label[same] == term[at + same]:
-                    same += 1
-                edge[0], edge[1] = label[:same], [{label[same]: [label[same:], edge[1]]}, None]
-                at += same
-            else:
-                at += len(label)
-            node = edge[1]
-        if node[1] is None:
-            node[1] = {}
-        counter = node[1].get(source)
-        if counter is None:
-            node[1][source] = [docs, n]
-            self.leaves += 1
-        else:
-            counter[0] += docs
-            counter[1] += n
-
-    def traverse(self) -> Iterator[tuple[bytes, dict[str, list[int]]]]:
-        """Terms in the order of their bytes, with their counters."""
-        stack = [(b"", self.root)]
-        while stack:
-            term, (edges, counters) = stack.pop()
-            if counters:
-                yield term, counters
-            stack.extend((term + edges[b][0], edges[b][1]) for b in sorted(edges, reverse=True))
-
-
-def _pieces(text: bytes) -> Iterator[bytes]:
-    start = 0
-    while start < len(text):
-        end = text.find(b" ", start + CHUNK) if len(text) - start > CHUNK else -1
-        end = len(text) if end < 0 else end
-        yield text[start:end]
-        start = end
+    """A radix trie of terms whose leaves have counters (documents, occurrences) by source.
 
+    It is kept as its traversal: the leaves of all languages in the order of language
+    and UTF-8, in columns. A node is the run of leaves that share a prefix, its
+    branches are the runs within, so tries merge by adding up equal leaves, and any
+    range of prefixes can be cut out of one.
+    """
 
-class Counts:
-    """Terms of a task's documents: by language and source first, then in the tries."""
-
-    def __init__(self) -> None:
-        self.pending: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        self.tries: dict[str, Trie] = {}
-        self.unsized = 0
-
-    def add(self, lang: str, source: str, text: bytes) -> None:
-        n, docs = self.pending.setdefault((lang, source), (Counter(), Counter()))
-        terms: set[bytes] = {b""}  # for the group itself; no term is empty
-        for piece in _pieces(text.translate(_TERM_BYTES)):
-            words = piece.split()
-            n.update(words)
-            terms.update(words)
-        docs.update(terms)
-        self.unsized += len(terms)
-
-    def full(self) -> bool:
-        if self.unsized < MOST_COUNTS:
-            return False
-        self.unsized = sum(len(docs) for _, docs in self.pending.values())
-        return self.unsized >= MOST_COUNTS
-
-    def store(self) -> bool:
-        """Put the counts into the tries; whether these should be handed on now."""
-        for (lang, source), (n, docs) in self.pending.items():
-            trie = self.tries.setdefault(lang, Trie())
-            for term, k in docs.items():
-                trie.add(term, source, k, n[term])
-        self.pending, self.unsized = {}, 0
-        return sum(t.leaves for t in self.tries.values()) >= MOST_LEAVES
-
-    def hand_on(self) -> Iterator[pa.RecordBatch]:
-        names = ["lang", "term", "source", "docs", "n"]
-        types = [pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64()]
-        rows: list[tuple] = []
-
-        def batch() -> pa.RecordBatch:
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-            columns[1] = columns[1].cast(pa.string())
-            return pa.RecordBatch.from_arrays(columns, names=names)
-
-        for lang in sorted(self.tries):
-            for term, counters in self.tries[lang].traverse():
-                rows.extend((lang, term, source, docs, n) for source, (docs, n) in counters.items())
-                if len(rows) >= ROWS:
-                    yield batch()
-                    rows.clear()
-        if rows:
-            yield batch()
-        self.tries = {}
+    COLUMNS = ("lang", "term", "source")
+
+    def __init__(self, leaves: pa.Table) -> None:
+        self.leaves = leaves
+
+    @classmethod
+    def merged(cls, tries: list[pa.Table]) -> "Trie":
+        told = pa.concat_tables(tries).group_by(list(cls.COLUMNS), use_threads=False).aggregate([("docs", "sum"), ("n", "sum")])
+        return cls(told.rename_columns([*cls.COLUMNS, "docs", "n"]))
+
+    def traverse(self) -> pa.Table:
+        return self.leaves.sort_by([(c, "ascending") for c in self.COLUMNS])
+
+
+def _leaves(langs: list[str], sources: list[str], terms: pa.Array, docs: np.ndarray, n: np.ndarray) -> pa.Table:
+    columns = [pa.array(langs, pa.string()), terms, pa.array(sources, pa.string()), pa.array(docs, pa.int64()), pa.array(n, pa.int64())]
+    return pa.table(columns, names=[*Trie.COLUMNS, "docs", "n"])
+
+
+def _terms(text: pa.Array) -> pa.ListArray:
+    """The terms of some texts, given as UTF-8; among them empty strings."""
+    start, stop = (text.offset, text.offset + len(text)) if len(text) else (0, 0)
+    offsets = np.frombuffer(text.buffers()[1], np.int32)[start : stop + 1] if len(text) else np.zeros(1, np.int32)
+    data = text.buffers()[2]
+    small = _TERM_BYTES[np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]] if data is not None else np.zeros(0, np.uint8)
+    plain = pa.StringArray.from_buffers(len(text), pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(small))
+    return pc.ascii_split_whitespace(plain)
+
+
+def count_terms(langs: list[str], sources: list[str], text: pa.Array) -> pa.Table:
+    """The leaves of some documents; the empty term stands for the documents of a group."""
+    split = _terms(text)
+    flat = split.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(text)), np.asarray(split.value_lengths()))
+    term = np.asarray(flat.indices).astype(np.int64)
+    words, size = flat.dictionary, max(1, len(flat.dictionary))
+    groups = {g: i for i, g in enumerate(dict.fromkeys(zip(langs, sources)))}
+    group = np.array([groups[g] for g in zip(langs, sources)], np.int64)
+    pairs, n = np.unique(doc * size + term, return_counts=True)
+    found, at, docs = np.unique(group[pairs // size] * size + pairs % size, return_inverse=True, return_counts=True)
+    taken = words.take(pa.array(found % size))
+    real = np.asarray(pc.not_equal(taken, "")) if len(taken) else np.zeros(0, bool)
+    names, which = list(groups), (found // size)[real]
+    total = np.bincount(at, n, len(found)).astype(np.int64)[real]
+    of = lambda k: [g[k] for g in names]
+    leaves = _leaves(np.array(of(0), object)[which].tolist(), np.array(of(1), object)[which].tolist(), taken.filter(pa.array(real)), docs[real], total)
+    own = _leaves(of(0), of(1), pa.array([""] * len(names), pa.string()), np.bincount(group, minlength=len(names)), np.zeros(len(names), np.int64))
+    return pa.concat_tables([leaves, own])
+
+
+def _count_long(lang: str, source: str, text: pa.Array) -> pa.Table:
+    """The leaves of one long text, a piece at a time; the document counts once for each term."""
+    whole, tables, start = text[0].as_buffer().to_pybytes(), [], 0
+    while start < len(whole):
+        end = start + CHUNK
+        while end < len(whole) and _TERM_BYTES[whole[end]] != 32:
+            end += 1
+        tables.append(count_terms([lang], [source], pa.array([whole[start:end]], pa.binary()).cast(pa.string())))
+        if len(tables) == 16:
+            tables = [Trie.merged(tables).leaves]
+        start = end
+    once = Trie.merged(tables).leaves
+    return once.set_column(3, "docs", pa.array(np.ones(len(once), np.int64)))
 
 
 @gives_back
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = Counts()
+    tables: list[pa.Table] = []
+    size = 0
     for batch in batches:
         for part in text_parts(batch, "text", SLICE_BYTES):
-            texts = part.column(2).cast(pa.binary()).to_pylist()
-            for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts):
-                counts.add(lang, source, text)
-                if counts.full() and counts.store():
-                    yield from counts.hand_on()
-    counts.store()
-    yield from counts.hand_on()
+            langs, sources, text = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)
+            long = part.num_rows == 1 and len(text[0].as_buffer()) > 2 * CHUNK
+            tables.append(_count_long(langs[0], sources[0], text) if long else count_terms(langs, sources, text))
+            size += len(tables[-1])
+            if size >= 2 * MOST_LEAVES:
+                trie = Trie.merged(tables)
+                if len(trie.leaves) >= MOST_LEAVES:
+                    yield from trie.traverse().to_batches(ROWS)
+                    tables, size = [], 0
+                else:
+                    tables, size = [trie.leaves], len(trie.leaves)
+    if tables:
+        yield from Trie.merged(tables).traverse().to_batches(ROWS)
 
 
 def source_leaves(documents: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -40,7 +40,7 @@ def sample(seed, n=400):
     rows = []
     for i in range(n):
         lang, source = rng.choice(["en", "en", "de", None, ""]), rng.choice(["hot", "hot", "hot", "s1", "s2", None, "", "é"])
-        rows.append((lang, source, rng.choice([" ", "1", "\n", "_-"]).join(rng.choice(words[(hash(source) & 1) :]) for _ in range(rng.randrange(60)))))
+        rows.append((lang, source, rng.choice([" ", "1", "\n", "_-"]).join(rng.choice(words[len(source or "") % 2 :]) for _ in range(rng.randrange(60)))))
     return rows + [("fr", "x", "nothing kept here"), ("fr", "y", None), ("xx", "alone", ""), ("en", "textless", None), ("en", "textless", " 12 ")] + rows[:20] * 3
 
 
@@ -58,7 +58,7 @@ def test_against_brute_force(spark):
 
 
 def test_small_bounds(spark, monkeypatch):
-    for name, value in (("MOST_COUNTS", 20), ("MOST_LEAVES", 30), ("ROWS", 7), ("CHUNK", 16), ("SLICE_BYTES", 900)):
+    for name, value in (("MOST_LEAVES", 30), ("ROWS", 7), ("CHUNK", 16), ("SLICE_BYTES", 900)):
         monkeypatch.setattr(s, name, value)
     batches = [spark.createDataFrame(sample(2), "lang string, source string, text string").toArrow().combine_chunks().to_batches()[0]]
     rows = [r for b in s._count(iter([_filled(batches[0])])) for r in b.to_pylist()]
@@ -112,17 +112,30 @@ class _Collected:
         self.rows += [str(r) for b in lang.rows() for r in b.to_pylist()]
 
 
-def test_trie_traverses_in_order_of_bytes():
+def test_tries_merge_and_traverse_in_order_of_bytes():
     rng = random.Random(4)
-    trie, want = s.Trie(), defaultdict(dict)
-    for _ in range(3000):
-        term = bytes(rng.choice([97, 98, 0xC3, 0xFF]) for _ in range(rng.randrange(7)))
-        source = rng.choice("xyz")
-        trie.add(term, source, 1, 2)
-        docs, n = want[term].get(source, [0, 0])
-        want[term][source] = [docs + 1, n + 2]
-    assert list(trie.traverse()) == sorted(want.items())
-    assert trie.leaves == sum(map(len, want.values()))
+    parts, want = [], defaultdict(lambda: [0, 0])
+    for _ in range(6):
+        rows = {}
+        for _ in range(500):
+            rows[rng.choice("xy"), "".join(rng.choice("abé\uffff\U0001f600") for _ in range(rng.randrange(7))), rng.choice("12")] = [1, rng.randrange(9)]
+        for key, (docs, n) in rows.items():
+            want[key][0] += docs
+            want[key][1] += n
+        keys = list(rows)
+        parts.append(s._leaves([k[0] for k in keys], [k[2] for k in keys], s.pa.array([k[1] for k in keys]), [v[0] for v in rows.values()], [v[1] for v in rows.values()]))
+    got = s.Trie.merged(parts).traverse().to_pylist()
+    order = sorted(want, key=lambda k: (k[0], k[1].encode(), k[2]))
+    assert [((r["lang"], r["term"], r["source"]), [r["docs"], r["n"]]) for r in got] == [(k, want[k]) for k in order]
+
+
+def test_long_texts_count_once_and_whole(monkeypatch):
+    text = " ".join(f"Wort{i % 701} é{i % 13}" for i in range(9000))
+    array = s.pa.array(["x", None, text, ""]).slice(2, 1)
+    want = s.count_terms(["de"], ["s"], array).sort_by("term").to_pylist()
+    monkeypatch.setattr(s, "CHUNK", 50)
+    assert s._count_long("de", "s", array).sort_by("term").to_pylist() == want
+    assert s.count_terms([], [], s.pa.array([], s.pa.string())).num_rows == 0
 
 
 @pytest.mark.parametrize("below", [7, 10**9 + 7, s.EXACT, 10**17])
