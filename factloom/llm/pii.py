@@ -41,6 +41,18 @@ def session_key(spark: SparkSession) -> str:
     named = spark.conf.get(KEY_SETTING, None)
     return named or _keys.setdefault(spark.sparkContext.applicationId, token_hex(32))
 
+# How cards begin and in which groups they are written, longest first: 19, 16, 15, 14 and 13 digits in
+# fours, fours, 4-6-5, 4-6-4 and 4-3-3-3, or without any gap, as UnionPay's 17 and 18 are.
+FOURS = r"(?:4\d\d|5[0-9]\d|2(?:2(?:2(?=[1-9])|[3-9])|[3-6]\d|7(?:[01]|2(?=0)))|6[0-9]\d|35(?:2(?=[89])|[3-8]))\d(?:[ -]?\d{4}){3}"
+CARDS = (
+    rf"(?=[46]){FOURS}[ -]?\d{{3}}",
+    r"62\d{15,16}",
+    FOURS,
+    r"3[47]\d\d[ -]?\d{6}[ -]?\d{5}",
+    r"3(?:0[0-5]|[689]\d)\d[ -]?\d{6}[ -]?\d{4}",
+    r"4\d{3}[ -]?\d{3}[ -]?\d{3}[ -]?\d{3}",
+)
+
 #: What a candidate looks like, in order; the checks follow.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
@@ -51,7 +63,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)",
     "phone": r"(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
     "phone_e164": r"(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{2,4}\)?){2,5}(?!\d)",
-    "card": r"(?<![\d+])\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": rf"(?<![\d+])(?:{'|'.join(CARDS)})(?!\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Candidates lie in runs of such words with one space between.
@@ -184,9 +196,9 @@ def _mod97(letters: Column) -> Column:
 def _card(m: Column, key: str) -> tuple[Column, Column]:
     d = _digits(m)
     n = F.length(d)
-    # the first digit names the kind of issuer and stays; the last is the check digit
-    inner = F.substring(d, F.lit(2), n - 2)
-    moved = F.concat(F.substring(d, 1, 1), permute_text(inner, key, "card"))
+    # the digits that tell the issuer stay, one or four; the last is the check digit
+    own = F.when(d.startswith("4"), F.lit(1)).otherwise(F.lit(4))
+    moved = F.concat(F.substring(d, F.lit(1), own), permute_text(F.substring(d, own + 1, n - own - 1), key, "card"))
     check = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(moved, F.lit("0"))), F.lit(10)), F.lit(10))
     return (F.pmod(luhn_sum(d), F.lit(10)) == 0) & ~d.rlike(r"^(\d)\1*$"), _refill(m, F.concat(moved, check.cast("string")))
 

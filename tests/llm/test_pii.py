@@ -242,3 +242,36 @@ def test_key_of_the_session(spark):
     assert [r.doc_id for r in rows] == [None, None, 3] and rows[0].text == rows[1].text == text("a.b", "email", key="given") + "@c.org"
     # a number that its plan doesn't know is no phone number
     assert one(spark, ["+1 108 155 7800"])[0].n_replaced == 0
+
+
+def test_plain_numbers_are_no_cards(spark):
+    rng = random.Random(7)
+    lines = [" ".join(str(rng.randrange(10 ** (k - 1), 10**k)) for _ in range(4000)) for k in (3, 5, 6, 7)]
+    lines += ["-".join(str(rng.randrange(10**5)) for _ in range(500)), " ".join(f"{rng.randrange(1, 4)}{rng.randrange(10**11, 10**12)}" for _ in range(300))]
+    rows = one(spark, lines)
+    assert [r.text for r in rows] == lines and {r.n_replaced for r in rows} == {0}
+
+
+CARD_FORMS = [
+    ("4", 16, (4, 4, 4, 4)), ("4", 13, (4, 3, 3, 3)), ("4", 19, (4, 4, 4, 4, 3)), ("51", 16, (4, 4, 4, 4)), ("2221", 16, (4, 4, 4, 4)), ("2720", 16, (4, 4, 4, 4)), ("34", 15, (4, 6, 5)), ("37", 15, (4, 6, 5)),
+    ("6011", 16, (4, 4, 4, 4)), ("36", 14, (4, 6, 4)), ("3528", 16, (4, 4, 4, 4)), ("62", 17, None), ("62", 19, (4, 4, 4, 4, 3)), ("50", 16, (4, 4, 4, 4)),
+]
+
+
+def test_cards_of_all_issuers_in_their_groups(spark):
+    rng, texts, shapes = random.Random(8), [], []
+    for begin, n, groups in CARD_FORMS:
+        digits = with_check(begin + "".join(rng.choice("0123456789") for _ in range(n - 1 - len(begin))))
+        for gap in ("", " ", "-") if groups else ("",):
+            at, parts = 0, []
+            for g in groups or (n,):
+                parts.append(digits[at : at + g])
+                at += g
+            texts.append(f"pay {gap.join(parts)} now")
+            shapes.append((begin, gap))
+    rows = one(spark, texts)
+    for (begin, gap), t, r in zip(shapes, texts, rows):
+        assert r.kinds == ["card"], (t, r)
+        new = r.text.removeprefix("pay ").removesuffix(" now")
+        plain = new.replace(gap, "") if gap else new
+        assert plain == with_check(plain[:-1]) and plain.startswith(begin) and r.text != t and [c in " -" for c in r.text] == [c in " -" for c in t]
