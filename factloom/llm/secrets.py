@@ -36,11 +36,15 @@ RULES = {
     "private_key": (("PRIVATE KEY",), r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----)[\s\S])*+-----END [A-Z0-9 ]*?PRIVATE KEY(?: BLOCK)?-----|(?:\s*+[A-Za-z0-9+/=]{16,}+)*+)"),
     "aws_key": (("AKIA", "ASIA"), r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     "provider_token": (("gh", "xox", "sk_live_", "AIza", "glpat-"), r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20})(?![A-Za-z0-9])"),
-    "jwt": (("eyJ",), r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    "jwt": (("eyJ",), r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     "url_password": (("://",), r"(?i)[a-z][a-z0-9+.-]{1,20}://[^\s:/@]++:([^\s@/]{3,}+)@"),
     "assigned": (("=", ":"), rf"(?i)(?<![\w.-])(?=[\w.-]*?(?:{NAMES}))[\w.-]++[\"']?\s{{0,3}}[ \t]*+(?:=>|:=|=|:)\s{{0,3}}[ \t]*+[\"']?([^\s\"',;<>]{{6,}}+)"),
     "random": ((), r"(?<![A-Za-z0-9+/_=-])[A-Za-z+/_=-]*+\d[A-Za-z0-9+/_=-]*+"),
 }
+#: Rules whose format is an issuer's own: what fits is a secret, unless it looks made up.
+ISSUED = ("private_key", "aws_key", "provider_token")
+# What made-up keys hold.
+MADE_UP = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|your|redacted|xxxx|0000|1234567|abcdefg|(.)\1{5}")
 _COMPILED = {k: (hints, re.compile(p)) for k, (hints, p) in RULES.items()}
 RANDOM_LENGTH = 20
 
@@ -302,14 +306,16 @@ def _scanner(forest, cut: float, words):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, inputs = [], []
+            rows, inputs, issued = [], [], []
             for doc_id, text, path in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 for rule, a, b, finding in scan_text(text.as_py() or "", path or ""):
                     rows.append((doc_id, rule, a, b - a, hashlib.sha256(finding[1].encode("utf-8", "surrogatepass")).hexdigest()))
                     inputs.append(describe(finding, words.value))
+                    issued.append(rule in ISSUED and not MADE_UP.search(finding[1]))
             if not rows:
                 continue
             scores = forest.value.scores(np.array(inputs))
+            scores = np.where(issued, np.maximum(scores, cut), scores)
             kept = [(*r, float(s)) for r, s in zip(rows, scores, strict=True) if s >= cut]
             columns = list(zip(*kept, strict=True)) or [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
@@ -320,7 +326,8 @@ def _scanner(forest, cut: float, words):
 def find_secrets(documents: DataFrame, forest: Forest | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", cut: float = CUT, dictionary_path: str | None = None) -> DataFrame:
     """A row for each finding that the forest takes for a secret: doc_id, rule,
     begin and length (in characters), secret_sha256 (equal secrets are equal,
-    the secret itself is not shown), score.
+    the secret itself is not shown), score. A key in an issuer's own format (ISSUED)
+    needs no more than to look real; the forest decides on those that look made up.
 
     Null and empty texts give no row; a null path, or none, counts as empty. Null
     and repeated ids are kept as they are: each row is scanned. An empty table

@@ -1,8 +1,10 @@
 import hashlib
+import random
 import re
 import time
 
 import numpy as np
+import pytest
 
 from factloom.llm import secrets as sc
 
@@ -126,3 +128,23 @@ def test_dictionary():
     words = sc.dictionary()
     assert len(words) > 10_000 and {"password", "account", "winter"} <= words and "xq" not in words
     assert sc._coverage("winteraccount", words) == 1 and sc._coverage("q9z8x7", words) == 0
+
+
+NEAR_MISSES = ["-eyJaaaaaaaaaa", "eyJaaaaaaaaaa.", "-----BEGIN PRIVATE KEY-----\n", "-----BEGIN RSA ", "xoxb-aaaa ", "sk_live_aaaa-", "AKIAAAAA", "ab://x:y", "a://b:c@", "token.token-", "secret = ", "a+/=", "password:\t\t", "ghp_a_"]
+
+
+@pytest.mark.parametrize("part", NEAR_MISSES)
+def test_rules_take_time_in_proportion(part):
+    text = part * (1_000_000 // len(part))
+    began = time.monotonic()
+    sc.find_candidates(text)
+    assert time.monotonic() - began < 3
+
+
+def test_issued_keys_stay_unless_they_look_made_up(spark):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    keys = ["AKIA" + "".join(rng.choice(letters) for _ in range(16)) for _ in range(300)]
+    real = [k for k in keys if not sc.MADE_UP.search(k)]
+    df = spark.createDataFrame([(i, f"the commit id {k} of a fixture", "test/example") for i, k in enumerate(real)], "doc_id long, text string, source string")
+    assert len(real) > 250 and {r.doc_id for r in sc.find_secrets(df).collect()} == set(range(len(real)))
