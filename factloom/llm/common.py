@@ -39,6 +39,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def written(spark: SparkSession) -> list[str]:
+    """The folders that the operators of this application have written and not deleted."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _written.setdefault(spark.sparkContext.applicationId, []).append(path)
@@ -67,7 +72,7 @@ def clear_intermediates(spark: SparkSession) -> int:
     """Delete all that the operators of this application have written to the shared
     folder and return the number of folders. Results that were not yet read or
     stored elsewhere are lost with them."""
-    paths = list(_written.get(spark.sparkContext.applicationId, []))
+    paths = written(spark)
     for path in paths:
         remove(spark, path)
     return len(paths)
@@ -137,19 +142,17 @@ def gives_back(run: Callable) -> Callable:
     return frugal
 
 
-#: Bytes of a batch of rows that Spark hands to Python; its own default and the setting's name.
-BATCH_BYTES, SPARK_BATCH_BYTES, BATCH_SETTING = 1 << 20, "67108864b", "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Spark's setting for the bytes of a batch of rows that goes to Python, and what suits whole texts.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 20
 
 
-def map_texts(rows: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
-    """``rows.mapInArrow`` in batches of about BATCH_BYTES, one row at least, however
-    many rows that is: with Spark's default both sides of a worker hold up to 64 MB a
-    batch, and copies of it. The bound is the session's from then on, unless the
-    session had named one itself."""
-    conf = rows.sparkSession.conf
-    if conf.get(BATCH_SETTING) == SPARK_BATCH_BYTES:
-        conf.set(BATCH_SETTING, str(BATCH_BYTES))
-    return rows.mapInArrow(run, schema)
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's batches to BATCH_BYTES, for an application that runs several of
+    the text operators on executors with little memory: by Spark's default of 64 MB both
+    sides of a worker hold that much, and copies of it. A session that has named a
+    size of its own keeps it. No operator calls this; the pipeline does."""
+    if spark.conf.get(BATCH_SETTING) == "67108864b":
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def text_parts(batch: pa.RecordBatch, text_name: str, most_bytes: int) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import gives_back, map_texts, materialize
+from factloom.llm.common import fresh, gives_back, materialize
 
 WORDS, GRAM = 13, 5
 SPAN = WORDS - GRAM + 1
@@ -301,17 +301,17 @@ def find_contamination(
     first = next(blocks)
     second = next(blocks, None)
     if second is None:
-        return map_texts(docs, _report(spark.sparkContext.broadcast(first), "doc_id", "text"), REPORT)
+        return docs.mapInArrow(_report(spark.sparkContext.broadcast(first), "doc_id", "text"), REPORT)
     kept = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "documents")
     found = None
     for index in (i for more in ([first, second], blocks) for i in more):
-        part = map_texts(kept.select("row", "text"), _report(spark.sparkContext.broadcast(index), "row", "text"), REPORT)
+        part = kept.select("row", "text").mapInArrow(_report(spark.sparkContext.broadcast(index), "row", "text"), REPORT)
         part = materialize(part.where(F.size("spans") > 0), "hits")
         found = part if found is None else found.union(part)
     # a row has one entry for each block at most
     merged = found.groupBy(F.col("doc_id").alias("row")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     none = spark.sparkContext.broadcast(build_index([]))
-    counts = map_texts(kept.select("row", "text"), _report(none, "row", "text"), REPORT).select(F.col("doc_id").alias("row"), "n_words")
+    counts = kept.select("row", "text").mapInArrow(_report(none, "row", "text"), REPORT).select(F.col("doc_id").alias("row"), "n_words")
     return (
         kept.select("doc_id", "row")
         .join(counts, "row")
@@ -385,10 +385,8 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, text_col: str
     blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
     first = next(blocks)
     if next(blocks, None) is None:
-        return map_texts(documents, _filter(spark.sparkContext.broadcast(first), text_col), documents.schema)
-    row = "_row"
-    while row in documents.columns:
-        row += "_"
+        return documents.mapInArrow(_filter(spark.sparkContext.broadcast(first), text_col), documents.schema)
+    row = fresh(documents.columns, "_row")
     kept = materialize(documents.withColumn(row, F.monotonically_increasing_id()), "documents")
     found = contamination_digest(kept, benchmark, id_col=row, text_col=text_col, item_col=item_col, item_text_col=item_text_col, block_bytes=block_bytes)
     bad = found.where("contaminated").select(F.col("doc_id").alias(row))

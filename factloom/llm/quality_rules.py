@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import fresh, gives_back, map_texts, text_parts
+from factloom.llm.common import fresh, gives_back, text_parts
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_echo_words")
 WINDOW = 8
@@ -172,7 +172,7 @@ def rule_ledger(documents: DataFrame, rules: Sequence[Rule] = RULES, id_col: str
     failures = F.lit(0).cast("long")
     for bit in bits:
         failures = failures.bitwiseOR(bit)
-    return map_texts(rows, _measured, schema).withColumn("failures", failures)
+    return rows.mapInArrow(_measured, schema).withColumn("failures", failures)
 
 
 def apply_policies(ledger: DataFrame, policies: Sequence[Policy] = POLICIES, rules: Sequence[Rule] = RULES) -> DataFrame:

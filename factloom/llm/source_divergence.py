@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.common import gives_back, map_texts, materialize, text_parts
+from factloom.llm.common import gives_back, materialize, text_parts
 
 #: Documents of a language that a kept term is in, terms reported for a group, and the smoothing.
 LEAST_DOCS, TOP_TERMS, SMOOTH, SCALE = 30, 50, 5, 1_000_000_000
@@ -135,7 +135,7 @@ def source_leaves(documents: DataFrame, lang_col: str = "lang", source_col: str
     """Leaves of all partitions' tries: lang, term, source, docs, n; the same leaf may
     come from many partitions. The empty term stands for the documents of a group."""
     given = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))]
-    return map_texts(documents.select(*given), _count, "lang string, term string, source string, docs long, n long")
+    return documents.select(*given).mapInArrow(_count, "lang string, term string, source string, docs long, n long")
 
 
 def merge_leaves(leaves: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:

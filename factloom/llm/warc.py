@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from factloom.llm.common import materialize, new_path
+from factloom.llm.common import join_counted, materialize, new_path
 
 BLANK = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -33,7 +33,8 @@ MIN_BYTES = 0
 ARCHIVE_BYTES = 16_000_000
 #: About what a record's headers take.
 RECORD_BYTES = 700
-FIRST_CAPTURE = "2024-01-01 00:00:00"
+#: The day (UTC) of the first capture.
+FIRST_DAY = "2024-01-01"
 
 
 def base32_digest(payload: Column) -> Column:
@@ -60,6 +61,14 @@ def _record_id(page_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
+def capture_date(seconds: Column) -> Column:
+    """The time so many seconds after the first capture's day began, in UTC whatever the
+    session's zone is."""
+    part = lambda unit, size: F.lpad(F.pmod(F.call_function("div", seconds, F.lit(unit)), F.lit(size)).cast("string"), 2, "0")
+    day = F.date_add(F.lit(FIRST_DAY).cast("date"), F.call_function("div", seconds, F.lit(86_400)).cast("int")).cast("string")
+    return F.concat(day, F.lit("T"), part(3600, 24), F.lit(":"), part(60, 60), F.lit(":"), part(1, 60), F.lit("Z"))
+
+
 def _dealt(bound: int):
     """Number of the run that each record of a partition belongs to, by bytes."""
 
@@ -99,7 +108,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     groups = narrow.where(F.col("bytes") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
     # only narrow rows meet by payload; whole pages are joined by their own id, where
     # they stay as they are as long as the copies are few enough for Spark to broadcast
-    copies = narrow.join(groups.select("digest", "first"), "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    groups = materialize(groups, "groups")
+    copies = join_counted(narrow, groups, ["digest"], "n", narrow.count()).where(~F.col("page_id").eqNullSafe(F.col("first")))
     copies = materialize(copies.select("page_id", "digest", F.col("first").alias("refers_to")).distinct(), "copies")
     if copies.take(1):
         same = page["page_id"].eqNullSafe(copies["page_id"]) & (page["digest"] == copies["digest"])
@@ -110,7 +120,6 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     first = F.col("refers_to").isNull()
     digest = base32_digest(F.col("payload"))
     seconds = F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(100_000_000))
-    captured = F.timestamp_seconds(F.unix_timestamp(F.lit(FIRST_CAPTURE)) + seconds)
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(BLANK))
     block = F.when(first, F.concat(http, F.col("payload").cast("string"))).otherwise(http)
     line = lambda name, value: F.concat(F.lit(f"\r\n{name}: "), value)
@@ -118,7 +127,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         F.lit("WARC/1.1\r\nWARC-Type: "),
         F.when(first, F.lit("response")).otherwise(F.lit("revisit")),
         line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"))),
-        line("WARC-Date", F.date_format(captured, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        line("WARC-Date", capture_date(seconds)),
         F.coalesce(line("WARC-Target-URI", F.col("url")), F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
         F.coalesce(line("X-Page-ID", F.col("page_id").cast("string")), F.lit("")),
@@ -135,7 +144,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     # pages stay in the partitions that they come in: a run needs to be sorted only in itself
     schema = StructType([*page.schema.fields, StructField("run", LongType())])
     dealt = page.mapInArrow(_dealt(max(archive_bytes, 1)), schema)
-    records = dealt.select("run", url_key(F.col("url")).alias("key"), captured.alias("at"), "page_id", F.concat(header, F.lit(BLANK), block).alias("value"))
+    records = dealt.select("run", url_key(F.col("url")).alias("key"), seconds.alias("at"), "page_id", F.concat(header, F.lit(BLANK), block).alias("value"))
     runs = records.sortWithinPartitions("run", *_in_order("key", "at", "page_id")).select("run", "value")
     runs.write.option("lineSep", BLANK).partitionBy("run").text(path)
 

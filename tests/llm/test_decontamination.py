@@ -97,3 +97,12 @@ def test_against_sql(spark):
     got = sorted(tuple(r) for r in queries()["op7_decontamination"](spark, path).collect())
     assert got == want
     assert any(r[2] for r in got)
+
+
+@pytest.mark.parametrize("name", ["_row", "_ROW"])
+def test_columns_of_any_case_stay_with_several_blocks(spark, name):
+    docs = spark.createDataFrame([(1, "one two three", "kept"), (2, " ".join(f"w{i}" for i in range(20)), "gone")], f"doc_id long, text string, {name} string")
+    items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20))), (2, "another item of some words")], "item_id long, text string")
+    for size in (1 << 20, 10):
+        left = dec.drop_contaminated(docs, items, block_bytes=size)
+        assert left.columns == docs.columns and left.collect() == [(1, "one two three", "kept")]

@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import warc
 from factloom.llm.common import new_path
@@ -97,3 +98,22 @@ def test_archives_end_by_bytes(spark):
     assert len(files) > 40 and sorted(f.length for f in files)[-2] < 8000 + 5000 + 2 * warc.RECORD_BYTES
     rows = warc.read_archives(spark, path)
     assert rows.count() == len(sizes) and rows.select("archive").distinct().count() == len(files)
+
+
+def test_capture_dates_are_utc_in_every_zone(spark):
+    seconds = spark.createDataFrame([(0,), (86_399,), (5 * 86_400 + 3661,), (99_999_999,)], "s long")
+    want = ["2024-01-01T00:00:00Z", "2024-01-01T23:59:59Z", "2024-01-06T01:01:01Z", "2027-03-03T09:46:39Z"]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "Europe/Berlin", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            assert [r[0] for r in seconds.select(warc.capture_date(F.col("s"))).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_a_hot_payload_refers_to_its_first_page(spark):
+    rows = [(i, f"https://x{i % 7}.org/{i}", "" if i % 3 else f"<p>{i}</p>") for i in range(5000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_round_trip(df).collect()}
+    assert got == {i: ("response", None) if i % 3 == 0 or i == 1 else ("revisit", 1) for i in range(5000)}
