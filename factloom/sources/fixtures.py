@@ -23,6 +23,8 @@ TABLES = {
     "candidates": ["supplier", "part"],
     "profile": ["customer"],
     "outputs": ["conversations"],
+    "answers": ["conversations"],
+    "bundles": ["pages"],
     "builds": ["customer"],
     "run_starts": ["events"],
     "run_ends": ["events"],
@@ -181,6 +183,29 @@ SELECT event_id AS run_id, user_id AS entity_id, event_type AS run_type, event_i
     "run_ends": """
 SELECT event_id AS run_id, CASE WHEN value < 5 THEN 'no answer' END AS error_message, event_id % 1000 AS tokens_in, event_id % 300 AS tokens_out, event_id + 1 AS completed_at FROM events WHERE event_id % 7 <> 0
 UNION ALL SELECT event_id, CASE WHEN value < 50 THEN 'late answer' END, event_id % 500, 10, event_id + 2 FROM events WHERE event_id % 5 = 0""",
+    "answers": """
+SELECT k AS answer_id, conv_id AS entity_id, turn AS seq, CASE turn % 5 WHEN 0 THEN 'verification' WHEN 1 THEN 'contact' WHEN 2 THEN 'denomination' WHEN 3 THEN 'size' ELSE 'multiplication' END AS schema_name,
+       CASE WHEN k % 31 = 0 THEN 'no json here' WHEN k % 37 = 0 THEN '[1, 2]' ELSE '{' || CASE turn % 5
+            WHEN 0 THEN '"active_status": "' || CASE k % 6 WHEN 0 THEN 'Verified Active' WHEN 1 THEN 'Likely Active' WHEN 2 THEN 'Uncertain' WHEN 3 THEN 'Closed' WHEN 4 THEN 'Merged' ELSE CASE WHEN k % 12 = 5 THEN 'Gone' ELSE 'Merged' END END
+                 || '", "website_verified": ' || CASE k % 5 WHEN 0 THEN 'null' WHEN 1 THEN '""' WHEN 2 THEN '"https://org' || n || '.example.org/about"' ELSE '"https://new' || n || '.example.org"' END || ', "website_verified_confidence": ' || CAST(k * 11 % 101 AS STRING)
+                 || ', "active_status_confidence": ' || CASE WHEN k % 23 = 0 THEN '"high"' ELSE CAST(50 + k * 3 % 53 AS STRING) || '.25' END || ', "closure_merger_signals": ' || CASE WHEN k % 29 = 0 THEN '["a", 7]' WHEN k % 4 = 1 THEN '["sale", "moved"]' WHEN k % 4 = 2 THEN '["gone"]' ELSE '[]' END
+                 || ', "reasoning": "' || t || '"'
+            WHEN 1 THEN '"email_verified": ' || CASE k % 4 WHEN 0 THEN 'null' ELSE '"office@org' || n || '.example.org"' END || CASE WHEN k % 9 = 0 THEN '' ELSE ', "email_confidence": ' || CAST(k * 7 % 120 AS STRING) END || ', "phone_verified": ' || CASE k % 7 WHEN 0 THEN '3305550100' ELSE '"(330) 555-0100"' END
+                 || ', "phone_confidence": ' || CASE k % 8 WHEN 0 THEN 'null' ELSE CAST(k * 5 % 101 AS STRING) END || ', "lead_pastor": "Ann Lee", "lead_pastor_confidence": ' || CASE k % 6 WHEN 0 THEN '-0.5' ELSE '81' END
+            WHEN 2 THEN '"denomination": ' || CASE k % 5 WHEN 0 THEN 'null' ELSE '"Unknown"' END || ', "denomination_confidence": ' || CAST(k * 3 % 110 AS STRING) || CASE WHEN k % 4 = 0 THEN '' ELSE ', "network_affiliation": "Acts 29"' END || ', "network_confidence": ' || CASE k % 7 WHEN 0 THEN 'true' ELSE '40' END
+            WHEN 3 THEN '"attendance_estimate": ' || CASE k % 4 WHEN 0 THEN 'null' WHEN 1 THEN '"about 300"' ELSE CAST(k % 900 AS STRING) END || ', "attendance_min": 100, "attendance_max": null, "attendance_confidence": ' || CAST(k * 13 % 105 AS STRING)
+                 || ', "attendance_confidence_tier": ' || CASE k % 6 WHEN 0 THEN '"Huge"' WHEN 1 THEN '3' ELSE '"Very Low"' END || ', "staff_count": ' || CASE k % 5 WHEN 0 THEN '[4]' ELSE '4' END || ', "campus_count": 1' || CASE WHEN k % 3 = 0 THEN '' ELSE ', "weekend_services_count": 2' END || ', "reasoning": "' || t || '"'
+            ELSE '"church_planting_activity": ' || CAST(k * 3 % 103 AS STRING) || ', "disciple_making": 10, "leadership_development": ' || CAST(k * 7 % 101 AS STRING) || ', "residency_internship": 0, "mission_sending": ' || CASE k % 11 WHEN 0 THEN '"many"' ELSE '55.5' END
+                 || ', "kingdom_collaboration": ' || CAST(k * 5 % 101 AS STRING) || ', "innovation": ' || CAST(k * 17 % 101 AS STRING) || ', "multiplication_orientation": ' || CAST(k * 19 % 101 AS STRING) || CASE WHEN k % 13 = 0 THEN '' ELSE ', "digital_reach": ' || CAST(k % 101 AS STRING) END || ', "explanation": "' || t || '"'
+            END || ', "evidence": ' || CASE k % 10 WHEN 0 THEN '[]' WHEN 7 THEN CASE WHEN k % 3 = 0 THEN '{}' ELSE '[]' END ELSE '[{"field_name": "active_status", "proposed_value": ' || CASE k % 3 WHEN 0 THEN 'null' ELSE '"v' || n || '"' END || ', "evidence_text": "' || t || '", "source_url": '
+                 || CASE k % 4 WHEN 0 THEN 'null' WHEN 1 THEN '"https://www.facebook.com/p/' || n || '"' WHEN 2 THEN '"https://www.org' || n || '.example.org/a"' ELSE '"not a url"' END || ', "confidence_score": ' || CAST(k * 13 % 102 AS STRING) || '}'
+                 || CASE WHEN k % 5 = 0 THEN ', {"field_name": 5, "evidence_text": "x", "source_url": "https://duckduckgo.com/?q=x", "confidence_score": 12}' WHEN k % 5 = 1 THEN ', {"field_name": "website_verified", "proposed_value": "w", "evidence_text": "y", "source_url": "https://yelp.com/b", "confidence_score": 33.335}' WHEN k % 25 = 2 THEN ', 3' ELSE '' END || ']' END || '}' END AS raw
+FROM (SELECT conv_id, turn, conv_id * 8 + turn AS k, CAST(conv_id AS STRING) AS n, replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(9), ' ') AS t FROM conversations) turns""",
+    "bundles": """
+SELECT CAST(floor(page_id / 5) AS BIGINT) AS entity_id, max(CASE WHEN CAST(floor(page_id / 5) AS BIGINT) % 3 <> 0 THEN url END) AS official_site, CASE WHEN CAST(floor(page_id / 5) AS BIGINT) % 5 <> 0 THEN 'fetch' END AS crawl_method,
+       CASE WHEN CAST(floor(page_id / 5) AS BIGINT) % 7 = 0 THEN 'The server refused.' END AS note, count(CASE WHEN CAST(floor(page_id / 5) AS BIGINT) % 4 <> 0 AND page_id % 3 <> 0 THEN 1 END) AS n_ok_pages,
+       count(CASE WHEN CAST(floor(page_id / 5) AS BIGINT) % 8 <> 0 THEN 1 END) AS n_results
+FROM pages GROUP BY CAST(floor(page_id / 5) AS BIGINT), CASE WHEN CAST(floor(page_id / 5) AS BIGINT) % 5 <> 0 THEN 'fetch' END, CASE WHEN CAST(floor(page_id / 5) AS BIGINT) % 7 = 0 THEN 'The server refused.' END""",
     "outputs": """
 SELECT conv_id * 1000 + turn AS output_id,
        CASE turn % 5 WHEN 0 THEN 'Here it is: ```json' || chr(10) || '{"lifecycle_stage": "' || CASE conv_id % 3 WHEN 0 THEN 'thriving' WHEN 1 THEN 'Plateau' ELSE 'odd' END || '", "staff_count": "' || CAST(conv_id AS STRING) || ' people", "fields": [{"field": "city", "value": "X", "confidence": "high"}]}' || chr(10) || '```'
