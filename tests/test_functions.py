@@ -167,9 +167,12 @@ def test_stages(spark, raw, want):
 
 @pytest.mark.parametrize("raw,want", [
     ('{"a":1}', '{"a":1}'), ('```json\n{"a":1}\n```', '{"a":1}'), ('Sure! {"a":1} hope that helps', '{"a":1}'), ('{"a":1}\n{"b":2}', '{"a":1}'), ('{"a":1,"b":', '{"a":1,"b":null}'),
-    ('{"a":1,"b', '{"a":1}'), ('{"a":"hel', '{"a":"hel"}'), ('{"a": NaN}', "{}"), ('[1, Infinity]', "[1]"), ('[-Infinity]', "[]"), ('{"a": tru', "{}"), ('{"a": [1, 2, {"b": "c\\u00', '{"a": [1, 2, {"b": "c"}]}'),
-    ('{"a": "x\\', '{"a": "x"}'), ('{"a": [1, 2', '{"a": [1, 2]}'), ('{"a": 1, "b": foo, "c": 2}', '{"a": 1}'), ("[1, 2,", "[1, 2]"), ("[", "[]"), ("42", "42"), ("nothing", None), ("", None), ('{"a"}', "{}"),
-    ('["}", "]"', '["}", "]"]'), ("[[1], [2]] [3]", "[[1], [2]]"), ('{"a":1,}', '{"a":1}'), ('{"a" : {} , "b":[ ] }x', '{"a" : {} , "b":[ ] }'), ("[01]", "[]"), ('{"a": "line\nbreak', "{}"),
+    ('{"a":1,"b', '{"a":1}'), ('{"a":"hel', '{"a":"hel"}'), ('{"a": NaN}', None), ('[1, Infinity]', "[1]"), ('[-Infinity]', None), ('{"a": tru', None), ('{"a": [1, 2, {"b": "c\\u00', '{"a": [1, 2]}'),
+    ('{"a": "x\\', None), ('{"a": [1, 2', '{"a": [1, 2]}'), ('{"a": 1, "b": foo, "c": 2}', '{"a": 1}'), ("[1, 2,", "[1, 2]"), ("[", "[]"), ("42", "42"), ("nothing", None), ("", None), ('{"a"}', None),
+    ('["}", "]"', '["}", "]"]'), ("[[1], [2]] [3]", "[[1], [2]]"), ('{"a":1,}', '{"a":1}'), ('{"a" : {} , "b":[ ] }x', '{"a" : {} , "b":[ ] }'), ("[01]", None), ('{"a": "line\nbreak', None),
+    ("{'a':1}", None), ('{"a" 1}', None), ('see {curly} then {"a":1}', None), ('{"a": {"b": tru', '{"a": null}'), ('[1, [tru', "[1]"), ('[[x', "[]"), ('{"a": "x, y" 1}', '{"a": "x"}'), ('{"a": 1, "b,c" 2}', '{"a": 1}'),
+    ('{"a": "p, q\nr"}', '{"a": "p"}'), ('{"a": "{x", "b": nul}', '{"a": "{x"}'), ('{"x": [1, 2}, "y": 3', '{"x": [1]}'), ('{"a": bad' + ", 1" * 600, None), ('{"a": 1, "b": bad' + ", 1" * 490, '{"a": 1}'), ('{"a": 1, "b": bad' + ", 1" * 600, None),
+    ('{"k": 1, "s": "a\\", b" x', '{"k": 1, "s": "a\\""}'), ('{', "{}"), ('{"a": 1', '{"a": 1}'), ('{"a"', None), ('{"a": 1, "b"', '{"a": 1}'),
 ])
 def test_json_is_completed_or_cut(raw, want):
     got = jsonfix.loose_json(raw)
