@@ -25,12 +25,37 @@ TABLES = {
     "outputs": ["conversations"],
     "answers": ["conversations"],
     "bundles": ["pages"],
+    "result_pages": ["pages"],
     "builds": ["customer"],
     "run_starts": ["events"],
     "run_ends": ["events"],
 }
 
+
+
+def _result_page() -> str:
+    """SQL of pages as four providers write them, with up to four results: the second of
+    each page links directly, the third of the first provider has no link, and some
+    pages of the last provider have titles only."""
+    n = "CAST(page_id AS STRING)"
+    made = []
+    for i in range(4):
+        title = f"'Site <b>' || {n} || '</b> &amp; more {i}'"
+        plain = f"'https://s' || {n} || '.example.org/{i}'"
+        href = f"'//s' || {n} || '.example.org/{i}'" if i == 1 else f"'//duckduckgo.com/l/?uddg=https%3A%2F%2Fs' || {n} || '.example.org%2F{i}&rut=x'"
+        first = "'<div class=\"result__body\">no link</div>'" if i == 2 else f"'<div class=\"result__body\"><a rel=\"nofollow\" class=\"result__a\" href=\"' || {href} || '\">' || {title} || '</a> <a class=\"result__snippet\" href=\"#\">Words  of <b>' || {n} || '</b>&nbsp;here</a></div>'"
+        second = f"'<a rel=\"nofollow\" class=\"result-link\" href=\"' || {href} || '\">' || {title} || '</a><br>'"
+        third = f"'<li class=\"b_algo\"><div>x</div><h2> <a target=\"_blank\" href=\"' || {plain} || '\">' || {title} || '</a></h2><p>y</p></li>'"
+        fourth = f"CASE WHEN page_id % 3 = 0 THEN '' ELSE '<a class=\"ob\" href=\"' || {plain} || '\">u</a><h2>' END || '<a class=\"title\" href=\"' || {plain} || '\">' || {title} || '</a>'"
+        made.append(f"CASE WHEN page_id % 5 <= {i} THEN '' ELSE CASE page_id % 4 WHEN 0 THEN {first} WHEN 1 THEN {second} WHEN 2 THEN {third} ELSE {fourth} END END")
+    return " || ".join(made)
+
+
 VIEWS = {
+    "result_pages": f"""
+SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'duckduckgo-html' WHEN 1 THEN 'duckduckgo-lite' WHEN 2 THEN 'bing' ELSE 'mojeek' END AS provider, CASE WHEN page_id % 11 <> 0 THEN 200 END AS status, CASE WHEN page_id % 11 = 0 THEN 'timeout' END AS note,
+       CASE WHEN page_id % 11 <> 0 THEN '<html><body>' || {_result_page()} || '</body></html>' END AS body
+FROM pages""",
     "entities": """
 SELECT c_custkey AS id, 'row-' || CAST(c_custkey AS STRING) AS original_row_id, c_name AS name, n_name AS state,
        CASE c_mktsegment WHEN 'BUILDING' THEN 'Verified Active' WHEN 'AUTOMOBILE' THEN 'Likely Active' WHEN 'MACHINERY' THEN 'Uncertain'
