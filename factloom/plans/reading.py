@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factloom.operators import context, result_pages
+from factloom.operators import batches, context, result_pages
 from factloom.plans.catalogue import registered
 from factloom.sources.fixtures import view
 
@@ -41,3 +41,16 @@ def context_findings(spark, sf):
     rel = F.when(F.col("access_level") == "live_official_site", 0.95).when(F.col("access_level") == "search_snippets", 0.5).otherwise(1.0)
     fields = F.when(F.col("seq") % 5 == 0, F.from_json(F.lit('[{"field_name": "phone", "value": "330"}, {"field_name": "email"}]'), "array<struct<field_name: string, value: string>>"))
     return context.findings_context(f.withColumns({"text": text, "snippet": text, "reliability": rel, "fields": fields}))
+
+
+@registered("""
+, entries AS (SELECT DISTINCT entity_id FROM cells), tool AS (SELECT entity_id, count(*) FILTER (value IS NOT NULL) AS row FROM cells WHERE source = 'tool' AND entity_id % 3 <> 0 GROUP BY 1),
+truth AS (SELECT entity_id, count(*) FILTER (coalesce(value, '') <> '') AS expected FROM cells WHERE source = 'truth' AND entity_id % 4 <> 0 GROUP BY 1)
+SELECT entity_id, row, expected, CASE WHEN row IS NULL THEN 'missing' WHEN expected IS NULL THEN 'unchecked' ELSE 'ready' END AS status FROM entries LEFT JOIN tool USING (entity_id) LEFT JOIN truth USING (entity_id)
+""", "cells")
+def calibration_status(spark, sf):
+    """The calibration set beside its computed rows and what is expected of them."""
+    cells = view(spark, sf, "cells")
+    of = lambda source, skip, column, there: cells.where((F.col("source") == source) & (F.col("entity_id") % skip != 0)).groupBy("entity_id").agg(F.count_if(there).alias(column))
+    rows, truth = of("tool", 3, "row", F.col("value").isNotNull()), of("truth", 4, "expected", F.coalesce("value", F.lit("")) != "")
+    return batches.calibration_status(cells.select("entity_id").distinct(), rows, truth)
