@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import answers, crawl, records, reading  # noqa: F401  (they register their queries)
+from factloom.plans import answers, crawl, export, reading, records  # noqa: F401  (they register their queries)
 from factloom.plans.catalogue import QUERIES, SQL
 
 

@@ -26,6 +26,10 @@ TABLES = {
     "answers": ["conversations"],
     "bundles": ["pages"],
     "result_pages": ["pages"],
+    "dossier_entities": ["supplier"],
+    "dossier_facts": ["lineitem"],
+    "dossier_sites": ["lineitem"],
+    "dossier_roles": ["lineitem"],
     "builds": ["customer"],
     "run_starts": ["events"],
     "run_ends": ["events"],
@@ -52,6 +56,32 @@ def _result_page() -> str:
 
 
 VIEWS = {
+    "dossier_entities": """
+SELECT s_suppkey AS entity_id, s_name AS name, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'Lima' END AS city, 'OH' AS state, CASE s_suppkey % 3 WHEN 0 THEN 'true_match' WHEN 1 THEN 'uncertain' ELSE 'no_match' END AS identity_verdict,
+       'https://org' || CAST(s_suppkey AS STRING) || '.example.org' AS identity_site, CASE WHEN s_suppkey % 10 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(40 + s_suppkey % 61 AS DOUBLE) END AS identity_confidence, 'search' AS method,
+       CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'https://org' || CAST(s_suppkey AS STRING) || '.example.org' END AS official_site, CASE WHEN s_suppkey % 3 = 1 THEN 'Ann Lee' END AS lead_pastor,
+       CASE WHEN s_suppkey % 6 = 0 THEN NULL ELSE 'Network ' || CAST(s_suppkey % 6 AS STRING) END AS denomination, CASE s_suppkey % 3 WHEN 0 THEN 'plant' WHEN 1 THEN 'growing' ELSE 'unknown' END AS lifecycle_stage,
+       CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE CAST(s_suppkey * 31 % 140 - 20 AS DOUBLE) END AS growth_orientation_score, CAST(s_suppkey * 17 % 101 AS DOUBLE) AS digital_maturity_score, CASE WHEN s_suppkey % 2 = 0 THEN CAST(50 AS DOUBLE) END AS change_readiness_score,
+       CAST(s_suppkey % 120 AS DOUBLE) AS staff_depth_score, CASE WHEN s_suppkey % 8 = 3 THEN NULL ELSE CAST(s_suppkey * 37 % 6000 AS DOUBLE) END AS attendance, CAST(s_suppkey % 101 AS DOUBLE) AS attendance_confidence,
+       CASE WHEN s_suppkey % 3 = 0 THEN CAST(s_suppkey * 11 % 900 AS DOUBLE) END AS online_attendance_estimate, CAST(s_suppkey * 7 % 101 AS DOUBLE) AS online_attendance_confidence, CASE s_suppkey % 3 WHEN 0 THEN 'active' ELSE 'unknown' END AS app_status,
+       CASE WHEN s_suppkey % 4 = 1 THEN 'Subsplash' END AS app_provider, CASE WHEN s_suppkey % 2 = 1 THEN 'Live every week' ELSE 'A page' END AS digital_summary, CASE WHEN s_suppkey % 9 <> 0 THEN CAST(s_suppkey % 40 AS DOUBLE) END AS staff_count,
+       CAST(s_suppkey % 4 * 20 AS DOUBLE) AS staff_count_confidence, CASE WHEN s_suppkey % 2 = 0 THEN CAST(2 AS DOUBLE) END AS campus_count, CAST(0 AS DOUBLE) AS campus_count_confidence
+FROM supplier""",
+    "dossier_facts": """
+SELECT l_suppkey AS entity_id, CASE l_partkey % 14 WHEN 0 THEN 'lead_pastor' WHEN 1 THEN 'office_email' WHEN 2 THEN 'office_phone' WHEN 3 THEN 'executive_pastor' WHEN 4 THEN 'multi_site' WHEN 5 THEN 'founded_year' WHEN 6 THEN 'app_provider' WHEN 7 THEN 'instagram_followers'
+            WHEN 8 THEN 'online_giving_present' WHEN 9 THEN 'years_active' ELSE CASE WHEN l_suppkey % 2 = 1 THEN 'staff_count' ELSE 'operations_leader' END END AS field_name, 'f' || CAST(l_partkey % 7 AS STRING) AS value, CAST(40 + l_orderkey % 50 AS DOUBLE) AS confidence,
+       CASE l_returnflag WHEN 'A' THEN CAST(0.95 AS DOUBLE) WHEN 'N' THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS reliability, CASE l_returnflag WHEN 'A' THEN 'live_official_site' WHEN 'N' THEN 'search_snippets' ELSE 'staff_profile' END AS access_level,
+       'https://f' || CAST(l_partkey % 5 AS STRING) || '.example.org' AS source_url, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS seq
+FROM lineitem WHERE l_partkey % 3 = l_suppkey % 3""",
+    "dossier_sites": """
+SELECT l_suppkey AS entity_id, 'h' || CAST(l_partkey % 5 AS STRING) || '.example.org' AS host, 'https://h' || CAST(l_partkey % 5 AS STRING) || '.example.org/' || CAST(l_linenumber AS STRING) AS url, l_quantity > 45 AS name_full,
+       CASE l_returnflag WHEN 'A' THEN 'conflict' WHEN 'N' THEN 'match' ELSE 'unknown' END AS place, CASE WHEN l_linenumber % 2 = 0 THEN 'official' ELSE 'unknown' END AS kind, CASE l_linestatus WHEN 'F' THEN 'search' ELSE 'domain_guess' END AS source
+FROM lineitem WHERE l_suppkey % 3 <> 1""",
+    "dossier_roles": """
+SELECT l_suppkey AS entity_id, 'lead_pastor_role' AS key, CASE l_partkey % 3 WHEN 0 THEN 'Lead Pastor' WHEN 1 THEN 'lead pastor' ELSE 'Senior Pastor' END AS value, CASE WHEN l_partkey % 3 < 2 THEN 'lead' ELSE 'senior' END AS norm,
+       CASE l_returnflag WHEN 'A' THEN 'live_official_site' WHEN 'N' THEN 'search_snippets' ELSE 'staff_profile' END AS access_level, CASE l_returnflag WHEN 'A' THEN CAST(0.95 AS DOUBLE) WHEN 'N' THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END AS reliability,
+       (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey AS seq
+FROM lineitem WHERE l_suppkey % 5 <> 0""",
     "result_pages": f"""
 SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'duckduckgo-html' WHEN 1 THEN 'duckduckgo-lite' WHEN 2 THEN 'bing' ELSE 'mojeek' END AS provider, CASE WHEN page_id % 11 <> 0 THEN 200 END AS status, CASE WHEN page_id % 11 = 0 THEN 'timeout' END AS note,
        CASE WHEN page_id % 11 <> 0 THEN '<html><body>' || {_result_page()} || '</body></html>' END AS body
