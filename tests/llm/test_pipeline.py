@@ -79,3 +79,32 @@ def test_packing_holds_every_token(stages):
         ids = plain.encode(r.text, add_special_tokens=False).ids + [1]
         want += [(r.doc_id, a, zlib.crc32(np.array(ids[a : a + 2048], "<u4").tobytes())) for a in range(0, len(ids), 2048)]
     assert sorted((r.doc_id, r.start, r.ids_crc32) for r in stages["packing"].collect()) == sorted(want)
+
+
+def test_stages_over_odd_tables(spark):
+    """An empty table, repeated rows, clashing names in both cases and a long text."""
+    import corpus_pipeline
+
+    start = spark.read.parquet(f"{PATH}/documents.parquet")
+    one = start.where("length(text) > 500").orderBy("doc_id").first()
+    long = " ".join(f"{one.text} {i}" for i in range(300))
+    rows = [tuple(one)] * 3 + [(10**7, long, "en", "x", len(long)), (None, one.text + " and more of it", "en", None, None)]
+    odd = spark.createDataFrame([(*r, 1, "kept", 2.5) for r in rows], start.schema.add("_ROW", "integer").add("Fingerprint", "string").add("N_WORDS", "double"))
+    for docs, some in ((odd, True), (odd.limit(0), False)):
+        names = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            docs = stage(spark, docs, PATH)
+            assert docs.columns == names, name
+        found = docs.collect()
+        assert bool(found) == some and all((r["_ROW"], r["Fingerprint"], r["N_WORDS"]) == (1, "kept", 2.5) for r in found)
+        packed = corpus_pipeline.STAGES[4][1](spark, docs, PATH).collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in found}
+
+
+def test_run_leaves_only_what_is_read(spark):
+    import corpus_pipeline
+    from factloom.llm.common import written
+
+    before = set(written(spark))
+    assert corpus_pipeline.run(spark, PATH).count() > 0
+    assert sum("/pii-" in p for p in set(written(spark)) - before) == 1 and not any(f"/{n}-" in p for p in set(written(spark)) - before for n in ("language_id", "simhash", "decontamination"))
