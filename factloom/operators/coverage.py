@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions.extract import signal_flags, signal_summary, signals_of_flags
 from factloom.functions.urls import host_of
+from factloom.sources.staging import staged
 
 ROLE_FACTS = ["lead_pastor", "executive_pastor", "operations_leader", "communications_leader"]
 TIER_CONFIDENCE = {"Low": 38, "Medium": 55, "High": 76}
@@ -41,7 +42,8 @@ def signals_by_entity(findings: DataFrame) -> DataFrame:
     whole = ~F.col("hay").rlike(rf"^\s*(?:\S+\s+){{{2 * SPAN}}}\S")
     ends = own.where(F.col("hay").rlike(r"\S")).select("entity_id", "seq", F.when(whole, few).otherwise(last).alias("last"), F.when(whole, few).otherwise(F.concat_ws(f" {BREAK} ", first, last)).alias("short"))
     n = int(findings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = ends.repartitionByRange(n, "entity_id", "seq", "short").withColumn("range", F.spark_partition_id())
+    # written once, so that what is near and what is far see the same ranges
+    ranged = staged(ends.repartitionByRange(n, "entity_id", "seq", "short").withColumn("range", F.spark_partition_id()), "ranges")
     near = _joined_ends(ranged, ["entity_id", "range"], ["seq", "short"])
     up = Window.partitionBy("entity_id", "range").orderBy("seq", "short")
     down = Window.partitionBy("entity_id", "range").orderBy(F.desc("seq"), F.desc("short"))
@@ -140,11 +142,12 @@ def source_coverage(findings: DataFrame, signals: DataFrame) -> DataFrame:
     """
     tests = {"official site": (F.col("access_level") == "live_official_site") & F.col("fetched")}
     tests |= {name: F.col("source_type").isin(types) for name, types in SOURCE_CATEGORIES}
-    # hosts are first reduced to the earliest finding of each, so a list is short
+    # hosts are first reduced to the earliest finding of each, and those to the first four
     once = findings.select("entity_id", F.inline(F.array(*(F.struct(F.lit(k).alias("category"), t.alias("hit")) for k, t in tests.items()))), "seq", "url").where("hit")
     per_host = once.groupBy("entity_id", "category", host_of(F.col("url")).alias("h")).agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"))
-    listed = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("seq", "h"))), lambda x: x["h"]), 1, 4)
-    counts = per_host.groupBy("entity_id", "category").agg(F.sum("n").alias("count"), listed.alias("hosts"))
+    at = F.row_number().over(Window.partitionBy("entity_id", "category").orderBy("seq", "h"))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("at") <= 4, F.struct("seq", "h")))), lambda x: x["h"])
+    counts = per_host.withColumn("at", at).groupBy("entity_id", "category").agg(F.sum("n").alias("count"), listed.alias("hosts"))
     names = [*tests, "app/platform"]
     every = findings.select("entity_id").distinct().select("entity_id", F.explode(F.array(*(F.lit(n) for n in names))).alias("category"))
     full = every.join(counts, ["entity_id", "category"], "left").join(signals, "entity_id", "left")
