@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.config import PAGE_CATEGORIES
+from factloom.functions.extract import says
 
 HIDDEN = ["script", "style", "noscript", "template", "svg"]
 
@@ -140,7 +141,7 @@ def has_contact_signal(text: Column) -> Column:
     """Does a text hold an address, a phone number or a pastor's title?"""
     mail = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
     phone = r"\(?\b\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}\b"
-    return text.rlike(mail) | text.rlike(phone) | text.rlike(r"(?i)\b(lead|senior|associate|executive|founding)\s+pastor\b")
+    return text.rlike(mail) | says(text, phone) | says(text, r"(?i)\b(lead|senior|associate|executive|founding)\s+pastor\b")
 
 
 def social_links(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.config import SETTINGS, STATES, STOP_WORDS, Settings
+from factloom.functions.extract import ascii_bounds
 
 
 def _accented() -> dict[str, str]:
@@ -63,7 +64,7 @@ def name_match(identity: Column, host: Column, words: Column) -> Column:
 
 
 def states_in(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(r",\s*([A-Z]{2})\b"), 1), lambda s: s.isin(STATES)))
+    return F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(ascii_bounds(r",\s*([A-Z]{2})\b")), 1), lambda s: s.isin(STATES)))
 
 
 def location_status(identity: Column, body: Column, city: Column, state: Column) -> Column:

@@ -190,3 +190,23 @@ def test_json_repair_is_linear_and_bounded():
     for mark in ("[", '{"a":', '[{"a":'):
         assert jsonfix.loose_json(mark * 200_000) is None
     assert json.loads(jsonfix.loose_json("[" * 900)) is not None
+
+
+def test_word_bounds_are_ascii(spark):
+    row = spark.createDataFrame([("1200 Main Street is where we meet. Städte", "ä330-555-0100", "Die éLead Pastoré", ", OHé")], "a string, p string, t string, s string")
+    facts = row.select(X.snippet_facts(F.lit("x"), F.concat_ws(" ", "a", "p", "t")).alias("f"), I.states_in(F.col("s")).alias("s"), H.has_contact_signal(F.col("p")).alias("c")).first()
+    assert {f.field_name: f.value for f in facts.f} == {"address": "1200 Main Street is where we meet. St", "phone": "330-555-0100", "lead_pastor_title_mention": "Lead Pastor"} and facts.s == ["OH"] and facts.c
+
+
+def test_word_bounds_are_those_of_ascii_patterns():
+    import random
+    import re
+
+    rng = random.Random(5)
+    pieces = ["team of", " ", "3", "5 staff", "campus pastor", "all our campuses", "multisite", "our app", "give now", "donate", "/give", "realm", "daf", "podcast", "ä", "_", "-", ".", "(330) 555-0100", "1200 Main St", "celebrated", "in 1990", "est. 1901"]
+    patterns = [p for _, p in X.SIGNALS + X.PLATFORMS] + [X.PHONE, r"\b\d{2,6}\s+[A-Z][A-Za-z0-9 .]+\b(?:Rd|St)\b", r"\b((?:19|20)\d{2})\b", r"\b(\d+|one)\s+(?:campuses|sites)\b", r"\bmulti-?site\b|\ball (?:our )?(?:campuses|locations)\b"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 6)))
+        for p in patterns:
+            want, got = re.search(p, text, re.A), re.search(X.ascii_bounds(p), text, re.A)
+            assert (want and want.span()) == (got and got.span()), (p, text)
