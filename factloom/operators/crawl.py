@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.functions import html as H
 from factloom.functions import urls as U
 from factloom.operators.ranking import first_per, top_per
+from factloom.sources.staging import staged
 
 # Kinds of pages that a site should have, the kinds that count as such, and paths to try.
 REQUIRED = [
@@ -31,6 +32,7 @@ def link_diagnostics(links: DataFrame, pages: DataFrame) -> DataFrame:
     rows = links.where(~c("href").rlike(r"(?i)^(mailto|tel|javascript|data):")).withColumn("resolved", U.link_target(c("base"), c("href")))
     own = U.origin_of(c("resolved")) == U.origin_of(c("base"))
     rows = rows.withColumn("same_origin", own).withColumn("category", F.when(c("same_origin"), H.categorize(U.raw_path(c("resolved")), c("text"))))
+    rows = staged(rows, "targets")
     chosen = first_per(rows.where("category is not null"), ["entity_id", "category"], [F.asc("link_seq")]).select("entity_id", "link_seq", F.lit(True).alias("picked"))
     rows = rows.join(chosen, ["entity_id", "link_seq"], "left").withColumn("selected", F.coalesce("picked", F.lit(False)))
     first = first_per(rows, ["entity_id", "resolved"], [F.asc("link_seq")])

@@ -8,6 +8,7 @@ from factloom.functions import urls as U
 from factloom.operators import crawl
 from factloom.plans.catalogue import _CATEGORY, LINKS_SQL, _links, registered
 from factloom.sources.fixtures import view
+from factloom.sources.staging import staged
 
 _ORIGIN = "lower(regexp_extract({}, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)', 1))"
 LINKED_SQL = LINKS_SQL + rf"""
@@ -24,7 +25,8 @@ visits AS (SELECT DISTINCT entity_id, resolved AS url, length(resolved) % 4 <> 0
 
 
 def _linked(spark, sf):
-    rows = _links(spark, sf).select(F.col("page_id").alias("entity_id"), "link_seq", "href", "text", F.col("url").alias("base"))
+    # pages are parsed once
+    rows = staged(_links(spark, sf).select(F.col("page_id").alias("entity_id"), "link_seq", "href", "text", F.col("url").alias("base")), "links")
     size = F.length("url")
     visited = rows.select("entity_id", U.link_target(F.col("base"), F.col("href")).alias("url")).where(~F.col("url").rlike("(?i)^(mailto|tel|javascript|data):")).distinct()
     return rows, visited.where(size % 3 != 0).select("entity_id", "url", (size % 4 != 0).alias("ok"), (size * 10).alias("text_length"))

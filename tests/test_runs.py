@@ -98,3 +98,10 @@ def test_a_stream_that_is_read_again_leaves_the_same_rows(spark, tmp_path):
         batches.stream_batches(stream, path, str(tmp_path / f"log{attempt}"), lambda k: F.lit(k + 10)).awaitTermination(60)
     got = batches.read_batches(spark, path, schema + ", checked_at int").collect()
     assert sorted((r.entity_id, r.value, r.checked_at, r.batch_id) for r in got) == [(1, "a", 10, 0), (2, "b", 10, 0)]
+
+
+def test_pages_are_parsed_once_for_their_links(spark):
+    from factloom.plans import registry
+
+    plan = registry.queries()["link_diagnostics"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "href=" not in plan
