@@ -105,6 +105,15 @@ def test_staff_cards_of_a_rendered_page(spark):
     assert got[3] == got[4] == [] and len(got[5]) == 3000
 
 
+def test_staff_cards_read_each_line_once(spark):
+    rows = spark.createDataFrame([(1, "Ann Lee"), (2, "Elder\nAnn Lee"), (3, "Ann Lee\nElder\nKids"), (4, "Cy Fox - Elder\nAnn Lee\nCy Fox - Kids\nAnn Lee - Elder")], "id int, t string").select("id", staff.cards_column(F.col("t")).alias("c"))
+    got = {r.id: [(x.name, x.title) for x in r.c] for r in rows.collect()}
+    assert got == {1: [], 2: [], 3: [("Ann Lee", "Elder")], 4: [("Cy Fox", "Elder"), ("Ann Lee", "Cy Fox - Kids")]}
+    # expressions with lambdas are worked out as often as the plan names them
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count(staff.ONE_LINE) <= 3
+
+
 def test_roster_numbers_are_dense_and_headers_are_kept(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text("S.No,Organization Name,Notes,Notes\n" + "".join(f"{'' if i % 3 else i},Org {i},a,b\n" for i in range(1, 2001)))
