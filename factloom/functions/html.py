@@ -77,7 +77,7 @@ def addresses(found: Column, scheme: str) -> Column:
     """Targets of mailto: or tel: links, without query and percent signs."""
     own = F.filter(found, lambda p: F.startswith(F.lower(p["href"]), F.lit(f"{scheme}:")))
     # a plus sign is no blank here
-    plain = lambda h: F.replace(F.regexp_replace(F.substring(h, len(scheme) + 2, 10_000), r"\?.*$", ""), F.lit("+"), F.lit("%2B"))
+    plain = lambda h: F.replace(F.regexp_replace(F.substr(h, F.lit(len(scheme) + 2)), r"\?.*$", ""), F.lit("+"), F.lit("%2B"))
     return F.transform(own, lambda p: F.trim(F.try_url_decode(plain(p["href"]))))
 
 

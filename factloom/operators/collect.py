@@ -48,7 +48,7 @@ def website_findings(pages: DataFrame) -> DataFrame:
         F.array(_field("staff_count", F.when(F.size("cards") > 0, F.size("cards")), 70)),
     )
     return ok.select(
-        "entity_id", "seq", "url", H.title(F.col("html")).alias("title"), F.substring(text, 1, 5000).alias("body"), c.alias("category"), H.source_type_of_category(c).alias("source_type"),
+        "entity_id", "seq", "url", H.title(F.col("html")).alias("title"), text.alias("body"), c.alias("category"), H.source_type_of_category(c).alias("source_type"),
         F.lit("live_official_site").alias("access_level"), F.lit(0.95).alias("reliability"), F.lit(True).alias("fetched"), F.length("body").alias("text_length"),
         F.filter(fields, lambda f: F.coalesce(f["value"], F.lit("")) != "").alias("fields"),
     )

@@ -98,6 +98,15 @@ def test_text_facts(spark):
     assert got["lead_pastor"][0] == "John Adams"
 
 
+def test_patterns_of_runs(spark):
+    texts = ["a@b.co_c@d.org x@y", "é.ann@x.de,bob@@y.org", "9John Q. Adams, lead pastor", "ÉAnn  Lee is our lead pastor Bo", "lead pastor: Al Bo-Cy Dee|lead pastor", "a B lead pastor Ann", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    shapes = [r"(?i){}\s+(?:is\s+our\s+)?lead\s+pastor", r"(?i)lead\s+pastor[\s:]+{}", r"(?i){}[\s,\-–|]+lead\s+pastor"]
+    every = lambda name, mail: F.array(F.regexp_extract_all("t", F.lit(mail), 0), *(F.regexp_extract_all("t", F.lit(s.format(name)), 1) for s in shapes))
+    got = df.select(every(X.NAME_OF_RUNS, X.EMAIL_OF_RUNS).alias("a"), every(X.NAME, X.EMAIL).alias("b")).collect()
+    assert all(r.a == r.b for r in got) and sum(len(x) for r in got for x in r.a) >= 8
+
+
 def test_identity(spark):
     assert ask(spark, I.tokens(F.lit("First Church of the Oak-Hill, 3 X"))) == ["oak", "hill"]
     assert ask(spark, I.has_phrase(F.lit("Welcome to Oak Hill!"), F.lit("Oak Hill")))

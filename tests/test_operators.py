@@ -340,6 +340,24 @@ def test_findings_read_whole_texts(spark, tmp_path):
     assert {r.office_phone[:10] for r in found} >= {"408-555-78"}
 
 
+def test_dossiers_read_whole_pages(spark):
+    from factloom.operators import collect
+
+    # what tells something stands behind the 5,000th character, of an address behind the 10,000th
+    page = "<title>T</title><p>" + "plain words " * 1000 + "</p>{}"
+    tails = ["<p>Founded in 1911. Watch our livestream, donate by Pushpay</p>", "<p>Call (330) 555-0100 or write to office@x.org</p>", "<p>Ann Lee - Lead Pastor</p>", f"<a href='mailto:{'a' * 10_000}@x.org'>m</a>"]
+    kinds = ["home", "sermons", "staff", "contact"]
+    rows = [(i, i, f"https://x.org/{i}", 200, k, page.format(t)) for i, (k, t) in enumerate(zip(kinds, tails))]
+    found = collect.website_findings(spark.createDataFrame(rows, "entity_id int, seq int, url string, status int, category string, html string"))
+    body = {r.entity_id: r.body for r in found.collect()}
+    assert all(len(b) > 12_000 for b in body.values()) and body[2].endswith("STAFF CARDS: Ann Lee — Lead Pastor")
+    facts = {(r.entity_id, r.field_name): r.value for r in collect.fact_candidates(found.where("entity_id <> 2")).collect()}
+    assert facts[0, "founded_year"] == "1911" and facts[0, "giving_provider"] == "Pushpay" and facts[1, "office_phone"] == "(330) 555-0100"
+    d = {r.entity_id: r for r in collect.dossiers(found).collect()}
+    assert [d[0].founded_year, d[0].signals_detected, d[1].office_email, d[1].office_phone] == ["1911", 3, "office@x.org", "(330) 555-0100"]
+    assert d[2].lead_pastor == "Ann Lee" and d[3].office_email == "a" * 10_000 + "@x.org"
+
+
 def test_stores(spark, tmp_path):
     from factloom.sources import stores
 
